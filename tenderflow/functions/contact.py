@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.functions import signals as S
 from tenderflow.functions.names import organization_name
-from tenderflow.functions.text import collapsed, equals_any_case, is_email, strip_tags, text, trimmed
+from tenderflow.functions.text import collapsed, equals_any_case, is_email, let, strip_tags, text, trimmed
 
 
 def first_email(c: Column | str) -> Column:
@@ -32,7 +32,10 @@ def comparable_email(c: Column | str) -> Column:
 
 
 def posting_entity(c: Column | str) -> Column:
-    s = F.lower(collapsed(c))
+    return let(F.lower(collapsed(c)), _posting_kind)
+
+
+def _posting_kind(s: Column) -> Column:
     return (
         F.when((s == "") | s.contains("not provided"), "uncertain")
         .when(s.isin("private_company", "government", "uncertain"), s)
@@ -46,7 +49,11 @@ def issuing_organization(c: Column | str) -> Column:
     return F.substring(organization_name(c), 1, 500)
 
 
-def _given(s: Column, limit: int) -> Column:
+def _given(snippet: Column, limit: int) -> Column:
+    return let(snippet, lambda s: _if_given(s, limit))
+
+
+def _if_given(s: Column, limit: int) -> Column:
     first = F.lower(trimmed(F.element_at(F.split(s, "\n"), 1)))
     missing = (s == "") | (first == "") | first.startswith("not provided") | first.isin(S.SNIPPET_PLACEHOLDERS)
     cut = F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("..."))).otherwise(s)

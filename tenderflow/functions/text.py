@@ -19,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, for values that the body reads many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """The value as text, null as empty."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
@@ -79,7 +84,10 @@ def parse_moment(c: Column | str) -> Column:
 
     Each format is only tried on texts of its shape, so no row pays for failed parses.
     """
-    t = F.regexp_replace(trimmed(c), r"\s+", " ")
+    return let(F.regexp_replace(trimmed(c), r"\s+", " "), _moment)
+
+
+def _moment(t: Column) -> Column:
     out = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), t.try_cast("timestamp"))
     for shape, fmt in S.DATE_SHAPES:
         out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))

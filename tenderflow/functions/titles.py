@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.functions import signals as S
 from tenderflow.functions.contact import comparable_email
-from tenderflow.functions.text import collapsed, text, trimmed
+from tenderflow.functions.text import collapsed, let, text, trimmed
 
 
 def corporate_prefix(title: Column | str, posting: Column | str) -> Column:
@@ -24,6 +24,10 @@ def title_from_url(url: Column | str, kind: str = "page") -> Column:
     parts = F.split(F.btrim(path, F.lit("/")), "/")
     if kind == "document":
         parts = F.filter(parts, lambda p: (p != "") & (p != "0"))
+    return let(parts, lambda ps: _title_of(ps, kind, longer_than, default))
+
+
+def _title_of(parts: Column, kind: str, longer_than: int, default: str) -> Column:
     telling = F.filter(
         parts, lambda p: (F.octet_length(p) > longer_than) & ~p.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$")
     )
@@ -31,7 +35,7 @@ def title_from_url(url: Column | str, kind: str = "page") -> Column:
     spaced = F.regexp_replace(last, "-|_|%20", " ")
     words = F.initcap(F.lower(F.coalesce(F.try_url_decode(spaced), spaced)))
     words = trimmed(words) if kind == "document" else words
-    return F.when(words.isin("", "0"), default).otherwise(words)
+    return let(words, lambda w: F.when(w.isin("", "0"), default).otherwise(w))
 
 
 def public_slug(title: Column | str, pk: Column) -> Column:

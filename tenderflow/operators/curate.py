@@ -95,7 +95,7 @@ class Promotion(NamedTuple):
     outcomes: DataFrame
 
 
-def _earlier_in_batch(rows: DataFrame, inserted: DataFrame, hot_rows: int | None) -> DataFrame:
+def _earlier_in_batch(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     """For each row the inserted row of the batch it is a duplicate of: (id, target_id), target_id < id."""
     index = (
         inserted.select(F.col("id").alias("first_id"), F.explode(stored_keys()).alias("key"))
@@ -105,12 +105,12 @@ def _earlier_in_batch(rows: DataFrame, inserted: DataFrame, hot_rows: int | None
     probes = rows.select("id", F.explode(probe_keys()).alias("k")).select(
         "id", F.col("k.rank").alias("rank"), F.col("k.key").alias("key")
     )
-    hits = lookup_join(probes, index, "key", ["first_id"], hot_rows).where(F.col("first_id") < F.col("id"))
+    hits = lookup_join(probes, index, "key", ["first_id"]).where(F.col("first_id") < F.col("id"))
     best = hits.groupBy("id").agg(F.min(F.struct("rank", "first_id")).alias("b"))
     return best.select("id", F.col("b.first_id").alias("target_id"))
 
 
-def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool, hot_rows: int | None) -> DataFrame:
+def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool) -> DataFrame:
     """Ids of the rows that patch their target when all are applied in id order.
 
     `rows(id, target, own_bytes, own_at)`, `targets(target, bytes, at)`. A patch changes what later rows are compared
@@ -122,7 +122,7 @@ def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force:
     state = targets.select("target", "bytes", "at", F.lit(-1).cast("bigint").alias("after"))
     open_rows, found = rows, None
     while True:
-        ahead = lookup_join(open_rows, state, "target", ["bytes", "at", "after"], hot_rows).where(
+        ahead = lookup_join(open_rows, state, "target", ["bytes", "at", "after"]).where(
             (F.col("id") > F.col("after"))
             & ((F.col("own_bytes") > F.col("bytes") + 50) | F.coalesce(F.col("own_at") > F.col("at"), F.lit(False)))
         )
@@ -151,7 +151,6 @@ def promote_pending(
     now: dt.datetime,
     source_id: int | None = None,
     force_patch: bool = False,
-    hot_rows: int | None = None,
 ) -> Promotion:
     """Move pending rows to the live table, as if in id order.
 
@@ -164,7 +163,7 @@ def promote_pending(
     titled = trimmed("TITLE") != ""
     keyed = derive_identity_keys(rows)
     matched = cut_lineage(
-        match_duplicates(keyed, "id", None, live, hot_rows=hot_rows).select("id", F.col("record_id").alias("live_id"))
+        match_duplicates(keyed, "id", None, live).select("id", F.col("record_id").alias("live_id"))
     )
     new_rows = keyed.join(matched, "id", "left_anti")
     never = F.array().cast("array<string>")
@@ -175,11 +174,10 @@ def promote_pending(
             F.when(titled, stored_keys()).otherwise(never).alias("emit_keys"),
         ),
         "id",
-        hot_rows=hot_rows,
     )
     inserted_ids = firsts.where("kept").select("id")
     repeats = new_rows.join(firsts.where(~F.col("kept")), "id", "left_semi")
-    in_batch = _earlier_in_batch(repeats, new_rows.where(titled).join(inserted_ids, "id", "left_semi"), hot_rows)
+    in_batch = _earlier_in_batch(repeats, new_rows.where(titled).join(inserted_ids, "id", "left_semi"))
 
     target = matched.select("id", F.concat(F.lit("L"), F.col("live_id")).alias("target")).unionByName(
         in_batch.select("id", F.concat(F.lit("P"), F.col("target_id")).alias("target"))
@@ -204,7 +202,7 @@ def promote_pending(
     )
     patching = _patching_rows(
         staged.where("titled and target is not null").select("id", "target", "own_bytes", "own_at"),
-        targets, now, force_patch, hot_rows,
+        targets, now, force_patch,
     ).withColumn("patches", F.lit(True))
     outcome = (
         F.when(F.col("target").isNull() & F.col("titled"), "inserted")
@@ -214,20 +212,22 @@ def promote_pending(
     )
     outcomes = cut_lineage(staged.join(patching, "id", "left").select("id", outcome.alias("outcome"), "target"))
 
-    mapped = map_pending_to_live(rows, sources, master, now=now).withColumnRenamed("pending_id", "id")
-    decided = mapped.drop("ID").join(outcomes, "id")
+    mapped = map_pending_to_live(rows, sources, master, now=now).drop("ID")
+    decided = mapped.join(outcomes.withColumnRenamed("id", "pending_id"), "pending_id")
     fresh = next_ids(
         with_insert_defaults(decided.where(F.col("outcome") == "inserted").drop("outcome", "target")),
-        ["id"], live, "ID", "ID",
+        ["pending_id"], live, "ID", "ID",
+    )
+    own_id = fresh.select(
+        F.concat(F.lit("P"), F.col("pending_id").cast("string")).alias("target"), F.col("ID").alias("new_id")
     )
-    own_id = fresh.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("target"), F.col("ID").alias("new_id"))
     # Patches of one row apply in id order, so per column the last value given stays.
     columns = [c for c in schemas.schema("bid").names if c != "ID"]
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pending_id"))).alias(c) for c in columns]
     folded = decided.where(F.col("outcome") == "patched").groupBy("target").agg(*last).join(own_id, "target", "left")
     live_id = F.when(F.col("target").startswith("L"), F.substring("target", 2, 30).try_cast("bigint")).otherwise(F.col("new_id"))
     patches = folded.select(live_id.alias("ID"), *columns)
-    whole = live.unionByName(schemas.conform(fresh.drop("id"), live.schema))
+    whole = live.unionByName(schemas.conform(fresh.drop("pending_id"), live.schema))
     gone = outcomes.where(F.col("outcome") != "failed").select("id")
     return Promotion(patch_live(whole, patches), pending.join(gone, "id", "left_anti"), outcomes)
 
@@ -283,7 +283,7 @@ def quarantine_failed(sources: DataFrame, failed: DataFrame, logs: DataFrame) ->
 
 
 def restore_failed(
-    sources: DataFrame, failed: DataFrame, *, default_group: str = S.DEFAULT_GROUP, hot_rows: int | None = None
+    sources: DataFrame, failed: DataFrame, *, default_group: str = S.DEFAULT_GROUP
 ) -> Sources:
     """Return failed sources to the active list in id order.
 
@@ -303,13 +303,13 @@ def restore_failed(
     both = F.filter(F.array(url_key, name_key), lambda k: k.isNotNull())
     open_rows = marked.where(F.col("url_active").isNull() & F.col("name_active").isNull())
     firsts = ordered_greedy_dedup(
-        open_rows.select("id", both.alias("probe_keys"), both.alias("emit_keys")), "id", hot_rows=hot_rows
+        open_rows.select("id", both.alias("probe_keys"), both.alias("emit_keys")), "id"
     )
     back = firsts.where("kept").select("id")
     # Why a row did not come back: a restored row with its URL and a smaller id makes it already active.
     restored_urls = open_rows.join(back, "id").groupBy("url").agg(F.min("id").alias("first_id"))
     staged = lookup_join(
-        marked.join(firsts, "id", "left"), restored_urls.select("url", "first_id"), "url", ["first_id"], hot_rows
+        marked.join(firsts, "id", "left"), restored_urls.select("url", "first_id"), "url", ["first_id"]
     )
     outcome = (
         F.when(F.col("url_active"), "already_active")

@@ -39,7 +39,6 @@ def match_duplicates(
     live: DataFrame | None,
     *,
     url_match: str = "raw",
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Best existing match of each probe: pending before live, then tier and reason, then lowest id.
 
@@ -49,7 +48,7 @@ def match_duplicates(
     exploded = probes.select(F.col(probe_id).alias("_probe"), F.explode(probe_keys(url_match)).alias("_k")).select(
         "_probe", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank")
     )
-    hits = lookup_join(exploded, stored_index(pending, live, url_match), "key", ["pending_id", "live_id"], hot_rows)
+    hits = lookup_join(exploded, stored_index(pending, live, url_match), "key", ["pending_id", "live_id"])
     table = F.when(F.col("pending_id").isNotNull(), 0).when(F.col("live_id").isNotNull(), 1)
     best = (
         hits.where(table.isNotNull())
@@ -74,7 +73,7 @@ def match_duplicates(
 
 
 def match_duplicates_excluding_self(
-    records: DataFrame, record_id: str, own: str, pending: DataFrame, live: DataFrame, *, hot_rows: int | None = None
+    records: DataFrame, record_id: str, own: str, pending: DataFrame, live: DataFrame
 ) -> DataFrame:
     """As `match_duplicates` for records that are themselves stored in the table named by `own` (pending or live).
 
@@ -86,7 +85,7 @@ def match_duplicates_excluding_self(
     )
     first = own_keys.groupBy("key").agg(F.min("own_id").alias("first_id"))
     second = (
-        lookup_join(own_keys, first, "key", ["first_id"], hot_rows)
+        lookup_join(own_keys, first, "key", ["first_id"])
         .groupBy("key")
         .agg(
             F.min("first_id").alias("first_id"),
@@ -98,8 +97,8 @@ def match_duplicates_excluding_self(
     exploded = derive_identity_keys(records).select(
         F.col(record_id).cast("bigint").alias("_probe"), F.explode(probe_keys()).alias("_k")
     ).select("_probe", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank"))
-    hits = lookup_join(exploded, second, "key", ["first_id", "second_id"], hot_rows)
-    hits = lookup_join(hits, other_index.select("key", other_id), "key", [other_id], hot_rows)
+    hits = lookup_join(exploded, second, "key", ["first_id", "second_id"])
+    hits = lookup_join(hits, other_index.select("key", other_id), "key", [other_id])
     mine = F.when(F.col("first_id") != F.col("_probe"), F.col("first_id")).otherwise(F.col("second_id"))
     pend, liv = (mine, F.col("live_id")) if own == "pending" else (F.col("pending_id"), mine)
     t = F.when(pend.isNotNull(), 0).when(liv.isNotNull(), 1)
@@ -129,7 +128,6 @@ def ordered_greedy_dedup(
     probe: str = "probe_keys",
     emit: str = "emit_keys",
     *,
-    hot_rows: int | None = None,
     tail_rows: int = TAIL_ROWS,
 ) -> DataFrame:
     """In `order` (unique), keep a row iff no earlier kept row emitted one of its probe keys.
@@ -147,7 +145,7 @@ def ordered_greedy_dedup(
     def blocked(df: DataFrame, first: DataFrame) -> DataFrame:
         """Rows of df with one probe key that an earlier row of `first` emits."""
         keys = df.select("ord", F.explode("p").alias("key"))
-        hit = lookup_join(keys, first, "key", ["first"], hot_rows).where(F.col("first") < F.col("ord"))
+        hit = lookup_join(keys, first, "key", ["first"]).where(F.col("first") < F.col("ord"))
         return hit.groupBy("ord").agg(F.lit(True).alias("hit"))
 
     def split(df: DataFrame, hits: DataFrame) -> DataFrame:

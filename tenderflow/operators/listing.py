@@ -141,6 +141,7 @@ def list_recent_issues(logs: DataFrame, *, latest: int = 200, page: int = 1, per
 def not_expired(end: str, today: dt.date) -> Column:
     """True without an end date or with one from today on; an unreadable end date counts as expired."""
     day = parse_moment(end)
+    # An unreadable date gives null here and counts as expired.
     return text(end).isin("", "0") | F.coalesce(day >= F.lit(today).cast("timestamp"), F.lit(False))
 
 

@@ -11,13 +11,17 @@ from pyspark.sql import types as T
 
 from tenderflow.functions import signals as S
 from tenderflow.functions.html import page_links, page_text
-from tenderflow.functions.text import any_of, contains_any, strip_tags, text, trimmed
+from tenderflow.functions.text import any_of, contains_any, let, strip_tags, text, trimmed
 from tenderflow.functions.titles import title_from_url
 from tenderflow.operators.linkage import dedupe_links
 from tenderflow.operators.skew import lookup_join
 
 # Markup that the expression path reads like the parser does: no other named references than these.
-SIMPLE_REFERENCES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+SIMPLE_REFERENCES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "copy": "©", "reg": "®", "middot": "·",
+    "bull": "•", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "amp": "&",  # last, so that no reference is read twice
+}
 HIDDEN_TAGS = ["script", "style", "noscript", "nav", "footer"]
 
 
@@ -32,16 +36,20 @@ def _cut_bytes(c: Column, max_bytes: int | None) -> Column:
 
 def needs_parser(html: Column) -> Column:
     """Pages whose text plain expressions would get wrong: nested hidden elements, stray markup, rarer references."""
-    low = F.lower(html)
-    unusual_reference = F.regexp_replace(low, "&(nbsp|lt|gt|quot|apos|amp|#39);", "").rlike(r"&[a-z#]")
+    return let(html, _is_hard)
+
+
+def _is_hard(html: Column) -> Column:
+    known = "|".join(SIMPLE_REFERENCES)
+    unusual_reference = html.rlike(rf"&(?!(?:{known});)[A-Za-z#]")
     unbalanced = any_of(
-        [F.regexp_count(low, F.lit(rf"<{t}[\s>/]")) != F.regexp_count(low, F.lit(rf"</{t}\s*>")) for t in HIDDEN_TAGS]
+        [F.regexp_count(html, F.lit(rf"(?i)<{t}[\s>/]")) != F.regexp_count(html, F.lit(rf"(?i)</{t}\s*>")) for t in HIDDEN_TAGS]
     )
-    nested = any_of([low.rlike(rf"(?s)<{t}[\s>](?:(?!</{t}\s*>).)*+<{t}[\s>]") for t in ("nav", "footer", "noscript")])
-    script_markup = low.rlike(r"(?s)<(script|style)[\s>](?:(?!</\1\s*>).)*+<(nav|footer|noscript|!--)")
-    odd_tags = low.rlike(r"<[^a-z!/?]|</[^a-z]|<!\[cdata|<!--(?:(?!-->).)*+<(script|style|nav|footer|noscript)")
-    attribute_markup = low.rlike(r"""<[a-z][^<>]*(?:"[^"]*[<>][^"]*"|'[^']*[<>][^']*')""")
-    textarea = low.rlike(r"<(textarea|title)[\s>](?:(?!</\1\s*>).)*+<[a-z/!]")
+    nested = any_of([html.rlike(rf"(?is)<{t}[\s>](?:(?!</{t}\s*>).)*+<{t}[\s>]") for t in ("nav", "footer", "noscript")])
+    script_markup = html.rlike(r"(?is)<(script|style)[\s>](?:(?!</\1\s*>).)*+<(nav|footer|noscript|!--)")
+    odd_tags = html.rlike(r"(?i)<[^a-z!/?]|</[^a-z]|<!\[cdata|<!--(?:(?!-->).)*+<(script|style|nav|footer|noscript)")
+    attribute_markup = html.rlike(r"""(?i)<[a-z][^<>]*(?:"[^"]*[<>][^"]*"|'[^']*[<>][^']*')""")
+    textarea = html.rlike(r"(?is)<(textarea|title)[\s>](?:(?!</\1\s*>).)*+<[a-z/!]")
     return unusual_reference | unbalanced | nested | script_markup | odd_tags | attribute_markup | textarea
 
 
@@ -49,8 +57,8 @@ def expression_text(html: Column) -> Column:
     """Visible text by expressions only, for pages that `needs_parser` clears."""
     shown = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer)\b[^>]*>.*?</\1\s*>", "")
     shown = F.regexp_replace(F.regexp_replace(shown, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
-    for ref, ch in SIMPLE_REFERENCES:
-        shown = F.replace(shown, F.lit(ref), F.lit(ch))
+    for ref, ch in SIMPLE_REFERENCES.items():
+        shown = F.replace(shown, F.lit(f"&{ref};"), F.lit(ch))
     return F.regexp_replace(F.regexp_replace(shown, r"[\s\x0b\u0085\u00a0\u2028\u2029]+", " "), "^ | $", "")
 
 
@@ -110,13 +118,19 @@ def classify_pages(
     login_words: str = S.LOGIN_BID_WORDS,
 ) -> DataFrame:
     """Add page flags and the first blocking reason. The word lists are parameters; the defaults are the fixed ones."""
-    markup, low_html = text(html), F.lower(text(html))
-    hay = F.lower(F.concat(text(body), F.lit(" "), strip_tags(markup)))
-    own = F.lower(text(body))
+    # Plain columns first: each is read by many flags and must not be computed for each of them.
+    read = pages.withColumns(
+        {
+            "_low_html": F.lower(text(html)),
+            "_hay": F.lower(F.concat(text(body), F.lit(" "), strip_tags(html))),
+            "_own": F.lower(text(body)),
+            "_visible": trimmed(strip_tags(F.regexp_replace(text(html), r"(?is)<script.*?</script>", ""))),
+        }
+    )
+    markup, low_html, hay, own = text(html), F.col("_low_html"), F.col("_hay"), F.col("_own")
     is_check = count_phrases(hay, browser_check) >= 2
     scripts = F.regexp_count(low_html, F.lit("<script"))
-    visible = trimmed(strip_tags(F.regexp_replace(markup, r"(?is)<script.*?</script>", "")))
-    is_spa = contains_any(low_html, [m.lower() for m in spa]) | ((scripts >= 3) & (F.octet_length(visible) < 200))
+    is_spa = contains_any(low_html, [m.lower() for m in spa]) | ((scripts >= 3) & (F.octet_length("_visible") < 200))
     form = (markup.rlike(r"""(?i)type=["'\\]password["'\\]""") & hay.rlike("log in|login|sign in")) | markup.rlike(
         r"(?i)<form[^>]*(login|signin)[^>]*>"
     )
@@ -124,7 +138,7 @@ def classify_pages(
     detail_links = markup.rlike(S.DETAIL_PATH_PATTERN)
     platform_page = contains_any(low_html, platform)
     path = F.lower(F.regexp_extract(text(url), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
-    out = pages.withColumns(
+    out = read.withColumns(
         {
             "browser_check": is_check,
             "blocked_reason": F.when(is_check, "browser check/captcha").otherwise(first_phrase(hay, blocked)),
@@ -144,7 +158,7 @@ def classify_pages(
         .when(F.col("needs_render"), "needs render")
         .otherwise("ok")
     )
-    return out.withColumn("page_class", reason)
+    return out.withColumn("page_class", reason).drop("_low_html", "_hay", "_own", "_visible")
 
 
 # ---------------------------------------------------------------- links
@@ -219,7 +233,8 @@ def same_document(a: Column, b: Column) -> Column:
 
 def is_bid_document(context: Column, base: Column, negative: list[str], positive: list[str], id_pattern: str) -> Column:
     hay = F.lower(F.concat(context, F.lit(" "), base))
-    return ~contains_any(hay, negative) & (contains_any(hay, positive) | context.rlike(id_pattern))
+    worded = let(hay, lambda h: ~contains_any(h, negative) & contains_any(h, positive))
+    return worded | (let(hay, lambda h: ~contains_any(h, negative)) & context.rlike(id_pattern))
 
 
 def extract_document_links(
@@ -229,7 +244,8 @@ def extract_document_links(
     key: str = "page_id",
     url: str = "url",
     html: str = "html",
-    suffix: str = "pdf",
+    suffix_pattern: str = r"(?i)\.pdf($|\?)",
+    raw_pattern: str = r"""(?i)(https?://[^\s"'\\]+\.pdf)""",
     negative: list[str] = S.DOC_NEGATIVE,
     positive: list[str] = S.DOC_POSITIVE,
     id_pattern: str = S.DOC_ID_PATTERN,
@@ -240,7 +256,7 @@ def extract_document_links(
     one_line = trimmed(F.regexp_replace("link_text", r"\s+", " "))
     context = trimmed(F.concat_ws(" ", one_line, F.col("near_text"), F.col("href"), target))
     kept = (
-        found.where(F.col("href").rlike(rf"(?i)\.{suffix}($|\?)"))
+        found.where(F.col("href").rlike(suffix_pattern))
         .where(~is_template_href(F.col("href")) & ~is_template_href(target))
         .where(is_bid_document(context, F.col(url), negative, positive, id_pattern))
         .select(
@@ -250,7 +266,7 @@ def extract_document_links(
             target.alias("PDF_LINK"),
         )
     )
-    raw = F.regexp_extract_all(text(html), F.lit(rf"""(?i)(https?://[^\s"'\\]+\.{suffix})"""), F.lit(1))
+    raw = F.regexp_extract_all(text(html), F.lit(raw_pattern), F.lit(1))
     fallback = (
         pages.join(kept.select(key).distinct(), key, "left_anti")
         .select(key, url, F.posexplode(raw).alias("pos", "PDF_LINK"))

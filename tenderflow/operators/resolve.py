@@ -22,6 +22,7 @@ from tenderflow.functions.similarity import similar_percent
 from tenderflow.functions.text import text, trimmed, whole_id
 from tenderflow.operators.positions import with_positions
 from tenderflow.operators.skew import block_match, lookup_join
+from tenderflow.session import cut_lineage
 
 SOURCE_NAME_SCORE = 72.0
 HINT_SCORE = 78.0
@@ -118,7 +119,7 @@ def best_name_matches(hints: DataFrame, names: DataFrame, at_least: float, **blo
 
     Equal names are found by an equi join; only the other hints are scored.
     """
-    prepared = (
+    prepared = cut_lineage(
         hints.select("hint")
         .where(F.char_length("hint").between(4, 220))
         .distinct()
@@ -194,7 +195,8 @@ def resolve_entity(
     index = entity_names(entities, names)
     by_email, by_host = entity_addresses(entities, emails, websites)
 
-    base = records.select(
+    # Read by every stage, so it is computed once.
+    base = cut_lineage(records.select(
         F.col(record),
         organization_name("bid_url_name").alias("source_hint"),
         comparable_email("EMAIL").alias("email"),
@@ -206,7 +208,7 @@ def resolve_entity(
         organization_hints(
             "bid_url_name", "ISSUING_ORGANIZATION", "source_listing_url", "URL", "TITLE", "DESCRIPTION"
         ).alias("hints"),
-    )
+    ))
     by_source_name = best_name_matches(base.select(F.col("source_hint").alias("hint")), index, SOURCE_NAME_SCORE).select(
         F.col("hint").alias("source_hint"),
         F.coalesce("equal_id", F.when(F.col("low_id") == F.col("high_id"), F.col("low_id"))).alias("name_id"),
@@ -226,6 +228,7 @@ def resolve_entity(
         staged = staged.withColumn("h", F.get("hosts", F.lit(i)))
         staged = lookup_join(staged, host_ids, "h", ["host_id"]).withColumnRenamed("host_id", f"host_id_{i}").drop("h")
 
+    staged = cut_lineage(staged)
     early = F.coalesce("name_id", "email_id", "host_id_0", "host_id_1")
     stage = (
         F.when(F.col("name_id").isNotNull(), "source_name")

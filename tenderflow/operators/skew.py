@@ -7,35 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many probe rows is hot. There are at most rows / HOT_ROWS hot keys, so the
-# hot part of a lookup table is bounded by that count whatever the data holds.
-HOT_ROWS = 1_000_000
+from tenderflow.session import cut_lineage
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int) -> DataFrame:
-    """Keys with at least that many rows. Counts are combined before the shuffle."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= at_least).select(key)
+def lookup_join(probe: DataFrame, lookup: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Left join of `probe` to `lookup`, which has one row per key, that holds when one key has a large share of the probe.
 
-
-def lookup_join(
-    probe: DataFrame, lookup: DataFrame, key: str, values: list[str], hot_rows: int | None = None
-) -> DataFrame:
-    """Left join of `probe` to `lookup`, which has one row per key, without loading one task with a hot key.
-
-    Hot keys take their values from the broadcast hot part of the lookup (see HOT_ROWS for its bound). Their
-    rows, and rows without a key, get a spread key for the shuffled join, so they land evenly.
+    The adaptive skew join splits a hot partition of the probe, but only when both sides reach the join through a
+    shuffle of the join itself. A lookup is mostly an aggregate by its key, whose own shuffle would be reused, and
+    then nothing is split. Joining on an expression of the key gives each side a shuffle of its own: the lookup, one
+    row per key, moves once more, and the hot rows of the probe are read by many tasks. Rows without a key find
+    nothing and are split the same way.
     """
-    hot = hot_keys(probe, key, hot_rows or HOT_ROWS)
-    found = lookup.select(key, F.struct(*values).alias("_hot_value"))
-    hot_values = hot.join(found, key, "left").select(F.col(key).alias("_hot_key"), "_hot_value")
-    marked = probe.join(F.broadcast(hot_values), F.col(key) == F.col("_hot_key"), "left")
-    is_hot = F.col("_hot_key").isNotNull()
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in probe.columns]).cast("string"))
-    keyed = marked.withColumn("_join_key", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.col(key)))
-    cold = lookup.select(F.col(key).cast("string").alias("_join_key"), F.struct(*values).alias("_cold_value"))
-    joined = keyed.join(cold, "_join_key", "left")
-    value = F.when(is_hot, F.col("_hot_value")).otherwise(F.col("_cold_value"))
-    return joined.select(*probe.columns, *[value[v].alias(v) for v in values])
+    found = lookup.select(
+        F.concat(F.col(key).cast("string"), F.lit("\u0001")).alias("_lookup_key"), F.struct(*values).alias("_lookup_value")
+    )
+    joined = probe.join(found, F.concat(F.col(key).cast("string"), F.lit("\u0001")) == F.col("_lookup_key"), "left")
+    return joined.select(*probe.columns, *[F.col("_lookup_value")[v].alias(v) for v in values])
 
 
 def block_match(
@@ -55,6 +43,7 @@ def block_match(
     the caller folds the partial results per left row. Groups of more than a block number at most
     rows / block, which bounds the broadcast size table.
     """
+    left, right = cut_lineage(left), cut_lineage(right)
     nl = left.groupBy(group).agg(F.count("*").alias("_nl"))
     nr = right.groupBy(group).agg(F.count("*").alias("_nr"))
     big = (

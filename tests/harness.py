@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import signal
 import sys
 import time
 from decimal import Decimal
@@ -60,20 +61,28 @@ if __name__ == "__main__":
     from tenderflow.session import build_session
 
     sf = sys.argv[1]
-    only = sys.argv[2].split(",") if len(sys.argv) > 2 else None
+    only = sys.argv[2].split(",") if len(sys.argv) > 2 and sys.argv[2] != "all" else None
     sf_dir = f"/root/testdata/{sf}"
     s = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g")
     s.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     bad = 0
+
+    def late(*_):
+        raise TimeoutError(name)
+
+    signal.signal(signal.SIGALRM, late)
     for name, fn in entry.queries().items():
         if only and name not in only:
             continue
+        signal.alarm(int(sys.argv[3]) if len(sys.argv) > 3 else 60)
         try:
             line, ok, _ = compare(s, name, fn, oracles.get(name), sf_dir, con)
-        except Exception as e:
-            line, ok = f"FAIL {name} {str(e)[:1500]}", False
+        except BaseException as e:
+            line, ok = f"FAIL {name} {type(e).__name__} {str(e)[:1200]}", False
+            s.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         bad += not ok
         print(line, flush=True)
     print("bad", bad)
