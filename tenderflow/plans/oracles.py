@@ -1 +1,428 @@
+"""SQL oracles of the queries, for a second engine that sees the given tables as views.
+
+Written from the rules, not from the Spark expressions: a plain restatement in SQL to compare results with.
+"""
+
+from __future__ import annotations
+
+from tenderflow.functions import signals as S
+from tenderflow.plans.adapters import NOW, oracle_ctes
+
 ORACLES: dict[str, str] = {}
+
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(13)"
+NOW_TS = f"TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}'"
+TODAY = f"DATE '{NOW:%Y-%m-%d}'"
+# The month of NOW and the day of NOW in Manila, as UTC bounds.
+MONTH = ("TIMESTAMP '2023-12-31 16:00:00'", "TIMESTAMP '2024-01-31 16:00:00'")
+DAY = ("TIMESTAMP '2024-01-19 16:00:00'", "TIMESTAMP '2024-01-20 16:00:00'")
+RECENT = "TIMESTAMP '2023-07-24 00:00:00'"
+
+
+def add(name: str, tables: str, body: str, more: str = "", recursive: bool = False) -> None:
+    ctes = [oracle_ctes(*tables.split())] if tables else []
+    if more:
+        ctes.append(more)
+    head = ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(ctes) + "\n") if ctes else ""
+    ORACLES[name] = head + body
+
+
+def tx(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '')"
+
+
+def tr(x: str) -> str:
+    return f"trim({tx(x)}, {WS})"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({tx(x)}, '\\s+', ' ', 'g'), {WS})"
+
+
+def wid(x: str) -> str:
+    return f"greatest(coalesce({x}, 0), 0)"
+
+
+def url_key(x: str) -> str:
+    return f"rtrim(regexp_replace(regexp_replace(lower({tr(x)}), '^https?://', ''), '^www\\.', ''), '/')"
+
+
+def listing_key(x: str) -> str:
+    return f"rtrim(lower({tr(x)}), '/')"
+
+
+def title_key(x: str) -> str:
+    plain = f"regexp_replace({tr(x)}, '^corporate:', '', 'i')"
+    return f"lower(regexp_replace(trim({plain}, {WS}), '\\s+', ' ', 'g'))"
+
+
+def project_key(x: str) -> str:
+    return f"CASE WHEN regexp_matches({tr(x)}, '^[0-9]{{5,8}}$') THEN {tr(x)} ELSE '' END"
+
+
+def day_of(x: str) -> str:
+    """Day of the date texts that the extracts hold."""
+    return (
+        f"CASE WHEN regexp_matches({tr(x)}, '^\\d{{4}}-') THEN CAST(substr({tr(x)}, 1, 10) AS DATE)"
+        f" WHEN regexp_matches({tr(x)}, '^\\d+/\\d+/\\d{{4}}$') THEN CAST(strptime({tr(x)}, '%m/%d/%Y') AS DATE)"
+        f" WHEN regexp_matches({tr(x)}, '^[A-Z][a-z]+ \\d+, \\d{{4}}$') THEN CAST(strptime({tr(x)}, '%B %d, %Y') AS DATE) END"
+    )
+
+
+def identity(table: str, ident: str, end: str, source: str = "BID_URL_ID", title: str = "TITLE", url: str = "URL", naics: str = "NAICSCODE") -> str:
+    return f"""SELECT *, {url_key(url)} AS url_key, lower({tr(url)}) AS raw_url, lower({tr('SOLICITATIONNUMBER')}) AS sol_key,
+  lower({tr('THIRD_PARTY_IDENTIFIER')}) AS tp_key, {wid(source)} AS source_key, {end} AS end_day, {title_key(title)} AS title_key,
+  {project_key(naics)} AS project_key FROM {table}"""
+
+
+STRONG = "contains(url_key, '/')"
+TIER_A = f"({STRONG} OR sol_key <> '' OR tp_key <> '' OR (project_key <> '' AND source_key > 0))"
+
+EMAIL = (
+    r"^[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*"
+    r"@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9]*(-[A-Za-z0-9]+)*$"
+)
+
+
+def is_email(x: str) -> str:
+    return f"(regexp_matches({x}, '{EMAIL}') AND length({x}) <= 254)"
+
+
+def first_email(x: str) -> str:
+    parts = f"list_filter(regexp_split_to_array({tr(x)}, '[\\s,;|]+'), lambda p: p <> '' AND {is_email('p')})"
+    return f"CASE WHEN lower({tr(x)}) <> 'not provided' THEN substr({parts}[1], 1, 255) END"
+
+
+def email_in_text(x: str) -> str:
+    found = f"regexp_extract_all({tx(x)}, '\\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})\\b', 1)"
+    return f"substr(list_filter({found}, lambda p: {is_email('p')})[1], 1, 255)"
+
+
+def comparable_email(x: str) -> str:
+    s = f"lower({tr(x)})"
+    return f"CASE WHEN NOT contains({s}, 'not provided') AND {is_email(s)} THEN {s} ELSE '' END"
+
+
+def posting(x: str) -> str:
+    s = f"lower({collapse(x)})"
+    return (
+        f"CASE WHEN {s} = '' OR contains({s}, 'not provided') THEN 'uncertain'"
+        f" WHEN {s} IN ('private_company', 'government', 'uncertain') THEN {s}"
+        f" WHEN regexp_matches({s}, 'private[\\s_-]*company|^corporate$') THEN 'private_company'"
+        f" WHEN regexp_matches({s}, '^government$|^gov$|public sector|public agency|municipal|county ') THEN 'government'"
+        " ELSE 'uncertain' END"
+    )
+
+
+def words(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def has_any(x: str, values: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{v}')" for v in values) + ")"
+
+
+def valid_naics(c: str) -> str:
+    return (
+        f"(regexp_matches({c}, '^\\d{{2,6}}$') AND substr({c}, 1, 2) IN ({words(S.NAICS_SECTORS)})"
+        f" AND NOT (length({c}) = 6 AND starts_with({c}, '926') AND {c} NOT IN ({words(S.NAICS_926)})))"
+    )
+
+
+def host_of(x: str) -> str:
+    full = f"CASE WHEN regexp_matches({tr(x)}, '^(?i)[a-z][a-z0-9+.-]*:/') THEN {tr(x)} ELSE 'https://' || {tr(x)} END"
+    return f"regexp_replace(lower(regexp_extract({full}, '^(?i)[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1)), '^www\\.', '')"
+
+
+def is_portal_host(h: str) -> str:
+    suffix = " OR ".join(f"{h} = '{s}' OR ends_with({h}, '.{s}')" for s in S.PORTAL_HOST_SUFFIXES)
+    return f"({h} <> '' AND ({has_any(h, S.PORTAL_MARKERS)} OR {suffix}))"
+
+
+def portal(x: str) -> str:
+    return has_any(f"lower({tr(x)})", S.PORTAL_MARKERS)
+
+
+def source_label(name: str, url: str) -> str:
+    return f"CASE WHEN {tr(url)} = '' THEN NULL WHEN {tr(name)} <> '' THEN {tr(name)} || ' — ' || {tr(url)} ELSE {tr(url)} END"
+
+
+def entity_label() -> str:
+    n, e = collapse("name"), comparable_email("email")
+    return (
+        f"CASE WHEN {n} = '' THEN 'Entity' ELSE {n} END || ' (#' || CAST(id AS VARCHAR) || ')'"
+        f" || CASE WHEN {e} <> '' THEN ' · ' || {e} ELSE '' END"
+    )
+
+
+def state_label() -> str:
+    n, a = tr("name"), f"upper({tr('abbreviation')})"
+    return f"CASE WHEN {n} <> '' AND {a} <> '' THEN {a} || ' — ' || {n} WHEN {n} <> '' THEN {n} WHEN {a} <> '' THEN {a} END"
+
+
+def iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+DIRECTORY = f"""directory AS (SELECT id, CASE WHEN first_last <> '' THEN first_last WHEN {tr('NAME')} <> '' THEN {tr('NAME')} ELSE 'Unnamed' END AS label
+ FROM (SELECT *, trim({tr('FIRSTNAME')} || ' ' || {tr('LASTNAME')}) AS first_last FROM "users" WHERE TIME_ZONE = 'Asia/Manila'))"""
+
+# ---------------------------------------------------------------- sources and sinks
+
+LINES = """src_lines AS (SELECT c_custkey + 1 AS line_no, 'https://agency' || CAST(c_custkey % 700 AS VARCHAR) || '.gov/Bids' AS url,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Office ' || CAST(c_custkey * 7 % 1100 AS VARCHAR) END AS name, c_custkey AS k
+ FROM customer WHERE c_custkey % 17 <> 3),
+ open_lines AS (SELECT *, row_number() OVER (ORDER BY line_no) AS n,
+   ['u|' || url] || CASE WHEN name = '' THEN [] ELSE ['n|' || name] END AS keys FROM src_lines
+  WHERE url NOT IN (SELECT url FROM "bid_url" WHERE scrape_group = 'Test')
+   AND name NOT IN (SELECT name FROM "bid_url" WHERE scrape_group = 'Test' AND coalesce(name, '') <> '')),
+ walk(n, line_no, kept, seen) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT o.n, o.line_no, NOT list_has_any(w.seen, o.keys),
+    CASE WHEN list_has_any(w.seen, o.keys) THEN w.seen ELSE w.seen || o.keys END
+  FROM walk w JOIN open_lines o ON o.n = w.n + 1)"""
+add("import_source_list", "bid_url", """SELECT l.line_no, l.url, l.name,
+  CASE WHEN k % 3 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS start_time, CAST(NULL AS TIMESTAMP) AS end_time,
+  k % 40 AS weight, k % 60 AS user_id, CAST(0 AS BIGINT) AS check_changes, CAST(1 AS BIGINT) AS visit_required,
+  '99000000000000000' || CAST(k % 900 + 100 AS VARCHAR) AS checksum, 1 AS valid, CAST(0 AS BIGINT) AS third_party_url_id,
+  'Test' AS scrape_group
+FROM open_lines l JOIN walk w ON w.line_no = l.line_no AND w.kept""", LINES, recursive=True)
+
+add("parse_model_responses", "responses", f"""SELECT listing_url, source_id, pos, is_fallback,
+  coalesce(title, url_title) AS "TITLE", coalesce(enddate, '') AS "ENDDATE", coalesce(naics, '') AS "NAICSCODE",
+  CASE WHEN coalesce(detail, '') IN ('', '0') THEN listing_url ELSE detail END AS "URL", '' AS "BID_CATEGORY", '' AS "LOCATION_STATE",
+  {posting('posting')} AS "POSTING_ENTITY", coalesce({first_email('email')}, '') AS "CONTACT_EMAIL", coalesce(org, '') AS "ISSUING_ORGANIZATION",
+  CASE WHEN is_fallback THEN backup ELSE regexp_replace(CASE WHEN coalesce(descr, '') = '' THEN backup ELSE descr END, '\\n{{3,}}', chr(10) || chr(10), 'g') END AS "DESCRIPTION",
+  coalesce(sol, '') AS "SOLICITATIONNUMBER", '' AS "THIRD_PARTY_IDENTIFIER"
+FROM (SELECT listing_url, source_id, coalesce(idx - 1, 0) AS pos, b IS NULL AS is_fallback, 'Bids' AS seg, 'Bids' AS url_title,
+   CASE WHEN coalesce(pdf_text, '') <> '' THEN pdf_text WHEN coalesce(page_text, '') <> '' THEN page_text ELSE '{S.NO_TEXT}' END AS backup,
+   b->>'$.TITLE' AS title, CASE WHEN json_type(b, '$.ENDDATE') = 'ARRAY' THEN b->>'$.ENDDATE[0]' ELSE b->>'$.ENDDATE' END AS enddate,
+   b->>'$.NAICSCODE' AS naics, b->>'$.URL' AS detail, b->>'$.POSTING_ENTITY' AS posting,
+   (b->>'$.CONTACT_EMAIL[0]') || ' ' || (b->>'$.CONTACT_EMAIL[1]') AS email, b->>'$.ISSUING_ORGANIZATION' AS org,
+   b->>'$.DESCRIPTION' AS descr, b->>'$.SOLICITATIONNUMBER' AS sol
+  FROM (SELECT *, unnest(CASE WHEN len(bids) > 0 THEN bids ELSE [NULL] END) AS b, unnest(CASE WHEN len(bids) > 0 THEN range(1, len(bids) + 1) ELSE [NULL] END) AS idx
+   FROM (SELECT *, CASE WHEN json_valid(raw_json) THEN CAST(json_extract(raw_json, '$.bids') AS JSON[]) ELSE [] END AS bids FROM "responses")))""")
+
+add("load_reference_table", "", "SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS website FROM customer")
+
+
+def cell(x: str, number: bool = False) -> str:
+    escaped = f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;')"
+    kind = f"CASE WHEN regexp_matches({x}, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') AND NOT contains({x}, '.') THEN 'Number' ELSE 'String' END"
+    return f"'<Cell><Data ss:Type=\"' || {kind} || '\">' || {escaped} || '</Data></Cell>'"
+
+
+add("export_unassigned", "BIDURL", f"""SELECT '<Row>' || {cell('CAST(ID AS VARCHAR)')} || {cell(tx('URL'))} || {cell(tx('NAME'))}
+  || {cell("coalesce(strftime(END_TIME, '%Y-%m-%d %H:%M:%S'), '')")} || '</Row>' AS value
+FROM "BIDURL" WHERE coalesce(USER_ID, 0) = 0""")
+
+# ---------------------------------------------------------------- listings
+
+SCRAPED = '(SELECT id FROM "bid_url" WHERE last_scraped_at IS NOT NULL)'
+add("list_live_bids", "bid bid_url", f"""SELECT ID, TITLE, URL, CREATED, BID_URL_ID - 1000 AS BID_URL_ID FROM "bid"
+WHERE CREATED >= {RECENT} AND (contains(lower(TITLE), 'road') OR contains(lower(NAICSCODE), 'road') OR contains(lower(URL), 'road'))
+ AND BID_URL_ID - 1000 IN {SCRAPED} ORDER BY CREATED DESC, ID DESC LIMIT 100""")
+add("list_missing_entity", "bid", f"""SELECT ID, TITLE, CREATED, ENTITYID FROM "bid" WHERE CREATED >= {RECENT} AND coalesce(ENTITYID, 0) = 0
+ORDER BY CREATED DESC, ID DESC LIMIT 100 OFFSET 100""")
+add("list_missing_category", "bid", """SELECT ID, TITLE, CREATED, CATEGORYID FROM "bid" WHERE USERID = 7 AND coalesce(CATEGORYID, 0) = 0
+ORDER BY CREATED DESC, ID DESC LIMIT 100""")
+add("list_unassigned_sources", "BIDURL", """SELECT * FROM "BIDURL" WHERE coalesce(USER_ID, 0) = 0
+ AND (contains(lower(URL), 'rivertown') OR contains(lower(NAME), 'rivertown')) ORDER BY ID LIMIT 150 OFFSET 150""")
+add("list_sources", "bid_url", """SELECT id, url, name, scrape_group FROM "bid_url" WHERE scrape_group = 'Test'
+ AND (contains(lower(url), 'city') OR contains(lower(name), 'city')) ORDER BY id LIMIT 200""")
+add("list_failed_sources", "failed_bid_urls", """SELECT id, url, name, failure_message, failed_at FROM "failed_bid_urls"
+WHERE contains(lower(url), 'promo') OR contains(lower(name), 'promo') OR contains(lower(failure_message), 'promo')
+ORDER BY failed_at DESC, id DESC LIMIT 200""")
+add("list_pending", "bids_temp entity", f"""SELECT p.id, TITLE, URL, created_at, e.label AS entity_label FROM (SELECT * FROM "bids_temp"
+  WHERE contains(lower(TITLE), 'supply') OR contains(lower(URL), 'supply') OR contains(lower(bid_url_name), 'supply') OR contains(lower(NAICSCODE), 'supply')
+  ORDER BY id, created_at LIMIT 200 OFFSET 400) p LEFT JOIN (SELECT id, {entity_label()} AS label FROM "entity") e ON e.id = p.ENTITYID""")
+add("list_recent_issues", "scrape_logs", """SELECT * FROM (SELECT * FROM "scrape_logs" ORDER BY created_at DESC, id DESC LIMIT 200)
+ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50""")
+NOT_EXPIRED = f"(ENDDATE IN ('', '0') OR coalesce(({day_of('ENDDATE')}) >= {TODAY}, false))"
+add("drop_expired", "extract", f'SELECT doc_id, ENDDATE FROM "extract" WHERE {NOT_EXPIRED}')
+add("select_sources_to_scrape", "bid_url", f"""SELECT id, url, CASE WHEN {tr('url')} = '' THEN 'missing_url'
+ WHEN NOT regexp_matches({tr('url')}, '^(?i)https?://[^\\s/?#]+') THEN 'invalid_url'
+ WHEN CAST(last_scraped_at AS DATE) = {TODAY} THEN 'scraped_today' ELSE 'due' END AS scrape_status FROM "bid_url" """)
+add("manual_entry_eligible", "bid_url", f"""SELECT id, url FROM "bid_url"
+WHERE coalesce(CAST(coalesce(last_scraped_at, end_time) AS DATE) <> {TODAY}, true)""")
+add("directory_users", "users", "SELECT id, label FROM directory", DIRECTORY)
+
+LABELS = f"""e_l AS (SELECT id, {entity_label()} AS label FROM "entity"), s_l AS (SELECT id, {state_label()} AS label FROM "state"),
+ u_l AS (SELECT ID AS id, {source_label('NAME', 'URL')} AS label FROM "BIDURL")"""
+
+
+def label_of(side: str, ident: str, unknown: str) -> str:
+    return f"CASE WHEN coalesce({ident}, 0) > 0 THEN coalesce({side}.label, '{unknown}' || CAST({ident} AS VARCHAR)) ELSE '—' END"
+
+
+LABELLED = """"bid" b LEFT JOIN e_l ON e_l.id = b.ENTITYID AND b.ENTITYID > 0 LEFT JOIN s_l ON s_l.id = b.STATEID AND b.STATEID > 0
+ LEFT JOIN u_l ON u_l.id = b.BID_URL_ID AND b.BID_URL_ID > 0"""
+LABEL_COLUMNS = f"""{label_of('e_l', 'b.ENTITYID', 'Entity #')} AS entity, {label_of('s_l', 'b.STATEID', 'State #')} AS state,
+ {label_of('u_l', 'b.BID_URL_ID', 'Bid URL #')} AS bid_url"""
+ADDED = f"""SELECT b.ID AS id, {tx('b.TITLE')} AS title, {LABEL_COLUMNS}, {iso('b.CREATED')} AS created,
+ strftime(b.CREATED + INTERVAL 8 HOUR, '%b %-d, %Y') AS created_display FROM {LABELLED}
+ WHERE b.CREATED >= {MONTH[0]} AND b.CREATED < {MONTH[1]} AND b.USERID IN (SELECT id FROM directory WHERE id > 0)"""
+add("bids_added_listing", "bid users entity state BIDURL", ADDED, DIRECTORY + ", " + LABELS)
+add("filter_report_rows", "bid users entity state BIDURL", f"""SELECT * FROM ({ADDED})
+WHERE contains(lower(title || ' ' || entity || ' ' || bid_url || ' ' || state || ' ' || created_display || ' ' || created), 'rfp 1')""", DIRECTORY + ", " + LABELS)
+add("attach_report_labels", "bid entity state BIDURL", f"SELECT b.ID, {LABEL_COLUMNS} FROM {LABELLED}", LABELS)
+
+# ---------------------------------------------------------------- columns
+
+add("derive_identity_keys", "bids_temp", f"""SELECT id, url_key, raw_url, {STRONG} AS strong_url, sol_key, tp_key, source_key, end_day, title_key,
+ title_key AS raw_title_key, project_key, {TIER_A} AS has_tier_a FROM k""", f"k AS ({identity('bids_temp', 'id', 'CAST(ENDDATE AS DATE)')})")
+FINGERPRINT = """[CASE WHEN url_key <> '' THEN 'url:' || url_key END, CASE WHEN sol_key <> '' THEN 'sol:' || sol_key END,
+ CASE WHEN tp_key <> '' THEN 'tp:' || tp_key END,
+ CASE WHEN source_key > 0 AND end_day IS NOT NULL AND title_key <> '' THEN 'bc:' || CAST(source_key AS VARCHAR) || ':' || CAST(end_day AS VARCHAR) || ':' || title_key END,
+ CASE WHEN source_key > 0 AND project_key <> '' THEN 'naics:' || CAST(source_key AS VARCHAR) || ':' || project_key END]"""
+add("fingerprint_keys", "bid", f"SELECT * FROM (SELECT ID, unnest({FINGERPRINT}) AS fingerprint FROM k) WHERE fingerprint IS NOT NULL",
+    f"k AS ({identity('bid', 'ID', 'CAST(ENDDATE AS DATE)')})")
+add("url_variants", "bid", f"""SELECT DISTINCT ID, unnest([{tr('URL')}, {url_key('URL')}, 'https://' || {url_key('URL')}, 'http://' || {url_key('URL')},
+ 'https://www.' || {url_key('URL')}, 'http://www.' || {url_key('URL')}]) AS variant FROM "bid" WHERE {url_key('URL')} <> ''""")
+
+
+def cleaned(x: str) -> str:
+    keep = f"{tr('l')} <> '' AND NOT contains(lower({tr('l')}), 'not provided') AND NOT starts_with(lower({tr('l')}), 'naics')"
+    return f"trim(coalesce(array_to_string(list_filter(regexp_split_to_array({tx(x)}, '\\r\\n|\\r|\\n'), lambda l: {keep}), chr(10)), ''), {WS})"
+
+
+add("clean_description", "bid extract", f"""SELECT 'bid' AS kind, ID AS id, {cleaned('DESCRIPTION')} AS description FROM "bid"
+UNION ALL SELECT 'extract', doc_id, {cleaned('DESCRIPTION')} FROM "extract" """)
+add("resolve_contact_email", "bid extract", f"""SELECT 'extract' AS kind, doc_id AS id, coalesce({first_email('CONTACT_EMAIL')}, {email_in_text('DESCRIPTION')}) AS email FROM "extract"
+UNION ALL SELECT 'bid', ID, coalesce({first_email('EMAIL')}, {email_in_text('DESCRIPTION')}) FROM "bid" """)
+
+
+def naics_sql(field: str, desc: str, title: str, url: str) -> str:
+    f = f"CASE WHEN contains(lower({tr(field)}), 'census.gov/naics') AND regexp_extract({tr(field)}, '[?&]input=([^&#]*)', 1) <> '' THEN regexp_extract({tr(field)}, '[?&]input=([^&#]*)', 1) WHEN lower({tr(field)}) = 'not provided' THEN '' ELSE {tr(field)} END"
+
+    def checked(e: str) -> str:
+        return f"CASE WHEN {valid_naics(e)} THEN {e} END"
+
+    first = [checked(f"regexp_extract({x}, '(\\d{{2,6}})', 1)") for x in (f"({f})", tx(desc), tx(title), tx(url))]
+    labelled = [checked(f"regexp_extract({tx(x)}, '(?i)NAICS[^0-9]{{0,10}}(\\d{{2,6}})', 1)") for x in (desc, title, url)]
+    low = f"lower({tx(desc)} || ' ' || {tx(title)})"
+    keyword = "CASE " + " ".join(f"WHEN {has_any(low, ws)} THEN '{code}'" for ws, code in S.NAICS_KEYWORDS) + " END"
+    return f"coalesce({first[0]}, {', '.join(labelled)}, {keyword}, {', '.join(first[1:])}, '{S.NAICS_DEFAULT}')"
+
+
+add("normalize_naics", "extract", f"""SELECT doc_id, {naics_sql('NAICSCODE', 'DESCRIPTION', 'TITLE', 'listing_url')} AS naics FROM "extract" """)
+PREFIXED = f"CASE WHEN {tr('TITLE')} <> '' AND {posting('POSTING_ENTITY')} = 'private_company' AND NOT regexp_matches({tr('TITLE')}, '^(?i)Corporate\\s*:\\s+') THEN 'Corporate: ' || {tr('TITLE')} ELSE TITLE END"
+add("corporate_prefix", "extract", f'SELECT doc_id, {PREFIXED} AS title FROM "extract"')
+add("normalize_posting_entity", "extract", f'SELECT doc_id, POSTING_ENTITY, {posting("POSTING_ENTITY")} AS posting_entity FROM "extract"')
+
+
+def org_sql(x: str) -> str:
+    s = collapse(x)
+    bare = s
+    for p in S.PORTAL_VENDOR_PATTERNS:
+        bare = f"trim(regexp_replace({bare}, '(?i){p}', '', 'g'), {WS})"
+    bare = f"trim({bare}, {WS} || ',-·|—–')"
+    return f"CASE WHEN {s} = '' OR lower({s}) IN ('not provided', 'n/a') OR length({bare}) < 3 THEN '' ELSE {bare} END"
+
+
+TAGS = "<!--.*?-->|</?[A-Za-z!?][^>]*>?"
+ADDRESS_LINES = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace({tr('DESCRIPTION')}, '{TAGS}', '', 'gs'), '\\r\\n|\\r', chr(10), 'g'), chr(10)),
+ lambda v: trim(regexp_replace(v, '[ \\t]+', ' ', 'g'), {WS})), lambda v: v <> ''), chr(10))"""
+MISSING = "({x} = '' OR starts_with(lower({l}), 'not provided') OR lower({l}) IN (" + words(S.SNIPPET_PLACEHOLDERS) + "))"
+add("normalize_contact_fields", "extract", f"""SELECT doc_id, organization, phone, length(address) AS address_chars,
+ md5(CASE WHEN address = '' AND phone = '' THEN lang ELSE rtrim(lang) || chr(10) || chr(10) || '---' || chr(10) || '**Issuing entity — address & phone**'
+  || CASE WHEN address <> '' THEN chr(10) || 'Address: ' || address ELSE '' END || CASE WHEN phone <> '' THEN chr(10) || 'Phone: ' || phone ELSE '' END END) AS block_md5
+FROM (SELECT doc_id, lang, organization,
+  CASE WHEN {MISSING.format(x='ph', l='ph')} THEN '' WHEN length(ph) > 512 THEN substr(ph, 1, 512) || '...' ELSE ph END AS phone,
+  CASE WHEN {MISSING.format(x='ad', l="trim(string_split(ad, chr(10))[1])")} THEN '' WHEN length(ad) > 2500 THEN substr(ad, 1, 2500) || '...' ELSE ad END AS address
+ FROM (SELECT doc_id, lang, substr({org_sql('ISSUING_ORGANIZATION')}, 1, 500) AS organization, {collapse('CONTACT_EMAIL')} AS ph, coalesce({ADDRESS_LINES}, '') AS ad FROM "extract"))""")
+add("flatten_description", "", """SELECT 'event' AS kind, event_id AS id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, '$.' || k)), chr(10)) AS description FROM events
+UNION ALL SELECT 'document', doc_id, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') FROM documents""")
+
+
+def url_title(longer: int, default: str, skip: bool) -> str:
+    path = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+    parts = f"list_filter(string_split(trim({path}, '/'), '/'), lambda p: {'p <> chr(48) AND length(p) > 0' if skip else 'true'})"
+    telling = f"list_filter({parts}, lambda p: strlen(p) > {longer} AND NOT regexp_matches(p, '^[0-9.]+$'))"
+    last = f"coalesce({telling}[-1], {parts}[-1], '')"
+    spaced = f"url_decode(regexp_replace({last}, '-|_|%20', ' ', 'g'))"
+    cap = f"array_to_string(list_transform(string_split(lower({spaced}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return f"CASE WHEN coalesce({cap}, '') IN ('', '0') THEN '{default}' ELSE {cap} END"
+
+
+add("title_from_url", "", f"SELECT page_id, url, {url_title(5, 'Bidding Page', False)} AS page_title, {url_title(3, 'Document', True)} AS document_title FROM pages")
+
+DESC, LINK = "lower(DESCRIPTION)", "lower(listing_url)"
+BIDW = S.BID_WORDS
+VERDICT = f"""CASE WHEN end_day IS NULL AND NOT {TIER_A} THEN 'no_end_date_or_stable_key' WHEN strlen({tr('TITLE')}) < 5 THEN 'short_title'
+ WHEN lower({tr('TITLE')}) IN ({words(S.GENERIC_TITLES)}) THEN 'generic_title' WHEN regexp_matches({tr('TITLE')}, '(?i){BIDW}') THEN 'keyword_in_title'
+ WHEN regexp_matches({DESC}, '(?i){BIDW}') THEN 'keyword_in_description' WHEN regexp_matches({LINK}, '(?i){BIDW}') THEN 'keyword_in_url'
+ WHEN strlen({DESC}) < 120 THEN 'thin_description' WHEN {has_any(DESC, S.GEO_BLOCK_PHRASES)} THEN 'blocked_phrase' ELSE 'substantial' END"""
+EXTRACT_KEYS = f"k AS ({identity('extract', 'doc_id', day_of('ENDDATE'), source='source_id')})"
+add("classify_bid_like", "extract", f"""SELECT doc_id, reason IN ('keyword_in_title', 'keyword_in_description', 'keyword_in_url', 'substantial') AS is_bid, reason
+FROM (SELECT doc_id, {VERDICT} AS reason FROM k)""", EXTRACT_KEYS)
+
+HINT = "regexp_replace(split_part(host, '.', 1), '[-_]+', ' ', 'g')"
+add("url_host_and_portal", "BIDURL bid_url", f"""SELECT url, CASE WHEN {tr('url')} = '' THEN '' ELSE host END AS host, {is_portal_host('host')} AS is_portal,
+ CASE WHEN {is_portal_host('host')} AND len(string_split(host, '.')) >= 3 AND length(split_part(host, '.', 1)) >= 4 AND regexp_matches(split_part(host, '.', 1), '[-_]')
+  THEN array_to_string(list_transform(list_filter(string_split({HINT}, ' '), lambda w: length(w) >= 2), lambda w: upper(w[1]) || w[2:]), ' ') ELSE '' END AS hint
+FROM (SELECT url, CASE WHEN {tr('url')} = '' THEN '' ELSE {host_of('url')} END AS host FROM (SELECT url FROM pages UNION ALL SELECT URL FROM "BIDURL" UNION ALL SELECT url FROM "bid_url"))""")
+
+CANON = f"trim(regexp_replace(regexp_replace(lower({collapse('name')}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+CANON_CASE = """CASE WHEN regexp_matches(n, '^city and county of .+$') THEN trim(substr(n, 20)) || ' city county'
+ WHEN regexp_matches(n, '^.+\\s+city of$') THEN trim(regexp_extract(n, '^(.+)\\s+city of$', 1)) || ' city'
+ WHEN regexp_matches(n, '^city of .+$') THEN trim(substr(n, 9)) || ' city' WHEN regexp_matches(n, '^county of .+$') THEN trim(substr(n, 11)) || ' county' ELSE n END"""
+add("entity_name_keys", "entity", f"""SELECT id, canonical, (SELECT coalesce(string_agg(w, ' | ' ORDER BY i), '') FROM (SELECT w, min(i) AS i FROM (SELECT unnest(string_split(canonical, ' ')) AS w, generate_subscripts(string_split(canonical, ' '), 1) AS i)
+  WHERE length(w) >= 3 AND w NOT IN ({words(S.NAME_STOP_WORDS)}) GROUP BY w)) AS tokens
+FROM (SELECT id, {CANON_CASE} AS canonical FROM (SELECT id, {CANON} AS n FROM "entity"))""")
+
+
+def hint_sql(x: str) -> str:
+    s = f"trim(regexp_replace({tx(x)}, '{TAGS}', '', 'gs'), {WS})"
+    return f"CASE WHEN lower({s}) IN ('not provided', 'n/a') THEN '' ELSE {s} END"
+
+
+BLOB = "(TITLE || ' ' || DESCRIPTION)"
+STATE_HINT = f"CASE WHEN {hint_sql('LOCATION_STATE')} <> '' THEN {hint_sql('LOCATION_STATE')} ELSE coalesce(list_filter(regexp_extract_all({BLOB}, '\\b([A-Z]{{2}})\\b', 1), lambda v: v IN ({words(S.US_STATES)}))[1], '') END"
+CAT_TEXT = f"trim(CASE WHEN regexp_matches({BLOB}, '(?i)commodity\\s*[/:]\\s*(.+)') THEN regexp_extract({BLOB}, '(?i)commodity\\s*[/:]\\s*(.+)', 1) ELSE regexp_extract({BLOB}, '(?i)category\\s*[/:]\\s*(.+)', 1) END, {WS})"
+add("geo_and_category_hints", "extract", f"""SELECT doc_id, {STATE_HINT} AS state_hint,
+ CASE WHEN {hint_sql('BID_CATEGORY')} <> '' THEN {hint_sql('BID_CATEGORY')} ELSE {CAT_TEXT} END AS category_hint FROM "extract" """)
+
+SLUG = "CASE WHEN TITLE = '' THEN 'Unknown-' || pk ELSE regexp_replace(substr(TITLE, 1, 40), '[^\\p{L}\\p{N}]', '-', 'g') || '-' || pk END"
+TP_PK = f"CASE WHEN regexp_matches({tr('THIRD_PARTY_IDENTIFIER')}, '^\\d+$') THEN {tr('THIRD_PARTY_IDENTIFIER')}"
+add("public_link", "bid", f"""SELECT ID, '{S.PUBLIC_LINK_BASE}' || {SLUG.replace('pk', 'pk1')} AS link, '{S.PUBLIC_LINK_BASE}' || {SLUG.replace('pk', 'pk2')} AS trusted_link
+FROM (SELECT *, {TP_PK} END AS pk1, {TP_PK} ELSE CAST(ID AS VARCHAR) END AS pk2 FROM "bid")""")
+
+
+def pairs_sql(record: str, table: str) -> str:
+    return f"""SELECT {record} AS record, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM (SELECT *, list_filter(regexp_split_to_array({tr('DESCRIPTION')}, '\\r?\\n+'), lambda v: v <> '' AND v <> '0') AS ls FROM "{table}")"""
+
+
+add("description_pairs", "bid extract", f"""SELECT record, pos, CASE WHEN instr(line, ':') > 0 THEN trim(substr(line, 1, instr(line, ':') - 1), {WS}) ELSE '' END AS label,
+ CASE WHEN instr(line, ':') > 0 THEN trim(substr(line, instr(line, ':') + 1), {WS}) ELSE trim(line, {WS}) END AS value
+FROM ({pairs_sql("'bid ' || CAST(ID AS VARCHAR)", 'bid')} UNION ALL {pairs_sql("'doc ' || CAST(doc_id AS VARCHAR)", 'extract')})""")
+add("option_labels", "entity state BIDURL", f"""SELECT 'entity' AS kind, id, {entity_label()} AS label FROM "entity"
+UNION ALL SELECT 'state', id, {state_label()} FROM "state" WHERE {state_label()} IS NOT NULL
+UNION ALL SELECT 'source', ID, {source_label('NAME', 'URL')} FROM "BIDURL" WHERE {tr('URL')} <> ''""")
+
+
+def payload(kind: str, table: str, ident: str, created: str) -> str:
+    return f"""SELECT b.{ident} AS record_id, '{kind}' AS source, CASE WHEN {tr('TITLE')} IN ('', '0') THEN 'Untitled' ELSE {tr('TITLE')} END AS "TITLE", {tx('DESCRIPTION')} AS "DESCRIPTION",
+ {tr('b.EMAIL')} AS "EMAIL", {tr('URL')} AS "URL", {iso('ENDDATE')} AS "ENDDATE", {tr('NAICSCODE')} AS "NAICSCODE", {iso(created)} AS "CREATED",
+ CASE WHEN ENTITYID > 0 THEN ENTITYID END AS "ENTITYID", CASE WHEN ENTITYID > 0 THEN coalesce(e_l.label, 'Entity #' || CAST(ENTITYID AS VARCHAR)) END AS entity_label
+FROM "{table}" b LEFT JOIN e_l ON e_l.id = b.ENTITYID AND b.ENTITYID > 0"""
+
+
+add("detail_payload", "bid bids_temp entity", payload("live", "bid", "ID", "coalesce(CREATED, LAST_MODIFIED)") + " UNION ALL " + payload("pending", "bids_temp", "id", "coalesce(created_at, CREATED)"),
+    f'e_l AS (SELECT id, {entity_label()} AS label FROM "entity")')
+
+
+def js(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || {x} || '\"' END"
+
+
+def jts(x: str) -> str:
+    return js(f"strftime({x}, '%Y-%m-%dT%H:%M:%S')")
+
+
+add("record_payload", "bid", f"""SELECT ID, '{{"CREATED":' || {jts('CREATED')} || ',"EMAIL":' || {js('EMAIL')} || ',"ENDDATE":' || {jts('ENDDATE')} || ',"ID":' || CAST(ID AS VARCHAR)
+ || ',"NSN":' || {js('NSN')} || ',"TITLE":' || {js('TITLE')} || ',"USERID":' || CAST(USERID AS VARCHAR) || '}}' AS payload FROM "bid" """)
+add("last_scraped", "bid_url", 'SELECT id, coalesce(last_scraped_at, end_time) AS last_scraped FROM "bid_url"')
+add("apply_ingest_defaults", "extract users", f"""SELECT doc_id, CAST(10 AS BIGINT) AS "SUBSCRIPTIONTYPEID", CAST(1 AS BIGINT) AS "SETASIDECODEID", (SELECT max(id) FROM directory WHERE id = 4) AS "USERID",
+ {NOW_TS} AS "CREATED", {NOW_TS} AS "LAST_MODIFIED", md5(CASE WHEN doc_id % 5 = 0 OR DESCRIPTION IN ('', '0') THEN '{S.NO_DESCRIPTION}' ELSE DESCRIPTION END) AS description_md5 FROM "extract" """, DIRECTORY)
