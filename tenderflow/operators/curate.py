@@ -399,7 +399,7 @@ def validate_records(rows: DataFrame, directory: DataFrame | None = None, *, url
     text; columns that are missing are not checked.
     """
     have = set(rows.columns)
-    out = rows
+    out, numbers = rows, {}
     for c in ("DESCRIPTION", "EMAIL", "URL", "NAICSCODE", "SOLICITATIONNUMBER", "THIRD_PARTY_IDENTIFIER", "NSN",
               "INLINEURL", "COUNTRY_ID", "ENDDATE", "FEDDATE", "CREATED", "LAST_MODIFIED"):
         if c in have:
@@ -422,16 +422,17 @@ def validate_records(rows: DataFrame, directory: DataFrame | None = None, *, url
             given = trimmed(c)
             number = F.when(given.rlike(r"^[+-]?\d+$"), given.try_cast("bigint"))
             checks.append(F.when((given != "") & number.isNull(), f"{c} must be an integer."))
-            out = out.withColumn(c, number)
+            numbers[c] = number
     if directory is not None and "USERID" in have:
         allowed = directory.select(F.col("id").cast("bigint").alias("_allowed")).distinct()
-        keyed = out.withColumn("_user", F.col("USERID").cast("string"))
+        keyed = out.withColumn("_user", numbers["USERID"].cast("string"))
         known = allowed.select(F.col("_allowed").cast("string").alias("_user"), F.lit(True).alias("_known"))
         out = lookup_join(keyed, known, "_user", ["_known"]).drop("_user")
-        same = F.coalesce(F.col(current_user).cast("bigint") == F.col("USERID"), F.lit(False)) if current_user else F.lit(False)
+        same = F.coalesce(F.col(current_user).cast("bigint") == numbers["USERID"], F.lit(False)) if current_user else F.lit(False)
         checks.append(
-            F.when(F.col("USERID").isNotNull() & F.col("_known").isNull() & ~same,
+            F.when(numbers["USERID"].isNotNull() & F.col("_known").isNull() & ~same,
                    "Choose a user from the Manila (Asia/Manila) list.")
         )
-    return out.withColumn("errors", F.array_compact(F.array(*checks))).drop("_known")
+    # The checks read the texts as given, so the errors come before the ids become integers.
+    return out.withColumn("errors", F.array_compact(F.array(*checks))).drop("_known").withColumns(numbers)
 

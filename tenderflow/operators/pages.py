@@ -297,7 +297,7 @@ def extract_detail_links(
 ) -> DataFrame:
     """Links to detail pages of single solicitations, the first of each URL per page."""
     found = links if links is not None else extract_links(pages, key, url, html)
-    href, target = F.col("href"), F.col("URL")
+    href, target = F.col("href"), F.col("_target")
     non_http = r"(?i)^\s*(mailto|tel|sms|fax|data|blob):"
     host, path, query = F.lower(_url_part(target, "host")), _url_part(target, "path"), _url_part(target, "query")
     filtered_portal = (
@@ -310,7 +310,7 @@ def extract_detail_links(
     in_bids = path.rlike(r"(?i)/Bids/[^/?#]+")
     anchors = (
         found.where(F.col("tag") == "a")
-        .withColumn("URL", resolve_href(href, F.col(url)))
+        .withColumn("_target", resolve_href(href, F.col(url)))
         .where(~href.rlike(r"(?i)\.pdf($|\?)") & ~href.rlike("(?i)^javascript:"))
         .where(~href.rlike(non_http) & ~target.rlike(non_http))
         .where(~is_template_href(href) & ~is_template_href(target))
@@ -324,17 +324,17 @@ def extract_detail_links(
         )
         .where(F.octet_length("TITLE") >= 5)
         .where(F.col("in_bids") | F.lower(F.concat(F.col("TITLE"), F.lit(" "), target)).rlike(words))
-        .select(key, F.col("pos").cast("bigint").alias("pos"), trimmed("TITLE").alias("TITLE"), "URL")
+        .select(key, F.col("pos").cast("bigint").alias("pos"), trimmed("TITLE").alias("TITLE"), target.alias("URL"))
     )
     raw = F.regexp_extract_all(text(html), F.lit(r"""(?i)\bhref=(["'])(/Bids/[^"']+)\1"""), F.lit(2))
     scanned = (
         pages.select(key, url, F.posexplode(raw).alias("p", "href"))
-        .withColumn("URL", resolve_href(F.col("href"), F.col(url)))
-        .where(~same_document(F.col("URL"), F.col(url)))
-        .withColumn("TITLE", detail_path_title(F.col("URL")))
+        .withColumn("_target", resolve_href(F.col("href"), F.col(url)))
+        .where(~same_document(target, F.col(url)))
+        .withColumn("TITLE", detail_path_title(target))
         .where(F.octet_length("TITLE") >= 5)
         # After every anchor of the page.
-        .select(key, (F.col("p") + F.lit(1 << 40)).alias("pos"), "TITLE", "URL")
+        .select(key, (F.col("p") + F.lit(1 << 40)).alias("pos"), "TITLE", target.alias("URL"))
     )
     return dedupe_links(anchors.unionByName(scanned), key, "URL", "pos")
 

@@ -206,8 +206,8 @@ SELECT doc_id, 'https://agency' || CAST(doc_id % 60 AS STRING) || '.gov/bids' AS
   CASE WHEN doc_id % 4 = 0 THEN 'Bonfire Hub' WHEN doc_id % 4 = 1 THEN 'N/A' WHEN doc_id % 4 = 2 THEN 'DemandStar - Rivertown ' || CAST(doc_id AS STRING)
        ELSE 'Rivertown ' || CAST(doc_id AS STRING) || ' County School District' END AS ISSUING_ORGANIZATION,
   text AS DESCRIPTION,
-  CASE WHEN doc_id % 9 = 0 THEN 'S-' || CAST(doc_id % 100 AS STRING) ELSE 'Not provided' END AS SOLICITATIONNUMBER,
-  CASE WHEN doc_id % 10 = 0 THEN 'X' || CAST(doc_id % 77 AS STRING) ELSE '' END AS THIRD_PARTY_IDENTIFIER,
+  CASE WHEN doc_id % 9 = 0 THEN 'SOL-' || CAST(doc_id % 100 * 4 + 1 AS STRING) ELSE 'Not provided' END AS SOLICITATIONNUMBER,
+  CASE WHEN doc_id % 10 = 0 THEN 'tp-' || CAST(doc_id % 77 * 7 + 2 AS STRING) ELSE '' END AS THIRD_PARTY_IDENTIFIER,
   lang, source
 FROM {documents}""",
     # Model responses: the records of a listing as one JSON text each.

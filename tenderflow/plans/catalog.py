@@ -615,7 +615,7 @@ def search_entities(spark, sf_dir):
 
 @query
 def search_states(spark, sf_dir):
-    return listing.search_states(Tables(spark, sf_dir)["state"], "nation_1")
+    return listing.search_states(Tables(spark, sf_dir)["state"], "ON%")
 
 
 @query

@@ -426,3 +426,251 @@ add("record_payload", "bid", f"""SELECT ID, '{{"CREATED":' || {jts('CREATED')} |
 add("last_scraped", "bid_url", 'SELECT id, coalesce(last_scraped_at, end_time) AS last_scraped FROM "bid_url"')
 add("apply_ingest_defaults", "extract users", f"""SELECT doc_id, CAST(10 AS BIGINT) AS "SUBSCRIPTIONTYPEID", CAST(1 AS BIGINT) AS "SETASIDECODEID", (SELECT max(id) FROM directory WHERE id = 4) AS "USERID",
  {NOW_TS} AS "CREATED", {NOW_TS} AS "LAST_MODIFIED", md5(CASE WHEN doc_id % 5 = 0 OR DESCRIPTION IN ('', '0') THEN '{S.NO_DESCRIPTION}' ELSE DESCRIPTION END) AS description_md5 FROM "extract" """, DIRECTORY)
+
+# ---------------------------------------------------------------- linkage
+
+REASON = ["normalized_url", "solicitation_number", "third_party_identifier", "bid_url_project_naics", "bid_url_enddate_title", "title_enddate"]
+
+
+def matches(probe: str, stored: str, rid: str, table_rank: int, more: str = "true") -> str:
+    """All hits of the probes in one stored table, one branch per reason."""
+    cond = [
+        f"contains(p.url_key, '/') AND s.raw_url = p.url_key AND s.raw_url <> '' AND (p.source_key = 0 OR s.source_key = p.source_key)",
+        "p.sol_key <> '' AND s.sol_key = p.sol_key",
+        "p.tp_key <> '' AND s.tp_key = p.tp_key",
+        f"p.source_key > 0 AND p.project_key <> '' AND s.source_key = p.source_key AND lower({tr('s.NAICSCODE')}) = p.project_key",
+        "p.source_key > 0 AND s.source_key = p.source_key AND s.end_day = p.end_day AND s.title_key = p.title_key AND p.title_key <> ''",
+        "p.source_key = 0 AND s.end_day = p.end_day AND s.title_key = p.title_key AND p.title_key <> ''",
+    ]
+    raw = cond[0].replace("s.raw_url = p.url_key", "s.raw_url = p.raw_url")
+    every = [(0, cond[0]), (0, raw), *[(i, c) for i, c in enumerate(cond) if i]]
+    return "\nUNION ALL ".join(
+        f"SELECT p.pid, {table_rank} AS t, {r} AS r, s.{rid} AS rid FROM {probe} p JOIN {stored} s ON {c} WHERE {more}" for r, c in every
+    )
+
+
+PK = f"pk AS ({identity('bids_temp', 'id', 'CAST(ENDDATE AS DATE)')}), lk AS ({identity('bid', 'ID', 'CAST(ENDDATE AS DATE)')})"
+BEST = f"""SELECT pid AS {{pid}}, CASE WHEN r < 4 THEN 'A' WHEN r = 4 THEN 'B' ELSE 'C' END AS tier, CASE WHEN t = 0 THEN 'bids_temp' ELSE 'bid' END AS match_table,
+ rid AS record_id, [{words(REASON)}][r + 1] AS reason FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY t, r, rid) AS n FROM hits) WHERE n = 1"""
+add("match_duplicates", "bids_temp bid", BEST.format(pid="id"), PK + f""",
+ pr AS (SELECT *, id AS pid FROM pk), hits AS ({matches('pr', 'pk', 'id', 0, 's.id <> p.pid')} UNION ALL {matches('pr', 'lk', 'ID', 1)})""")
+add("match_duplicates_incoming", "bids_temp bid extract", BEST.format(pid="doc_id"), PK + f""",
+ pr AS (SELECT *, doc_id AS pid FROM ({identity('extract', 'doc_id', day_of('ENDDATE'), source='source_id + 1000')})),
+ hits AS ({matches('pr', 'pk', 'id', 0)} UNION ALL {matches('pr', 'lk', 'ID', 1)})""")
+add("duplicate_outcome", "bids_temp bid", f"""SELECT CASE WHEN tier IS NULL THEN 'unique' ELSE 'duplicate' END AS outcome, tier, reason, count(*) AS n
+FROM pk LEFT JOIN (SELECT id, tier, reason FROM ({BEST.format(pid='id')})) m USING (id) GROUP BY ALL""", PK + f""",
+ pr AS (SELECT *, id AS pid FROM pk), hits AS ({matches('pr', 'lk', 'ID', 1)})""")
+
+SHOWN = """source, id, CASE WHEN tt = '' THEN 'Untitled' ELSE tt END AS title, strftime(ENDDATE, '%-m/%-d/%Y') AS end_date, uu AS url, ee AS email, strftime(scraped, '%-m/%-d/%Y') AS scraped"""
+add("similar_bids", "bid bids_temp", f"""SELECT qid, CASE c WHEN 1 THEN 'entity' WHEN 2 THEN 'email' ELSE 'url' END AS match_type, CAST(n AS INTEGER) AS position, {SHOWN}
+FROM (SELECT h.*, row_number() OVER (PARTITION BY qid ORDER BY coalesce(ts, TIMESTAMP '1970-01-01') DESC, source, id) AS n FROM hits h
+ JOIN (SELECT qid, min(c) AS c FROM hits GROUP BY qid) f USING (qid, c)) WHERE n <= 5""", f"""
+ st AS (SELECT 'live' AS source, ID AS id, {tr('TITLE')} AS tt, ENDDATE, {tr('URL')} AS uu, {tr('EMAIL')} AS ee, coalesce(ENTITYID, 0) AS ent, coalesce(CREATED, LAST_MODIFIED) AS ts, CREATED AS scraped FROM "bid"
+  UNION ALL SELECT 'pending', id, {tr('TITLE')}, ENDDATE, {tr('URL')}, {tr('EMAIL')}, coalesce(ENTITYID, 0), coalesce(created_at, CREATED), created_at FROM "bids_temp"),
+ vals AS (SELECT source, id, unnest([CASE WHEN ent > 0 THEN '1|' || CAST(ent AS VARCHAR) END, CASE WHEN ee <> '' THEN '2|' || lower(ee) END, CASE WHEN uu <> '' THEN '3|' || lower(uu) END]) AS v, * EXCLUDE (source, id) FROM st),
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY ts DESC NULLS LAST, source, id) AS rn FROM vals WHERE v IS NOT NULL) WHERE rn <= 6),
+ qs AS (SELECT DISTINCT ID AS qid, unnest([CASE WHEN ENTITYID > 0 THEN '1|' || CAST(ENTITYID AS VARCHAR) END, CASE WHEN {is_email("lower(" + tr('EMAIL') + ")")} THEN '2|' || lower({tr('EMAIL')}) END,
+   CASE WHEN {url_key('URL')} <> '' THEN '3|' || {url_key('URL')} END, CASE WHEN {url_key('URL')} <> '' THEN '3|' || lower({tr('URL')}) END]) AS v FROM "bid"),
+ hits AS (SELECT DISTINCT qid, CAST(v[1] AS INTEGER) AS c, source, id, tt, ENDDATE, uu, ee, ts, scraped FROM qs JOIN top USING (v))""")
+
+EXTRACT_FP = FINGERPRINT
+WALK = """fp AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, list_filter({keys}, lambda v: v IS NOT NULL) AS keys FROM k),
+ walk(n, doc_id, kept, seen) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST([] AS VARCHAR[])
+  UNION ALL SELECT f.n, f.doc_id, NOT list_has_any(w.seen, f.keys), CASE WHEN list_has_any(w.seen, f.keys) THEN w.seen ELSE w.seen || f.keys END
+  FROM walk w JOIN fp f ON f.n = w.n + 1)"""
+add("ordered_greedy_dedup", "extract", "SELECT doc_id, kept FROM walk WHERE n > 0", EXTRACT_KEYS + ",\n" + WALK.format(keys=FINGERPRINT), recursive=True)
+add("dedupe_stream", "extract", 'SELECT doc_id, TITLE FROM walk JOIN "extract" USING (doc_id) WHERE kept', EXTRACT_KEYS + ",\n" + WALK.format(keys=FINGERPRINT), recursive=True)
+
+BASE = "regexp_extract(url, '^[A-Za-z]+://[^/?#:]+')"
+HREFS = """hrefs AS (SELECT page_id, url, unnest(hs) AS href, CAST(unnest(range(0, len(hs))) AS INTEGER) AS pos FROM (SELECT *, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages))"""
+
+
+def resolved(h: str) -> str:
+    return f"CASE WHEN {h} IN ('', '#') THEN url WHEN regexp_matches({h}, '^(?i)[a-z][a-z0-9+.-]*:') THEN {h} WHEN starts_with({h}, '/') THEN {BASE} || {h} ELSE {BASE} || '/' || {h} END"
+
+
+add("dedupe_links", "", f"""SELECT page_id, u AS "URL", min(pos) AS pos FROM (SELECT page_id, pos, {resolved('trim(href)')} AS u FROM hrefs) GROUP BY ALL""", HREFS)
+add("dedupe_snapshots", "", """SELECT listing_url, pos, h AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY listing_url ORDER BY pos) AS n FROM
+ (SELECT source AS listing_url, md5(text) AS h, min(doc_id) AS pos FROM documents WHERE strlen(text) >= 80 AND NOT contains(lower(text), 'password') GROUP BY ALL)) WHERE n <= 8""")
+
+# ---------------------------------------------------------------- resolution
+
+add("resolve_state", "extract state", f"""SELECT doc_id, state_id FROM (SELECT doc_id, coalesce(
+  (SELECT min(id) FROM "state" s WHERE regexp_matches(h, '^[A-Za-z]{{2}}$') AND upper({tr('s.abbreviation')}) = upper(h)),
+  (SELECT min(id) FROM "state" s WHERE lower({tr('s.name')}) = lower(h)),
+  (SELECT min(id) FROM "state" s WHERE contains(lower({tr('s.name')}), lower(h)) OR contains(lower(h), lower({tr('s.name')})))) AS state_id
+ FROM (SELECT doc_id, {STATE_HINT} AS h FROM "extract") WHERE h <> '') WHERE state_id IS NOT NULL""")
+MASTER = f"""ix AS (SELECT {listing_key('URL')} AS u, min(ID) AS mid FROM "BIDURL" WHERE {listing_key('URL')} <> '' GROUP BY 1),
+ src AS (SELECT id AS sid, {listing_key('url')} AS own, coalesce(third_party_url_id, 0) AS tp FROM "bid_url")"""
+add("resolve_master_source_id", "bid_url BIDURL bids_temp", f"""SELECT 'source' AS kind, sid AS id, coalesce(t.ID, o.mid, m.ID, sid) AS master_source_id
+ FROM src LEFT JOIN "BIDURL" t ON t.ID = tp AND tp > 0 LEFT JOIN ix o ON o.u = own LEFT JOIN "BIDURL" m ON m.ID = sid
+UNION ALL SELECT 'pending', p.id, CASE WHEN {wid('p.BID_URL_ID')} < 1 THEN h.mid ELSE coalesce(m.ID, o.mid, h.mid, p.BID_URL_ID) END
+ FROM "bids_temp" p LEFT JOIN "BIDURL" m ON m.ID = p.BID_URL_ID LEFT JOIN src ON sid = p.BID_URL_ID LEFT JOIN ix o ON o.u = own
+ LEFT JOIN ix h ON h.u = {listing_key('p.source_listing_url')}""", MASTER)
+add("scope_to_scraped_sources", "bid bid_url", f'SELECT ID, BID_URL_ID - 1000 AS BID_URL_ID FROM "bid" WHERE BID_URL_ID - 1000 IN {SCRAPED}')
+LATEST_USER = """latest AS (SELECT bid_url_id, user_id FROM (SELECT BID_URL_ID AS bid_url_id, USER_ID AS user_id,
+ row_number() OVER (PARTITION BY BID_URL_ID ORDER BY END_TIME DESC NULLS LAST, START_TIME DESC NULLS LAST, ID DESC) AS n FROM "BIDURLHISTORY"
+ WHERE USER_ID IS NOT NULL AND USER_ID <> 0) WHERE n = 1)"""
+add("latest_user_per_source", "BIDURLHISTORY", "SELECT * FROM latest", LATEST_USER)
+add("assign_sources_from_history", "BIDURL BIDURLHISTORY", """SELECT ID, CASE WHEN coalesce(m.USER_ID, 0) = 0 AND l.user_id > 0 THEN l.user_id ELSE m.USER_ID END AS "USER_ID",
+ CASE WHEN coalesce(m.USER_ID, 0) <> 0 THEN 'unchanged' WHEN l.user_id > 0 THEN 'assigned' ELSE 'skipped_no_history' END AS outcome
+FROM "BIDURL" m LEFT JOIN latest l ON l.bid_url_id = m.ID""", LATEST_USER)
+ERRORS = """errs AS (SELECT bid_url_id, id AS log_id, message, created_at FROM (SELECT *, row_number() OVER (PARTITION BY bid_url_id ORDER BY created_at DESC, id DESC) AS n
+ FROM "scrape_logs" WHERE level = 'error' AND bid_url_id IS NOT NULL) WHERE n = 1)"""
+add("latest_error_per_source", "scrape_logs", "SELECT * FROM errs", ERRORS)
+add("apply_title_rewrites", "extract", """SELECT doc_id, e.TITLE, coalesce(w.rewrite, e.TITLE) AS display_title FROM "extract" e LEFT JOIN last w USING (listing_url, TITLE)""", """
+ rw AS (SELECT 'https://agency' || CAST(doc_id % 60 AS VARCHAR) || '.gov/bids' AS listing_url, 'Rewritten ' || CAST(doc_id AS VARCHAR) AS rewrite,
+   row_number() OVER (PARTITION BY doc_id % 60 ORDER BY doc_id) AS place FROM documents WHERE NOT (doc_id % 60 = 11 AND doc_id < 60)),
+ raw AS (SELECT listing_url, TITLE, row_number() OVER (PARTITION BY listing_url ORDER BY doc_id) AS place FROM "extract" WHERE TITLE NOT IN ('', '0')),
+ good AS (SELECT listing_url FROM (SELECT listing_url, count(*) AS n FROM raw GROUP BY 1) JOIN (SELECT listing_url, count(*) AS n FROM rw GROUP BY 1) USING (listing_url, n)),
+ last AS (SELECT listing_url, TITLE, arg_max(rewrite, place) AS rewrite FROM raw JOIN rw USING (listing_url, place) WHERE listing_url IN (SELECT listing_url FROM good) GROUP BY ALL)""")
+
+# ---------------------------------------------------------------- reports
+
+
+def within(x: str, bounds: tuple[str, str]) -> str:
+    return f"({x} >= {bounds[0]} AND {x} < {bounds[1]})"
+
+
+add("user_activity_report", "bid bid_url_history users", """SELECT 'user' AS row_type, user_id, label, bids_added, urls_visited, bids_today FROM rep
+UNION ALL SELECT 'total', NULL, 'Total', CAST(sum(bids_added) AS BIGINT), CAST(sum(urls_visited) AS BIGINT), CAST(sum(bids_today) AS BIGINT) FROM rep""", DIRECTORY + f""",
+ rep AS (SELECT d.id AS user_id, label, (SELECT count(*) FROM "bid" b WHERE b.USERID = d.id AND {within('b.CREATED', MONTH)}) AS bids_added,
+  (SELECT count(*) FROM "bid_url_history" v WHERE v.user_id = d.id AND {within('v.start_time', MONTH)}) AS urls_visited,
+  (SELECT count(*) FROM "bid" b WHERE b.USERID = d.id AND {within('b.CREATED', DAY)}) AS bids_today FROM directory d WHERE d.id > 0)""")
+KEEP = "('keyword_in_title', 'keyword_in_description', 'keyword_in_url', 'substantial')"
+add("run_summary", "extract", """SELECT url, CAST(grouping(url) AS TINYINT) AS is_total, count(*) AS extracted, count(*) FILTER (o <> 'expired') AS after_date_filter, count(*) FILTER (o = 'expired') AS expired,
+ count(*) FILTER (o = 'saved') AS saved, count(*) FILTER (o = 'duplicate') AS duplicates, count(*) FILTER (o = 'rejected') AS rejected,
+ CASE WHEN grouping(url) = 1 OR count(*) FILTER (o = 'saved') > 0 THEN NULL
+  WHEN count(*) FILTER (o = 'duplicate') > 0 THEN CAST(count(*) FILTER (o = 'duplicate') AS VARCHAR) || ' already pending or live — check Pending Approval'
+  WHEN count(*) FILTER (o = 'rejected') > 0 THEN 'missing end date or weak bid signals'
+  WHEN count(*) FILTER (o = 'expired') > 0 THEN CAST(count(*) FILTER (o = 'expired') AS VARCHAR) || ' expired (filtered out)' END AS message,
+ CASE WHEN grouping(url) = 0 AND count(*) FILTER (o IN ('saved', 'duplicate')) = 0 THEN CASE WHEN count(*) FILTER (o = 'rejected') > 0 THEN 'No bids found. Please check the URL.' ELSE 'No bids found.' END END AS issue
+FROM out GROUP BY ROLLUP (url)""", EXTRACT_KEYS + f""",
+ out AS (SELECT listing_url AS url, CASE WHEN NOT {NOT_EXPIRED} THEN 'expired' WHEN SOLICITATIONNUMBER <> 'Not provided' THEN 'duplicate'
+  WHEN ({VERDICT}) IN {KEEP} AND doc_id % 60 < 20 THEN 'saved' ELSE 'rejected' END AS o FROM k)""")
+add("issue_counts", "scrape_logs", """SELECT level, count(*) AS issues FROM "scrape_logs" GROUP BY level UNION ALL SELECT 'all', count(*) FROM "scrape_logs" """)
+add("dashboard_counts", "scrape_logs bids_temp BIDURL failed_bid_urls", """SELECT (SELECT count(*) FROM "scrape_logs") AS issues, (SELECT count(*) FROM "bids_temp") AS pending,
+ (SELECT count(*) FROM "BIDURL" WHERE coalesce(USER_ID, 0) = 0) AS unassigned, (SELECT count(*) FROM "failed_bid_urls") AS failed""")
+add("distinct_groups", "bid_url", """SELECT DISTINCT trim(scrape_group) AS scrape_group FROM "bid_url" WHERE trim(scrape_group) <> '' UNION SELECT 'Test'""")
+add("report_range", "bid", f"""SELECT CAST(CREATED + INTERVAL 8 HOUR AS DATE) AS manila_day, count(*) AS n FROM "bid" WHERE {within('CREATED', MONTH)} GROUP BY 1""")
+add("daily_activity_stream", "", "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS manila_day, user_id, count(*) AS visits FROM events GROUP BY ALL")
+
+# ---------------------------------------------------------------- typeahead
+
+add("search_entities", "entity", f"""SELECT id, {entity_label()} AS label FROM "entity" WHERE contains(lower(name), '12') OR contains(lower(email), '12') OR id = 12 ORDER BY id LIMIT 100""")
+add("search_states", "state", f"""SELECT id, {state_label()} AS label FROM "state" WHERE contains(lower(name), 'on') OR contains(lower(abbreviation), 'on') ORDER BY lower(label), id LIMIT 50""")
+add("search_categories", "category", """SELECT id, trim(name) AS label FROM "category" WHERE contains(lower(name), 'm') ORDER BY lower(name), id LIMIT 50""")
+add("search_sources", "BIDURL bid_url", f"""SELECT 'master' AS kind, ID AS id, {source_label('NAME', 'URL')} AS label, {tr('URL')} AS url FROM
+ (SELECT * FROM "BIDURL" WHERE contains(lower(URL), 'agency') OR contains(lower(NAME), 'agency') ORDER BY NAME, URL, ID LIMIT 100)
+UNION ALL SELECT 'user', coalesce(mid, id), {source_label('name', 'url')}, {tr('url')} FROM
+ (SELECT * FROM "bid_url" WHERE user_id = 5 AND (contains(lower(url), 'gov') OR contains(lower(name), 'gov')) ORDER BY name, url, id LIMIT 100) LEFT JOIN ix ON u = {listing_key('url')}""", MASTER)
+
+# ---------------------------------------------------------------- table maintenance
+
+add("map_pending_to_live", "bids_temp bid_url BIDURL", f"""SELECT p.id AS pending_id, substr({tr('TITLE')}, 1, 255) AS "TITLE", p.URL, coalesce(CASE WHEN p.BID_URL_ID IS NOT NULL THEN
+  CASE WHEN p.BID_URL_ID < 1 THEN coalesce(h.mid, p.BID_URL_ID) ELSE coalesce(m.ID, o.mid, h.mid, p.BID_URL_ID) END END, 0) AS "BID_URL_ID",
+ CASE WHEN p.BID_URL_ID % 2 = 0 THEN CAST(77 AS BIGINT) ELSE 0 END AS "USERID", coalesce(ENTITYID, 0) AS "ENTITYID", coalesce(CATEGORYID, 0) AS "CATEGORYID", coalesce(STATEID, 0) AS "STATEID",
+ coalesce(INLINEURL, '0') AS "INLINEURL", coalesce(COUNTRY_ID, 'us') AS "COUNTRY_ID", NAICSCODE, {NOW_TS} AS "LAST_MODIFIED"
+ FROM "bids_temp" p LEFT JOIN "BIDURL" m ON m.ID = p.BID_URL_ID LEFT JOIN src ON sid = p.BID_URL_ID LEFT JOIN ix o ON o.u = own
+ LEFT JOIN ix h ON h.u = {listing_key('p.source_listing_url')}""", MASTER)
+add("patch_live", "bids_temp bid", """SELECT b.ID, TITLE, coalesce(p.ENTITYID, b.ENTITYID) AS "ENTITYID", coalesce(p.EMAIL, b.EMAIL) AS "EMAIL", coalesce(p.INLINEURL, b.INLINEURL) AS "INLINEURL",
+ coalesce(p.LAST_MODIFIED, b.LAST_MODIFIED) AS "LAST_MODIFIED" FROM "bid" b LEFT JOIN (SELECT CAST(floor(id / 80000000) AS BIGINT) + 1 AS pid, max(ENTITYID) AS ENTITYID, min(EMAIL) AS EMAIL,
+ max(INLINEURL) AS INLINEURL, max(LAST_MODIFIED) AS LAST_MODIFIED FROM "bids_temp" GROUP BY 1) p ON p.pid = b.ID""")
+add("quarantine_failed", "bid_url failed_bid_urls scrape_logs", """SELECT 'active' AS list, id, url, NULL AS failure_message FROM "bid_url" WHERE id NOT IN (SELECT id FROM moved)
+UNION ALL SELECT 'failed', id, url, failure_message FROM "failed_bid_urls" WHERE id NOT IN (SELECT known FROM placed WHERE known IS NOT NULL)
+UNION ALL SELECT 'failed', known, url, message FROM placed WHERE known IS NOT NULL
+UNION ALL SELECT 'failed', (SELECT max(id) FROM "failed_bid_urls") + row_number() OVER (ORDER BY src_id), url, message FROM placed WHERE known IS NULL""", ERRORS + """,
+ moved AS (SELECT s.id, s.url, message FROM "bid_url" s JOIN errs ON errs.bid_url_id = s.id WHERE last_scraped_at IS NULL OR errs.created_at > last_scraped_at),
+ placed AS (SELECT url, max(id) AS src_id, arg_max(message, id) AS message, (SELECT min(f.id) FROM "failed_bid_urls" f WHERE f.url = moved.url) AS known FROM moved GROUP BY url)""")
+RESTORE = """act_u AS (SELECT DISTINCT url FROM "bid_url" WHERE scrape_group = 'Test'), act_n AS (SELECT DISTINCT name FROM "bid_url" WHERE scrape_group = 'Test' AND coalesce(name, '') <> ''),
+ f AS (SELECT id, url, name, url IN (SELECT url FROM act_u) AS ua, coalesce(name IN (SELECT name FROM act_n), false) AS na, row_number() OVER (ORDER BY id) AS n FROM "failed_bid_urls"),
+ walk(n, id, outcome, urls, names) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL SELECT f.n, f.id, o, CASE WHEN o = 'restored' THEN urls || [f.url] ELSE urls END, CASE WHEN o = 'restored' AND coalesce(f.name, '') <> '' THEN names || [f.name] ELSE names END
+  FROM (SELECT w.urls, w.names, f.n, f.id, f.url, f.name, CASE WHEN f.ua OR list_contains(w.urls, f.url) THEN 'already_active'
+    WHEN f.na OR (coalesce(f.name, '') <> '' AND list_contains(w.names, f.name)) THEN 'skipped' ELSE 'restored' END AS o FROM walk w JOIN f ON f.n = w.n + 1) f)"""
+add("restore_failed", "bid_url failed_bid_urls", "SELECT id, outcome FROM walk WHERE n > 0", RESTORE, recursive=True)
+add("restore_stats", "bid_url failed_bid_urls", "SELECT outcome, count(*) AS n FROM walk WHERE n > 0 GROUP BY outcome", RESTORE, recursive=True)
+add("finish_visits", "bid_url failed_bid_urls bid_url_history", """SELECT 'source' AS kind, id, coalesce(s, start_time) AS start_time, coalesce(e, end_time) AS end_time, coalesce(e, last_scraped_at) AS last_scraped_at FROM "bid_url" LEFT JOIN last ON bid = id
+UNION ALL SELECT 'failed', id, coalesce(s, start_time), coalesce(e, end_time), coalesce(e, last_scraped_at) FROM "failed_bid_urls" LEFT JOIN last ON bid = original_bid_url_id
+UNION ALL SELECT 'history', id, start_time, end_time, NULL FROM "bid_url_history"
+UNION ALL SELECT 'history', (SELECT max(id) FROM "bid_url_history") + row_number() OVER (ORDER BY e, bid, s, u NULLS FIRST), s, e, NULL FROM v""", """
+ v AS (SELECT bid_url_id AS bid, start_time + INTERVAL 30 DAY AS s, end_time + INTERVAL 30 DAY AS e, user_id AS u FROM "bid_url_history" WHERE end_time IS NOT NULL AND bid_url_id > 0),
+ last AS (SELECT bid, arg_max(s, e) AS s, max(e) AS e FROM v GROUP BY bid)""")
+add("bulk_source_and_queue_updates", "bid_url bids_temp", f"""SELECT 'source' AS kind, id, CASE WHEN coalesce(scrape_group, '') = '' THEN 'Test' ELSE scrape_group END AS scrape_group,
+ CASE WHEN scrape_group = 'Test' THEN {NOW_TS} WHEN scrape_group = 'VE' THEN NULL ELSE last_scraped_at END AS last_scraped_at, NULL AS n FROM "bid_url"
+UNION ALL SELECT 'pending', BID_URL_ID, NULL, NULL, count(*) FROM "bids_temp" WHERE BID_URL_ID <> 1007 GROUP BY BID_URL_ID""")
+add("conform_schema", "bids_temp", 'SELECT id AS "ID", TITLE, SOLICITATIONNUMBER, ENDDATE, CAST(27 AS BIGINT) AS n_columns FROM "bids_temp"')
+add("validate_records", "extract users", f"""SELECT doc_id, nullif(em, '') AS "EMAIL", CASE WHEN regexp_matches(en, '^\\d+$') THEN CAST(en AS BIGINT) END AS "ENTITYID", u AS "USERID", array_to_string(list_filter([
+  CASE WHEN {tr('t')} = '' THEN 'Title is required.' END, CASE WHEN length(t) > 255 THEN 'Title is too long. Please keep it under 255 characters.' END,
+  CASE WHEN em <> '' AND NOT {is_email('em')} THEN 'EMAIL must be a valid email address.' END,
+  CASE WHEN ENDDATE = 'Not provided' THEN 'End date must be a valid date.' END, CASE WHEN en <> '' AND NOT regexp_matches(en, '^\\d+$') THEN 'ENTITYID must be an integer.' END,
+  CASE WHEN u NOT IN (SELECT id FROM directory) THEN 'Choose a user from the Manila (Asia/Manila) list.' END], lambda v: v IS NOT NULL), ' | ') AS errors
+FROM (SELECT doc_id, ENDDATE, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE substr(DESCRIPTION, 1, 300) END AS t, CASE WHEN doc_id % 4 = 0 THEN 'a b@c' WHEN doc_id % 4 = 1 THEN '' ELSE 'a.b@c-d.gov' END AS em,
+ CASE WHEN doc_id % 7 = 0 THEN '12x' WHEN doc_id % 7 = 1 THEN '' ELSE CAST(source_id AS VARCHAR) END AS en, doc_id % 200 AS u FROM "extract")""", DIRECTORY)
+
+# ---------------------------------------------------------------- pages
+
+
+def page_text_sql(x: str) -> str:
+    out = x
+    for t in ("script", "style", "noscript", "nav", "footer"):
+        out = f"regexp_replace({out}, '<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'gis')"
+    out = f"regexp_replace(regexp_replace({out}, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'gs')"
+    for ref, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{ref}', '{ch}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+PAGE_TEXT = f"pt AS (SELECT page_id, url, html, {page_text_sql('html')} AS text FROM pages)"
+add("pages_to_text", "", "SELECT page_id, text FROM pt", PAGE_TEXT)
+HAY = f"lower(text || ' ' || regexp_replace(html, '{TAGS}', '', 'gs'))"
+OPEN_CODE = "\\b(ifb|rfp|rfq|itb|rfb|ifq|ib|ipwb)[- ][a-z0-9]{2,}"
+
+
+def opened(x: str) -> str:
+    return f"(coalesce(TRY_CAST(regexp_extract({x}, '(\\d+)\\s+open\\s+solicitation', 1) AS BIGINT), 0) > 0 OR {has_any(x, ['que les', 'of the', 'und der'])} OR regexp_matches({x}, '{OPEN_CODE}'))"
+
+
+FLAGS = f"""fl AS (SELECT *, (contains(hay, 'casino')::INT + contains(hay, 'pills')::INT + contains(hay, 'click here')::INT + contains(hay, 'subscribe')::INT) >= 2 AS browser_check,
+  contains(lh, '<main') OR (len(regexp_extract_all(lh, '<script')) >= 3 AND strlen(vis) < 200) AS spa,
+  ((regexp_matches(html, '(?i)type=["'']password["'']') AND regexp_matches(hay, 'log in|login|sign in')) OR regexp_matches(html, '(?i)<form[^>]*(login|signin)[^>]*>')) AND NOT regexp_matches(hay, '{S.LOGIN_BID_WORDS}') AS login_page,
+  {opened('lower(text)')} AS open_bids, NOT {opened('hay')} AND {has_any('hay', ['ad 0', 'subscribe', 'cookie'])} AS no_open_bids, contains(lh, 'class="ad"') AS platform_page
+ FROM (SELECT *, {HAY} AS hay, lower(html) AS lh, regexp_replace(regexp_replace(html, '<script.*?</script>', '', 'gis'), '{TAGS}', '', 'gs') AS vis FROM pt)),
+ rs AS (SELECT *, CASE WHEN browser_check THEN 'browser check/captcha' WHEN contains(hay, 'casino') THEN 'casino' WHEN contains(hay, 'cheap') THEN 'cheap' WHEN contains(hay, 'viagra') THEN 'viagra'
+   WHEN contains(hay, 'winner') THEN 'winner' END AS blocked_reason,
+  open_bids AND NOT regexp_matches(html, '(?i)href=["''][^"'']*/Bids/[^"'']+["'']') AND (platform_page OR regexp_matches(lower(url), '^[a-z]+://[^/?#]*[^?#]*/(procurement|solicitation)')) AS needs_render FROM fl)"""
+add("classify_pages", "", """SELECT page_id, browser_check, blocked_reason, spa, login_page, open_bids, no_open_bids, platform_page, needs_render,
+ CASE WHEN blocked_reason IS NOT NULL THEN 'blocked: ' || blocked_reason WHEN login_page THEN 'login page' WHEN no_open_bids THEN 'no open bids' WHEN spa THEN 'script shell' WHEN needs_render THEN 'needs render' ELSE 'ok' END AS page_class
+FROM rs""", PAGE_TEXT + ", " + FLAGS)
+ANCHORS = """anchors AS (SELECT page_id, url, CAST(pos AS BIGINT) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, replace(replace(regexp_extract(a, '>([^<]*)<', 1), '&quot;', '"'), '&amp;', '&') AS label
+ FROM (SELECT page_id, url, unnest(xs) AS a, unnest(range(0, len(xs))) AS pos FROM (SELECT *, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS xs FROM pages)))"""
+
+
+def strip_fragment(x: str) -> str:
+    return f"regexp_replace({x}, '#.*$', '')"
+
+
+add("extract_detail_links", "", f"""SELECT page_id, u AS "URL", min(pos) AS pos, trim(arg_min(label, pos)) AS "TITLE" FROM
+ (SELECT page_id, pos, label, url, {resolved('trim(href)')} AS u FROM anchors WHERE NOT regexp_matches(href, '(?i)\\.pdf($|\\?)'))
+WHERE strlen(label) >= 5 AND regexp_matches(lower(label || ' ' || u), 'the|que|der|tion|en') AND rtrim({strip_fragment('u')}, '/') <> rtrim({strip_fragment('url')}, '/')
+GROUP BY page_id, u""", ANCHORS)
+add("primary_description", "", """SELECT doc_id, md5(CASE WHEN block IS NULL THEN t ELSE '--- PRIMARY PROJECT DESCRIPTION (use the full text below for DESCRIPTION; do not replace with a short metadata summary) ---' || chr(10) || chr(10)
+  || block || chr(10) || chr(10) || '--- PAGE TEXT ---' || chr(10) || chr(10) || t END) AS text_md5, CAST(length(block) AS INTEGER) AS chars
+FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 120 THEN regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\n{3,}', chr(10) || chr(10), 'g') END AS block,
+  'Head' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Project  Details:' ELSE 'PROJECT DESCRIPTION' END || chr(10) || text
+   || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Back To Trade Journal' || chr(10) || 'foot' WHEN doc_id % 5 = 1 THEN chr(10) || '  PDF ATTACHMENTS' || chr(10) || 'foot' ELSE '' END AS t FROM documents)""")
+add("join_document_texts", "", """SELECT source || '/' || lang AS listing_url, count(*) AS documents,
+ md5(string_agg(text, chr(10) || chr(10) || '----- NEXT DOCUMENT -----' || chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM documents WHERE text <> '' GROUP BY ALL""")
+add("prioritize_links", "bid bid_url", """SELECT page_id, pos, is_open, CAST(p AS INTEGER) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY is_open DESC, pos) AS p FROM
+ (SELECT BID_URL_ID AS page_id, b.ID AS pos, coalesce(trim(TITLE) = 'Road repair RFP ' || CAST(s.id % 50 AS VARCHAR), false)
+   OR (s.id IS NOT NULL AND trim(TITLE) <> '' AND starts_with('Road repair RFP ' || CAST(s.id % 50 AS VARCHAR), trim(TITLE))) AS is_open FROM "bid" b LEFT JOIN "bid_url" s ON s.id + 1000 = b.BID_URL_ID)) WHERE p <= 8""")
+
+
+def shrink(table: str, out: str) -> str:
+    cols = ", ".join(f"CASE WHEN t > {S.EXCERPT_BUDGET} THEN CAST(floor({c} * ({float(S.EXCERPT_BUDGET)} / t)) AS BIGINT) ELSE {c} END AS {c}" for c in ("nt", "nh", "np"))
+    return f"{out} AS (SELECT page_id, listing, {cols} FROM (SELECT *, CAST(sum(nt + nh + np) OVER (PARTITION BY listing) AS DOUBLE) AS t FROM {table}))"
+
+
+add("excerpt_budget", "", """SELECT page_id, CAST(nt AS INTEGER) AS text_chars, CAST(nh AS INTEGER) AS html_chars, CAST(np AS INTEGER) AS pdf_text_chars, md5(substr(reverse(text), 1, np)) AS pdf_md5
+FROM n3 JOIN documents ON doc_id = page_id""", f"""n0 AS (SELECT doc_id AS page_id, source || '/' || lang AS listing, least(length(text), {S.EXCERPT_CAPS['text']}) AS nt,
+ least(length(text) + 7, {S.EXCERPT_CAPS['html']}) AS nh, least(length(text), {S.EXCERPT_CAPS['pdf_text']}) AS np FROM documents), {shrink('n0', 'n1')}, {shrink('n1', 'n2')}, {shrink('n2', 'n3')}""")
