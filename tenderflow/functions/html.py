@@ -9,7 +9,8 @@ HIDDEN = {"script", "style", "noscript", "nav", "footer"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Opening one of these ends an open element of the same set, as browsers read unclosed lists and paragraphs.
 SELF_CLOSING_PEERS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
-SPACE = re.compile(r"\s+")
+SPACE = re.compile(r"[ \t\n\r\f\v]+")
+EDGE = " \t\n\r\0\v"
 
 
 class _Page(HTMLParser):
@@ -36,11 +37,11 @@ class _Page(HTMLParser):
             self.links.append({"tag": tag, "href": target, "own": (len(self.parts), len(self.parts)), "around": []})
         if tag in VOID:
             if link is not None:
-                self.links[link]["chain"] = [e for e in self.open]
+                self.links[link]["chain"] = list(self.open)
             return
         entry = [tag, len(self.parts), link, None]
         if link is not None:
-            self.links[link]["chain"] = [e for e in self.open]
+            self.links[link]["chain"] = list(self.open)
         self.open.append(entry)
         if tag in HIDDEN:
             self.hidden_depth += 1
@@ -82,7 +83,7 @@ def page_text(html: str | None) -> str:
     if not html:
         return ""
     page = _parse(html)
-    return SPACE.sub(" ", "".join(p for p, h in zip(page.parts, page.hidden) if not h)).strip()
+    return SPACE.sub(" ", "".join(p for p, h in zip(page.parts, page.hidden) if not h)).strip(EDGE)
 
 
 def page_links(html: str | None) -> list[tuple[int, str, str, str, str]]:
@@ -98,8 +99,8 @@ def page_links(html: str | None) -> list[tuple[int, str, str, str, str]]:
         start, end = link["own"]
         near = ""
         for entry in list(reversed(link["chain"]))[:3]:
-            near = SPACE.sub(" ", "".join(page.parts[entry[1]:entry[3]])).strip()
+            near = SPACE.sub(" ", "".join(page.parts[entry[1]:entry[3]])).strip(EDGE)
             if len(near.encode()) > 20:
                 break
-        out.append((pos, link["tag"], link["href"], "".join(page.parts[start:end]).strip(), near[:500]))
+        out.append((pos, link["tag"], link["href"], "".join(page.parts[start:end]).strip(EDGE), near[:500]))
     return out

@@ -21,7 +21,7 @@ def col(c: Column | str) -> Column:
 
 def let(value: Column, body) -> Column:
     """`body(value)` with the value computed once per row, for values that the body reads many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def text(c: Column | str) -> Column:

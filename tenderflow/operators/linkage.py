@@ -291,7 +291,7 @@ def similar_bids(
         "match_type",
         (F.col("pos") + 1).alias("position"),
         e["source"].alias("source"),
-        e["id"].alias("id"),
+        e["id"].alias("record_id"),
         shown.alias("title"),
         F.date_format(e["ENDDATE"], "M/d/yyyy").alias("end_date"),
         trimmed(e["URL"]).alias("url"),

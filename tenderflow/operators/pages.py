@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tenderflow.functions import signals as S
 from tenderflow.functions.html import page_links, page_text
-from tenderflow.functions.text import any_of, contains_any, let, strip_tags, text, trimmed
+from tenderflow.functions.text import contains_any, let, strip_tags, text, trimmed
 from tenderflow.functions.titles import title_from_url
 from tenderflow.operators.linkage import dedupe_links
 from tenderflow.operators.skew import lookup_join
@@ -22,7 +22,6 @@ SIMPLE_REFERENCES = {
     "bull": "•", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "amp": "&",  # last, so that no reference is read twice
 }
-HIDDEN_TAGS = ["script", "style", "noscript", "nav", "footer"]
 
 
 def _cut_bytes(c: Column, max_bytes: int | None) -> Column:
@@ -42,24 +41,32 @@ def needs_parser(html: Column) -> Column:
 def _is_hard(html: Column) -> Column:
     known = "|".join(SIMPLE_REFERENCES)
     unusual_reference = html.rlike(rf"&(?!(?:{known});)[A-Za-z#]")
-    unbalanced = any_of(
-        [F.regexp_count(html, F.lit(rf"(?i)<{t}[\s>/]")) != F.regexp_count(html, F.lit(rf"(?i)</{t}\s*>")) for t in HIDDEN_TAGS]
+    hidden = "(script|style|noscript|nav|footer)"
+    # Nested or unbalanced hidden elements leave a tag behind when the plain blocks are taken out.
+    left_over = without_hidden(html).rlike(rf"(?i)</?{hidden}[\s>/]")
+    comments = F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
+    hidden_in_comment = F.exists(comments, lambda c: c.rlike(rf"(?i)</?{hidden}"))
+    raw_text = F.regexp_extract_all(html, F.lit(r"(?is)<(?:textarea|title)\b[^>]*>(.*?)</"), F.lit(1))
+    markup_in_text = F.exists(raw_text, lambda c: c.contains("<"))
+    odd_tags = html.rlike(r"(?i)<[^a-z!/?]|</[^a-z]|<!\[cdata")
+    # Whole quoted values are stepped over; what is left must be a value with an angle bracket in it.
+    plain = r"""[^<>"']*+"""
+    attribute_markup = html.rlike(
+        rf"""(?i)<[a-z]{plain}(?:"[^"<>]*"{plain}|'[^'<>]*'{plain})*+(?:"[^"]*[<>]|'[^']*[<>])"""
     )
-    nested = any_of([html.rlike(rf"(?is)<{t}[\s>](?:(?!</{t}\s*>).)*+<{t}[\s>]") for t in ("nav", "footer", "noscript")])
-    script_markup = html.rlike(r"(?is)<(script|style)[\s>](?:(?!</\1\s*>).)*+<(nav|footer|noscript|!--)")
-    odd_tags = html.rlike(r"(?i)<[^a-z!/?]|</[^a-z]|<!\[cdata|<!--(?:(?!-->).)*+<(script|style|nav|footer|noscript)")
-    attribute_markup = html.rlike(r"""(?i)<[a-z][^<>]*(?:"[^"]*[<>][^"]*"|'[^']*[<>][^']*')""")
-    textarea = html.rlike(r"(?is)<(textarea|title)[\s>](?:(?!</\1\s*>).)*+<[a-z/!]")
-    return unusual_reference | unbalanced | nested | script_markup | odd_tags | attribute_markup | textarea
+    return unusual_reference | left_over | hidden_in_comment | markup_in_text | odd_tags | attribute_markup
+
+
+def without_hidden(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer)\b[^>]*>.*?</\1\s*>", "")
 
 
 def expression_text(html: Column) -> Column:
     """Visible text by expressions only, for pages that `needs_parser` clears."""
-    shown = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer)\b[^>]*>.*?</\1\s*>", "")
-    shown = F.regexp_replace(F.regexp_replace(shown, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
+    shown = F.regexp_replace(F.regexp_replace(without_hidden(html), r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
     for ref, ch in SIMPLE_REFERENCES.items():
         shown = F.replace(shown, F.lit(f"&{ref};"), F.lit(ch))
-    return F.regexp_replace(F.regexp_replace(shown, r"[\s\x0b\u0085\u00a0\u2028\u2029]+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(shown, r"\s+", " "), "^ | $", "")
 
 
 @F.pandas_udf(T.StringType())

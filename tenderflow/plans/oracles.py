@@ -461,7 +461,7 @@ add("duplicate_outcome", "bids_temp bid", f"""SELECT CASE WHEN tier IS NULL THEN
 FROM pk LEFT JOIN (SELECT id, tier, reason FROM ({BEST.format(pid='id')})) m USING (id) GROUP BY ALL""", PK + f""",
  pr AS (SELECT *, id AS pid FROM pk), hits AS ({matches('pr', 'lk', 'ID', 1)})""")
 
-SHOWN = """source, id, CASE WHEN tt = '' THEN 'Untitled' ELSE tt END AS title, strftime(ENDDATE, '%-m/%-d/%Y') AS end_date, uu AS url, ee AS email, strftime(scraped, '%-m/%-d/%Y') AS scraped"""
+SHOWN = """source, id AS record_id, CASE WHEN tt = '' THEN 'Untitled' ELSE tt END AS title, strftime(ENDDATE, '%-m/%-d/%Y') AS end_date, uu AS url, ee AS email, strftime(scraped, '%-m/%-d/%Y') AS scraped"""
 add("similar_bids", "bid bids_temp", f"""SELECT qid, CASE c WHEN 1 THEN 'entity' WHEN 2 THEN 'email' ELSE 'url' END AS match_type, CAST(n AS INTEGER) AS position, {SHOWN}
 FROM (SELECT h.*, row_number() OVER (PARTITION BY qid ORDER BY coalesce(ts, TIMESTAMP '1970-01-01') DESC, source, id) AS n FROM hits h
  JOIN (SELECT qid, min(c) AS c FROM hits GROUP BY qid) f USING (qid, c)) WHERE n <= 5""", f"""
