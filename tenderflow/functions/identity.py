@@ -86,8 +86,13 @@ def _key(cond: Column, *parts: Column | str) -> Column:
     return F.when(cond, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
+def present(keys: Column) -> Column:
+    """The keys that a record really has."""
+    return F.filter(keys, lambda k: k.isNotNull())
+
+
 def _distinct(*keys: Column) -> Column:
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+    return F.array_distinct(present(F.array(*keys)))
 
 
 def fingerprint_keys() -> Column:
@@ -116,13 +121,16 @@ REASONS = [
 
 
 def stored_keys(naics: str = "NAICSCODE", url_match: str = "raw") -> Column:
-    """Keys a stored record can be found by. `url_match='key'` compares URL keys on both sides."""
+    """Keys a stored record can be found by, null where it has none; explode and drop the nulls, or use `present`.
+
+    `url_match='key'` compares URL keys on both sides.
+    """
     c = F.col
     stored_url = c("raw_url") if url_match == "raw" else c("url_key")
     code = F.lower(trimmed(naics))
     titled = c("end_day").isNotNull() & (c("title_key") != "")
     sourced = c("source_key") > 0
-    return _distinct(
+    return F.array(
         _key(stored_url != "", "u*|", stored_url),
         _key(sourced & (stored_url != ""), "u", c("source_key"), "|", stored_url),
         _key(c("sol_key") != "", "s|", c("sol_key")),
@@ -134,7 +142,7 @@ def stored_keys(naics: str = "NAICSCODE", url_match: str = "raw") -> Column:
 
 
 def probe_keys(url_match: str = "raw") -> Column:
-    """Keys a record looks itself up by, as (reason rank, key). Tier C only without a source id."""
+    """Keys a record looks itself up by, as (reason rank, key), null where it has none. Tier C only without a source id."""
     c = F.col
     sourced = c("source_key") > 0
     scope = F.when(sourced, F.concat(F.lit("u"), c("source_key").cast("string"), F.lit("|"))).otherwise("u*|")
@@ -149,9 +157,16 @@ def probe_keys(url_match: str = "raw") -> Column:
     ]
     for t in ("title_key", "raw_title_key"):
         has = dated & (c(t) != "")
+        if t == "raw_title_key":
+            has = has & (c(t) != c("title_key"))
         plan.append((4, _key(sourced & has, "b", c("source_key"), "|", c("end_day"), "|", c(t))))
         plan.append((5, _key(~sourced & has, "c|", c("end_day"), "|", c(t))))
     pairs = [F.when(k.isNotNull(), F.struct(F.lit(r).alias("rank"), k.alias("key"))) for r, k in plan]
-    return _distinct(*pairs)
+    return F.array(*pairs)
+
+
+def probe_key_names() -> Column:
+    """The probe keys without their rank."""
+    return F.transform(present(probe_keys()), lambda k: k["key"])
 
 

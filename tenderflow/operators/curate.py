@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderflow import schemas
 from tenderflow.functions import signals as S
-from tenderflow.functions.identity import derive_identity_keys, probe_keys, stored_keys
+from tenderflow.functions.identity import derive_identity_keys, present, probe_key_names, probe_keys, stored_keys
 from tenderflow.functions.text import is_email, parse_moment, text, trimmed
 from tenderflow.operators.linkage import match_duplicates, ordered_greedy_dedup
 from tenderflow.operators.listing import in_group
@@ -99,10 +99,11 @@ def _earlier_in_batch(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     """For each row the inserted row of the batch it is a duplicate of: (id, target_id), target_id < id."""
     index = (
         inserted.select(F.col("id").alias("first_id"), F.explode(stored_keys()).alias("key"))
+        .where(F.col("key").isNotNull())
         .groupBy("key")
         .agg(F.min("first_id").alias("first_id"))
     )
-    probes = rows.select("id", F.explode(probe_keys()).alias("k")).select(
+    probes = rows.select("id", F.explode(probe_keys()).alias("k")).where(F.col("k").isNotNull()).select(
         "id", F.col("k.rank").alias("rank"), F.col("k.key").alias("key")
     )
     hits = lookup_join(probes, index, "key", ["first_id"]).where(F.col("first_id") < F.col("id"))
@@ -170,8 +171,8 @@ def promote_pending(
     firsts = ordered_greedy_dedup(
         new_rows.select(
             "id",
-            F.transform(probe_keys(), lambda k: k["key"]).alias("probe_keys"),
-            F.when(titled, stored_keys()).otherwise(never).alias("emit_keys"),
+            probe_key_names().alias("probe_keys"),
+            F.when(titled, present(stored_keys())).otherwise(never).alias("emit_keys"),
         ),
         "id",
     )

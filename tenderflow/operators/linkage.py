@@ -26,7 +26,7 @@ def stored_index(pending: DataFrame | None, live: DataFrame | None, url_match: s
             F.col(ident).cast("bigint").alias(name),
             F.lit(None).cast("bigint").alias(other),
             F.explode(stored_keys(url_match=url_match)).alias("key"),
-        )
+        ).where(F.col("key").isNotNull())
         sides.append(keyed)
     every = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     return every.groupBy("key").agg(F.min("pending_id").alias("pending_id"), F.min("live_id").alias("live_id"))
@@ -45,7 +45,8 @@ def match_duplicates(
     `probes` carries the identity columns. One row per matched probe: tier, table, record id, reason. One
     equi join on exploded keys takes the place of a disjunction over the tiers.
     """
-    exploded = probes.select(F.col(probe_id).alias("_probe"), F.explode(probe_keys(url_match)).alias("_k")).select(
+    exploded = probes.select(F.col(probe_id).alias("_probe"), F.explode(probe_keys(url_match)).alias("_k"))
+    exploded = exploded.where(F.col("_k").isNotNull()).select(
         "_probe", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank")
     )
     hits = lookup_join(exploded, stored_index(pending, live, url_match), "key", ["pending_id", "live_id"])
@@ -82,7 +83,7 @@ def match_duplicates_excluding_self(
     table, ident = (pending, "id") if own == "pending" else (live, "ID")
     own_keys = derive_identity_keys(table).select(
         F.col(ident).cast("bigint").alias("own_id"), F.explode(stored_keys()).alias("key")
-    )
+    ).where(F.col("key").isNotNull())
     first = own_keys.groupBy("key").agg(F.min("own_id").alias("first_id"))
     second = (
         lookup_join(own_keys, first, "key", ["first_id"])
@@ -96,7 +97,7 @@ def match_duplicates_excluding_self(
     other_id = "live_id" if own == "pending" else "pending_id"
     exploded = derive_identity_keys(records).select(
         F.col(record_id).cast("bigint").alias("_probe"), F.explode(probe_keys()).alias("_k")
-    ).select("_probe", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank"))
+    ).where(F.col("_k").isNotNull()).select("_probe", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank"))
     hits = lookup_join(exploded, second, "key", ["first_id", "second_id"])
     hits = lookup_join(hits, other_index.select("key", other_id), "key", [other_id])
     mine = F.when(F.col("first_id") != F.col("_probe"), F.col("first_id")).otherwise(F.col("second_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tenderflow import schemas
 from tenderflow.functions.contact import resolve_contact_email
 from tenderflow.functions.description import clean_description
-from tenderflow.functions.identity import derive_identity_keys, fingerprint_keys, probe_keys, stored_keys
+from tenderflow.functions.identity import derive_identity_keys, fingerprint_keys, present, probe_key_names, stored_keys
 from tenderflow.functions.naics import normalize_naics
 from tenderflow.functions.names import category_hint, state_hint
 from tenderflow.functions.records import apply_ingest_defaults, classify_bid_like
@@ -44,10 +44,6 @@ def _given(c: str) -> Column:
     return F.when((t != "") & (F.lower(t) != "not provided"), t)
 
 
-def _table_keys() -> Column:
-    return F.transform(probe_keys(), lambda k: k["key"])
-
-
 def _in_listing(keys: Column, listing: str) -> Column:
     """Run keys hold within one listing."""
     return F.transform(keys, lambda k: F.concat_ws("\u0001", F.lit("run"), F.col(listing), k))
@@ -132,14 +128,15 @@ def ingest_extracts(
     checked = cut_lineage(judged.join(matched, "row_no", "left"))
 
     open_rows = checked.where(~F.col("blank") & F.col("tier").isNull())
-    keyed = open_rows.withColumn("_naics", F.col("NAICSCODE")).withColumn("NAICSCODE", F.col("naics"))
+    # Stored keys are those of the row as it would be saved, with its normalized code.
+    keyed = open_rows.withColumn("NAICSCODE", F.col("naics"))
     run_keys = _in_listing(fingerprint_keys(), "listing_url")
     never = F.array().cast("array<string>")
-    emitted = F.array_union(run_keys, stored_keys())
+    emitted = F.array_union(run_keys, present(stored_keys()))
     firsts = ordered_greedy_dedup(
         keyed.select(
             "row_no",
-            F.array_union(run_keys, _table_keys()).alias("probe_keys"),
+            F.array_union(run_keys, probe_key_names()).alias("probe_keys"),
             F.when(F.col("verdict.is_bid"), emitted).otherwise(never).alias("emit_keys"),
         ),
         "row_no",
@@ -254,7 +251,7 @@ def manual_bid_batch(
     matched = match_duplicates(keyed, "entry_id", pending, live).select("entry_id", "tier", "reason")
     open_rows = keyed.join(matched, "entry_id", "left_anti")
     firsts = ordered_greedy_dedup(
-        open_rows.select("entry_id", _table_keys().alias("probe_keys"), stored_keys().alias("emit_keys")),
+        open_rows.select("entry_id", probe_key_names().alias("probe_keys"), present(stored_keys()).alias("emit_keys")),
         "entry_id",
     )
     fresh = keyed.join(firsts.where("kept").select("entry_id"), "entry_id", "left_semi")

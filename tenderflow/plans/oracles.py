@@ -674,3 +674,32 @@ def shrink(table: str, out: str) -> str:
 add("excerpt_budget", "", """SELECT page_id, CAST(nt AS INTEGER) AS text_chars, CAST(nh AS INTEGER) AS html_chars, CAST(np AS INTEGER) AS pdf_text_chars, md5(substr(reverse(text), 1, np)) AS pdf_md5
 FROM n3 JOIN documents ON doc_id = page_id""", f"""n0 AS (SELECT doc_id AS page_id, source || '/' || lang AS listing, least(length(text), {S.EXCERPT_CAPS['text']}) AS nt,
  least(length(text) + 7, {S.EXCERPT_CAPS['html']}) AS nh, least(length(text), {S.EXCERPT_CAPS['pdf_text']}) AS np FROM documents), {shrink('n0', 'n1')}, {shrink('n1', 'n2')}, {shrink('n2', 'n3')}""")
+
+
+# ---------------------------------------------------------------- organization hints
+
+
+def labelled_sql(blob: str) -> str:
+    found = []
+    for label in S.ORG_LABELS:
+        hit = f"regexp_extract({blob}, '(?i)\\b{label}\\s*:\\s*([^\\r\\n]{{{{3,240}}}})', 1)".replace("{{", "{").replace("}}", "}")
+        found.append(f"list_transform(regexp_split_to_array(trim({hit}, {WS}), '[|;]'), lambda v: trim(v, {WS}))")
+    return f"list_filter({' || '.join(found)}, lambda v: length(v) >= 4)"
+
+
+def subdomain_sql(x: str) -> str:
+    h = f"CASE WHEN {tr(x)} = '' THEN '' ELSE {host_of(x)} END"
+    words_ = f"string_split(regexp_replace(split_part({h}, '.', 1), '[-_]+', ' ', 'g'), ' ')"
+    cap = f"array_to_string(list_transform(list_filter({words_}, lambda w: length(w) >= 2), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return (
+        f"CASE WHEN {is_portal_host('(' + h + ')')} AND len(string_split({h}, '.')) >= 3 AND length(split_part({h}, '.', 1)) >= 4"
+        f" AND regexp_matches(split_part({h}, '.', 1), '[-_]') THEN {cap} ELSE '' END"
+    )
+
+
+FIRSTS = """array_to_string(list_filter(hs, lambda v, i: v <> '' AND list_position(list_transform(hs, lambda w: lower(w)), lower(v)) = i), ' | ')"""
+NL = "(TITLE || chr(10) || DESCRIPTION)"
+add("organization_hints", "extract bid bid_url", f"""SELECT 'extract' AS kind, doc_id AS id, {FIRSTS} AS hints FROM (SELECT doc_id,
+  [{org_sql('s.name')}, {org_sql('ISSUING_ORGANIZATION')}, {subdomain_sql('s.url')}, {subdomain_sql('e.URL')}] || {labelled_sql(NL)} AS hs
+  FROM "extract" e LEFT JOIN "bid_url" s ON s.id = e.source_id)
+UNION ALL SELECT 'bid', ID, {FIRSTS} FROM (SELECT ID, [{subdomain_sql('b.URL')}] || {labelled_sql(NL)} AS hs FROM "bid" b)""")
