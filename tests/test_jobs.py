@@ -1,6 +1,8 @@
 """Composed jobs against a row-by-row loop, curation steps, sources and streams."""
 
+import contextlib
 import datetime as dt
+import io
 import json
 import random
 
@@ -356,17 +358,25 @@ def test_dedupe_stream_by_key(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["a", "b"]
 
 
+def formatted_plan(df):
+    """The plan as `explain("formatted")` prints it."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     table(spark, "bid", [{"ID": 1, "TITLE": "t", "CREATED": NOW, "BID_URL_ID": 1, "USERID": 7}]).write.parquet(str(tmp_path / "bid"))
     bid = spark.read.parquet(str(tmp_path / "bid"))
     src = table(spark, "bid_url", [{"id": 1, "last_scraped_at": NOW}])
     got = listing.list_live_bids(bid, src, now=NOW, user_id=7).select("ID", "TITLE")
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = formatted_plan(got)
     assert "GreaterThanOrEqual(CREATED" in plan and "EqualTo(USERID,7)" in plan and "TakeOrderedAndProject" in plan
     assert "DESCRIPTION" not in plan and [r.ID for r in got.collect()] == [1]
     visits = table(spark, "bid_url_history", [])
-    report_plan = report.user_activity_report(
-        spark.createDataFrame([(7, "x")], "id bigint, label string"), bid, visits, period=(NOW, NOW), today=(NOW, NOW)
-    )._jdf.queryExecution().executedPlan().toString()
-    scan = [line for line in report_plan.splitlines() if "FileScan" in line]
-    assert len(scan) == 1 and "ReadSchema: struct<CREATED:timestamp_ntz,USERID:bigint>" in scan[0]
+    activity = report.user_activity_report(
+        spark.createDataFrame([(7, "x")], "id bigint, label string"), bid, visits, period=(NOW - dt.timedelta(30), NOW), today=(NOW - dt.timedelta(1), NOW)
+    )
+    scans = [line for line in formatted_plan(activity).splitlines() if line.startswith("ReadSchema")]
+    assert scans == ["ReadSchema: struct<CREATED:timestamp_ntz,USERID:bigint>"]
