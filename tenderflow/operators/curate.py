@@ -292,13 +292,10 @@ def restore_failed(
     the others come back in the default group. A row restored earlier in the run counts as active.
     """
     active = in_group(sources, default_group)
-    urls = active.select(F.col("url").alias("_u")).where(F.col("_u").isNotNull()).distinct()
-    names = active.select(F.col("name").alias("_n")).where(F.coalesce("_n", F.lit("")) != "").distinct()
-    marked = (
-        failed.select(F.col("id").cast("bigint").alias("id"), "url", "name")
-        .join(urls.withColumn("url_active", F.lit(True)), F.col("url") == F.col("_u"), "left")
-        .join(names.withColumn("name_active", F.lit(True)), F.col("name") == F.col("_n"), "left")
-    )
+    urls = active.select("url").where(F.col("url").isNotNull()).distinct().withColumn("url_active", F.lit(True))
+    names = active.select("name").where(text("name") != "").distinct().withColumn("name_active", F.lit(True))
+    listed = lookup_join(failed.select(F.col("id").cast("bigint").alias("id"), "url", "name"), urls, "url", ["url_active"])
+    marked = lookup_join(listed, names, "name", ["name_active"])
     url_key = F.concat(F.lit("u|"), text("url"))
     name_key = F.when(text("name") != "", F.concat(F.lit("n|"), F.col("name")))
     both = F.filter(F.array(url_key, name_key), lambda k: k.isNotNull())

@@ -358,10 +358,10 @@ def resolve_master_source_id(
 
     def with_url(df: DataFrame, url: Column, name: str) -> DataFrame:
         index = by_url.select(F.col("url_key").alias("_u"), F.col("master_id").alias(name))
-        return df.withColumn("_u", listing_url_key(url)).join(index, "_u", "left").drop("_u")
+        return lookup_join(df.withColumn("_u", listing_url_key(url)), index, "_u", [name]).drop("_u")
 
     def with_known(df: DataFrame, c: str, name: str) -> DataFrame:
-        return df.join(ids.select(F.col("known_id").alias(c), F.col("known_id").alias(name)), c, "left")
+        return lookup_join(df, ids.select(F.col("known_id").alias(c), F.col("known_id").alias(name)), c, [name])
 
     staged = pairs.join(own, "sid", "left")
     staged = with_known(staged, "sid", "same_id")
