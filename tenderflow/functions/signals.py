@@ -138,7 +138,7 @@ SUBSCRIPTION_TYPE = 10
 SET_ASIDE_CODE = 1
 DEFAULT_GROUP = "Test"
 DIRECTORY_ZONE = "Asia/Manila"
-PUBLIC_LINK_BASE = "https://www.stateandfederalbids.com/bids/ShowBid/"
+PUBLIC_LINK_BASE = "/bids/ShowBid/"  # path of the record page; put the host of the public site before it
 
 # Accepted date shapes (a pattern that the text must match, and its format).
 DATE_SHAPES = [

@@ -172,7 +172,7 @@ def test_public_link(one):
         trust = kw.pop("trust", False)
         return one(titles.public_link("t", "i", "p", trust_local_id=trust), **kw)
 
-    base = "https://www.stateandfederalbids.com/bids/ShowBid/"
+    base = "/bids/ShowBid/"
     assert link(t="LRSI-0425(250) Guardrail", i="1", p="9") == base + "LRSI-0425-250--Guardrail-9"
     assert link(t="Hello World", i="4242", p=None, trust=True) == base + "Hello-World-4242"
     assert link(t="", i="7", p=None, trust=True) == base + "Unknown-7"
