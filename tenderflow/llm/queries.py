@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from tenderflow.llm.adaptive_quality import op10_adaptive_quality
+from tenderflow.llm.ownership_secrets import op7_ownership_secrets
+from tenderflow.llm.poisson_mixing import op1_poisson_mix
+from tenderflow.llm.tier_packing import op6_tier_packing
+from tenderflow.llm.token_columns import op9_token_columns
 
 QUERIES = {
+    "op6_tier_packing": op6_tier_packing,
+    "op9_token_columns": op9_token_columns,
+    "op1_poisson_mix": op1_poisson_mix,
+    "op7_ownership_secrets": op7_ownership_secrets,
     "op10_adaptive_quality": op10_adaptive_quality,
 }
 
