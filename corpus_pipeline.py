@@ -1,10 +1,13 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next.
+
+Every stage takes all rows its predecessor kept, whole texts, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import adaptive_quality
+from tenderflow.llm import adaptive_quality, ownership_secrets, poisson_mixing, prefix_join, tier_packing
 from tenderflow.llm.common import stored, table
 
 
@@ -13,9 +16,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return adaptive_quality.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return prefix_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking secrets replaced by a mark; widely copied examples stay."""
+    return ownership_secrets.redact_live(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by Poisson counts towards tempered source weights, shuffled globally."""
+    return poisson_mixing.mix(docs, power=0.5).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return tier_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing),
+]
 
-#: The thresholds come from quantile sketches, which SQL cannot express; tests compare with a brute-force version.
+#: Quantile sketches, hashes and a tokenizer decide about rows, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

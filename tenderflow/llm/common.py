@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a lookup side up to which it is sent to every executor. Its size is counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -56,22 +61,28 @@ def uniform(*cols: Column) -> Column:
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, name: str = "order") -> DataFrame:
-    """Add the sum of `value` over all rows before, in the order of `order` (which should be unique, else ties are cut anyhow).
+    """Add the sum of the integer column `value` over all rows before, in the order of `order`, which should be unique.
 
-    The rows are range partitioned and summed up range by range; only one total per range is added up as a whole. The
-    ranges are stored in files of their own first, since a second sampling could cut them elsewhere.
+    The rows are range partitioned and sorted, and summed up range by range as they stream by; one total per range is all
+    that is added up as a whole. The ranges are stored first, since a second sampling could cut them elsewhere.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
-    ranged = stored(ranged, name)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType()), T.StructField("_range", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            sums = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False)).astype(np.int64)
+            ahead = before + np.concatenate([[0], sums[:-1]]).astype(np.int64) if len(sums) else sums
+            before += int(sums[-1]) if len(sums) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ahead), pa.array(np.full(len(sums), own, np.int32))], [*batch.schema.names, out, "_range"])
+
+    ranged = stored(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).mapInArrow(run, schema), name)
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     # One row per range: as many as there are shuffle partitions.
-    return summed.join(F.broadcast(offsets), F.col("_range") == F.col("_of")).select(
-        *df.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias(out)
-    )
+    summed = ranged.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    return summed.select(*df.columns, (F.col(out) + F.col("_before")).cast("bigint").alias(out))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

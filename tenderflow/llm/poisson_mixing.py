@@ -8,7 +8,7 @@ A mean above `PART` is a sum of equal parts with a number each, which keeps the
 
 Nulls: a null source is a source of its own, a null text has size 0. Rows that are equal in id and text get equal counts. A source
 without a weight, or with a weight of 0, gets no copies; the weights are scaled to sum 1 over the sources that occur. The other
-columns pass through; names that clash with the added ones (copy, rate, mix_key) make the added ones start with "mix_".
+columns pass through; names that clash with the added ones (copy, rate, mix_key) make the clashing added ones start with "mix_".
 An empty table gives an empty result.
 """
 

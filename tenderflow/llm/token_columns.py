@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderflow.llm.common import running_total, table, work_dir
+from tenderflow.llm.common import running_total, stored, table, work_dir
 from tenderflow.llm.tokens import encoder, in_batches
 
 END = 0
@@ -80,4 +80,6 @@ def op9_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
-    return running_total(checksums(read_tokens(spark, path)), ["doc_id", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Stored, since dealing out by ranges reads its input twice, and the ids should be read once.
+    back = stored(checksums(read_tokens(spark, path)), "checksums")
+    return running_total(back, ["doc_id", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")

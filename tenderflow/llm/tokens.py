@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Segments a worker remembers; beyond it, it starts anew.
+#: Segments a worker remembers; beyond it, it forgets those that few batches had.
 REMEMBER = 500_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 2_000_000
@@ -64,8 +64,22 @@ class Encoder:
         self.ids = np.zeros(1 << 20, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int32)
         self.used = 0
 
+    def thin_out(self) -> None:
+        """Keep the segments of more than one batch, half of the table at most."""
+        names, n = list(self.place), len(self.place)
+        hits = self.hits[:n]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > REMEMBER // 2:
+            keep = np.sort(np.argpartition(hits, n - REMEMBER // 2)[n - REMEMBER // 2 :])
+        sizes, old = self.length[keep], self.start[keep]
+        first = np.cumsum(sizes) - sizes
+        flat = self.ids[np.repeat(old - first, sizes) + np.arange(int(sizes.sum()))]
+        self.forget()
+        self.add([names[i] for i in keep.tolist()], flat, sizes)
+
     def keys(self, text: str) -> list[str]:
         if self.kind == "word":
             return SEGMENT["word"].findall(text) if ODD.search(text) else text.split()
@@ -123,13 +137,13 @@ class Encoder:
             keys.append(key)
         self.add(keys, flat, sizes)
 
-    def add(self, keys: list[str], flat: list[int], lengths: list[int]) -> None:
-        sizes = np.array(lengths, np.int64)
+    def add(self, keys: list[str], flat: list[int] | np.ndarray, lengths: list[int] | np.ndarray) -> None:
+        sizes = np.asarray(lengths, np.int64)
         n, total = len(self.place), len(flat)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(keys) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hits))
         self.ids[self.used : self.used + total] = flat
         self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + len(keys)] = sizes
@@ -141,7 +155,7 @@ class Encoder:
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.place) > REMEMBER:
-            self.forget()
+            self.thin_out()
         if END_KEY not in self.place:
             self.add([END_KEY], [end], [1])
         keys: list[str] = []
@@ -156,6 +170,7 @@ class Encoder:
         if missing:
             self.learn(list({keys[j] for j in missing}))
             index[missing] = [self.place[keys[j]] for j in missing]
+        self.hits[index] += 1  # once a batch, however often it has the segment
         sizes = self.length[index]
         first = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.start[index] - first, sizes) + np.arange(int(sizes.sum()))]
