@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderflow.llm.common import components, keep_ids, stored, table
-from tenderflow.llm.shingles import BITS, least_prefix, mixed, shingles, signature
+from tenderflow.llm.shingles import BITS, apart, big_signature, least_prefix, shingles, signature
 from tenderflow.llm.tokens import in_batches
 
 PERCENT = 80
@@ -39,6 +39,8 @@ MOST_FREQUENT = 200_000
 #: Times in a block before a task passes a count on, and times in all before a shingle counts as frequent.
 LOCAL_TIMES, TIMES = 3, 12
 WORDS = BITS // 64
+#: Sets of more members than this also get a signature of two to four bits a member: the common one says little about them.
+LONG = 1500
 
 
 def encoded(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -76,7 +78,7 @@ def frequent_shingles(docs: DataFrame, text: str = "text", most: int = MOST_FREQ
     return h[order], n[order]
 
 
-SETS = f"doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix array<long>, {', '.join(f's{i} long' for i in range(WORDS))}"
+SETS = f"doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix array<long>, big binary, {', '.join(f's{i} long' for i in range(WORDS))}"
 
 
 def halves(data: bytes) -> tuple[int, int]:
@@ -101,15 +103,17 @@ def described(docs: DataFrame, doc_id: str, text: str, percent: int, frequent: t
                 sorted_h = h[order]
                 n = np.bincount(own, minlength=len(texts))
                 begin = np.cumsum(n) - n
-                rows, prefixes, signs = [], [], []
+                rows, prefixes, signs, bigs = [], [], [], []
                 for i, (b, k) in enumerate(zip(begin.tolist(), n.tolist(), strict=True)):
                     prefix = sorted_h[b : b + least_prefix(k, percent)]
                     rows.append((k, *halves(h[b : b + k].tobytes()), *halves(prefix.tobytes() + k.to_bytes(8, "little"))))
                     prefixes.append(prefix)
                     signs.append(signature(h[b : b + k]))
+                    bigs.append(big_signature(h[b : b + k]) if k > LONG else None)
                 lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 columns = [ids.slice(first, len(texts)), *[pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]]
                 columns.append(pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefixes).view(np.int64))))
+                columns.append(pa.array(bigs, pa.binary()))
                 columns += [pa.array(x) for x in np.ascontiguousarray(np.array(signs).T)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SETS.split(", ")])
 
@@ -137,9 +141,9 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and signatures allow the similarity. `a` and `b` name structs with n and the signature."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
     # |x ^ y| <= (|x| + |y|) * (1 - t) / (1 + t)
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (apart * F.lit(100 + percent) <= (n + m) * F.lit(100 - percent))
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differ * F.lit(100 + percent) <= (n + m) * F.lit(100 - percent))
 
 
 class Join:
@@ -178,12 +182,29 @@ class Join:
         ids = stored(named.select(F.col("least").alias(self.doc_id)).distinct(), "ids")
         found = whole_sets(keep_ids(self.docs, self.doc_id, ids), self.doc_id, self.text)
         at = named.select("node", F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
+        at = F.broadcast(at) if at.limit(1_000_001).count() <= 1_000_000 else at
         members = stored(found.join(at, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))).select("node", "members"), "members")
-        members = members.dropDuplicates(["node"])
         left, right = members.select(F.col("node").alias("a"), F.col("members").alias("x")), members.select(F.col("node").alias("b"), F.col("members").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = F.lit(100) * both >= F.lit(self.percent) * (F.size("x") + F.size("y") - both)
-        return stored(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "links")
+        # Repeated rows give a node's set more than once.
+        return stored(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), "links")
+
+    def sharpened(self, pairs: DataFrame) -> DataFrame:
+        """Pairs without those of two long sets whose longer signatures rule a link out."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+                signs = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+                keep = [x is None or y is None or apart(x, y) * (100 + percent) <= (n + m) * (100 - percent) for (n, m), (x, y) in zip(sizes, signs, strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        long = self.sets.where(F.col("n") > LONG)
+        a, b = (long.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("big").alias(f"big_{x}")) for x in "ab")
+        both = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "n_a", "big_a", "n_b", "big_b")
+        return stored(both.mapInArrow(run, "a long, b long"), "sharpened")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs of nodes whose sizes and signatures allow a link."""
@@ -199,7 +220,7 @@ class Join:
         across = groups.join(own, F.col("gid") == F.col("_gid")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         within = self.nodes.where("node <> gid").select(F.col("node").alias("a"), F.col("gid").alias("b"))
         pairs = stored(self.filtered(stored(across.union(within).distinct(), "star")), "star")
-        return self.verified(pairs)
+        return self.verified(self.sharpened(pairs))
 
     def rest(self, links: DataFrame) -> DataFrame:
         """Links between different components of `links`."""
@@ -226,7 +247,7 @@ class Join:
         once = (F.col("bc") == F.col("bm")) | (F.col("a") < F.col("b"))
         pairs = a.join(b, (F.col("at") == F.col("bt")) & (F.col("ak") == F.col("bk")) & (F.col("ac") != F.col("bc")) & once & may_link("as", "bs", self.percent))
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-        return self.verified(pairs)
+        return self.verified(self.sharpened(pairs))
 
     def classes(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row per row of the input."""

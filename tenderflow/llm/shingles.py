@@ -93,6 +93,23 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def big_signature(h: np.ndarray) -> bytes:
+    """Parity bits like those of `signature`, two to four of them for each member."""
+    bits = 1 << (2 * len(h) - 1).bit_length()
+    flips = np.bincount((mixed(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two long signatures differ; the longer one is folded, which keeps it a parity signature."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def least_prefix(n: int, percent: int) -> int:
     """Members in the prefix: any set of at least that similarity shares one of them, whatever the common order."""
     return n - -(-percent * n // 100) + 1 if n else 0
