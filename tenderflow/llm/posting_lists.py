@@ -2,9 +2,10 @@
 
 A bounded sample is split again and again at the median between two means, which gives clusters of even size; their means are the
 centroids. Every vector goes to the list of its nearest centroid, and a boundary vector to further lists whose centroids are
-about as near, unless one of its lists lies closer to that centroid than the vector does. A query finds near centroids by a best-first walk over
+about as near. A query finds near centroids by a best-first walk over
 an in-memory graph of neighbouring centroids; lists much farther than the nearest are left out, by the ratio of distances, and
-more are taken where those left hold too few vectors. Then vectors and queries meet list by list.
+more are taken where those left hold too few vectors. Then vectors and queries meet list by list: the nearest lists first, whose k-th
+best score bounds what the other lists send on.
 
 Nearness is the inner product, in double precision. One more coordinate makes all vectors equally long, so that the nearest by
 distance is the one of the largest inner product.
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from tenderflow.llm.common import stored, table, uniform
 
 #: Sample for the centroids, lists at most, vectors aimed at in a list.
-SAMPLE, MOST_LISTS, LIST_SIZE = 20_000, 4096, 250
+SAMPLE, MOST_LISTS, LIST_SIZE = 20_000, 4096, 400
 #: Boundary: lists of one vector, and how much farther than the nearest they may be.
-REPLICAS, BOUNDARY = 6, 0.15
-#: Search: width of the walk, how much farther than the nearest list, and times k that the lists must hold.
-WIDTH, RATIO, HELD = 96, 0.35, 20
+REPLICAS, BOUNDARY = 3, 0.06
+#: Search: least width of the walk and least part of all lists, how much farther than the nearest list, and times k that the lists must hold.
+WIDTH, PART_WALKED, RATIO, HELD = 128, 0.75, 0.1, 20
 #: Vectors and queries of a list that meet in one task.
 PART_VECTORS, PART_QUERIES = 8_000, 4_000
+#: Lists of a query whose k best bound what its other lists send on.
+FIRST = 4
 DEGREE = 16
 
 
@@ -97,10 +100,6 @@ def assign(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.argsort(d, axis=1, kind="stable")[:, :most]
     near = np.take_along_axis(d, best, 1)
     ok = near <= near[:, :1] * (1 + BOUNDARY) + 1e-12
-    between = distances(index.centroids, index.centroids)
-    for j in range(1, most):
-        for i in range(j):
-            ok[:, j] &= ~(ok[:, i] & (between[best[:, i], best[:, j]] < near[:, j]))
     row, place = np.nonzero(ok)
     return row, best[row, place]
 
@@ -137,7 +136,7 @@ def walk(index: Index, q: np.ndarray, width: int) -> list[tuple[float, int]]:
 
 def chosen(index: Index, q: np.ndarray, k: int) -> list[int]:
     """Lists to search: within the ratio of the nearest, and more until they hold enough; all of them if need be."""
-    found = walk(index, q, WIDTH)
+    found = walk(index, q, max(WIDTH, int(PART_WALKED * len(index.centroids))))
     least = found[0][0]
     out, held = [], 0
     for d, i in found:
@@ -205,16 +204,18 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column, vec_id: str = "vec_
                 own = searched.value.lifted(matrix(batch.column(1)), True)
                 to = [chosen(searched.value, q, k) for q in own]
                 row = pa.array(np.repeat(np.arange(len(to)), [len(x) for x in to]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], ["list", "query_id", "q"])
-
-    asked = df.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(to_queries, "list int, query_id long, q array<double>")
+                place = np.concatenate([np.arange(len(x)) for x in to]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(to).astype(np.int32)), pa.array(place), batch.column(0).take(row), batch.column(1).take(row)],
+                    ["list", "place", "query_id", "q"],
+                )
+
+    queries = df.where(is_query).dropDuplicates(["vec_id"]).repartition("vec_id")
+    asked = queries.mapInArrow(to_queries, "list int, place int, query_id long, q array<double>")
     asked = stored(asked, "asked")
     many = asked.groupBy(F.col("list").alias("_list")).agg(F.ceil(F.count("*") / F.lit(PART_QUERIES)).cast("int").alias("q_parts"))
     long = lists.groupBy(F.col("list").alias("_long")).agg(F.ceil(F.count("*") / F.lit(PART_VECTORS)).cast("int").alias("v_parts"))
     parts = F.broadcast(stored(many.join(long, F.col("_list") == F.col("_long")).select("_list", "q_parts", "v_parts"), "parts"))
-    left = asked.join(parts, F.col("list") == F.col("_list")).withColumn(
-        "qp", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")
-    ).withColumn("vp", F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1))).select("list", "qp", "vp", "query_id", "q")
     right = lists.join(parts, F.col("list") == F.col("_list")).withColumn(
         "vp", F.pmod(F.xxhash64("vec_id"), F.col("v_parts")).cast("int")
     ).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("list", "qp", "vp", "vec_id", "v")
@@ -222,8 +223,9 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column, vec_id: str = "vec_
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v = matrix(a["q"]), matrix(b["v"])
+        q, v, floor = matrix(a["q"]), matrix(b["v"]), a["least"].to_numpy()
         ids = b["vec_id"].to_numpy()
+        enough = k + len(ids) - len(np.unique(ids))  # so many rows hold k ids, however often an id is repeated
         out = []
         for first in range(0, len(q), 256):
             some = q[first : first + 256]
@@ -232,18 +234,33 @@ def neighbours(vectors: DataFrame, k: int, is_query: Column, vec_id: str = "vec_
                 s = scores[i]
                 s[ids == query] = -np.inf
                 # The product's rounding depends on the place in the matrix; candidates are scored again one by one.
-                bound = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                bound = max(np.partition(s, -enough)[-enough] if len(s) > enough else -np.inf, floor[first + i])
                 at = np.flatnonzero((s >= bound - 1e-9 * max(1.0, abs(bound)) if np.isfinite(bound) else True) & np.isfinite(s))
                 exact = (v[at] * some[i]).sum(1)
-                order = np.lexsort((ids[at], -exact))[:k]
+                order = np.lexsort((ids[at], -exact))
+                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]]
                 out.append((np.full(len(order), query), ids[at][order], exact[order]))
         return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ["list", "qp", "vp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, result)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def searched_lists(some: DataFrame) -> DataFrame:
+        """Best candidates of each query and list part that reach the query's bound `least`."""
+        left = some.join(parts, F.col("list") == F.col("_list")).withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
+        left = left.withColumn("vp", F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1))).select(*keys, "query_id", "q", "least")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, result)
+        return stored(found, "found")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+    near = searched_lists(asked.where(F.col("place") < FIRST).withColumn("least", F.lit(float("-inf"))))
+    bounds = stored(ranked(near).where(F.col("rank") == k).select(F.col("query_id").alias("_query"), F.col("score").alias("_least")), "bounds")
+    others = asked.where(F.col("place") >= FIRST).join(bounds, F.col("query_id") == F.col("_query"), "left")
+    far = searched_lists(others.withColumn("least", F.coalesce("_least", F.lit(float("-inf")))))
+    return ranked(near.union(far)).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
