@@ -466,3 +466,31 @@ def test_pipeline_stages(spark, docs, texts, empty):
     assert seen[1][2] == len(set(classes)) and seen[2][1] == seen[2][2]
     packed = corpus_pipeline.STAGES[-1][1](spark, df, "").collect()
     assert sum(r["length"] for r in packed) == sum(len(x) for x in ids_of(WORD, [r["text"] for r in df.collect()], 1))
+
+
+def test_signatures_bound_the_difference():
+    from tenderflow.llm.shingles import apart, big_signature, signature
+
+    rng = np.random.default_rng(1)
+    for n, m in ((10, 12), (700, 650), (3000, 2500), (1600, 4000)):
+        both = rng.integers(0, 1 << 62, min(n, m) * 3 // 4, dtype=np.uint64)
+        x, y = (np.concatenate([both, rng.integers(0, 1 << 62, k - len(both), dtype=np.uint64)]) for k in (n, m))
+        differ = len(np.setxor1d(x, y))
+        assert apart(big_signature(x), big_signature(y)) <= differ
+        assert apart(signature(x).tobytes(), signature(y).tobytes()) <= differ
+        assert apart(big_signature(x), big_signature(x)) == 0
+
+
+def test_prefix_join_of_long_texts(spark):
+    rng = random.Random(12)
+    base = words(rng, 4000, 10**6)
+    rows = []
+    for share in (0.0, 0.01, 0.02, 0.03, 0.05):
+        v = list(base)
+        for i in rng.sample(range(len(v)), int(share * len(v))):
+            v[i] = f"q{rng.randrange(10**6)}"
+        rows.append(" ".join(v))
+    rows += [" ".join(base[:2500] + words(rng, 1500, 10**6)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in prefix_join.similar_classes(df).collect()}
+    assert got == dict(enumerate(classes_of(sets_of(rows))))
