@@ -27,6 +27,8 @@ SPREAD = {"symbol_ratio": 0.04, "repeat_ratio": 0.3, "dup_line_ratio": 0.4, "stu
 REACH = 3.0
 #: A group of fewer documents takes the sketch of the next larger group.
 LEAST_ROWS = 100
+#: Rejected keys that are sent to every executor, at most; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -120,7 +122,8 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         docs[doc_id].eqNullSafe(F.col("_q_id")) & docs[lang].eqNullSafe(F.col("_q_lang")) & docs[source].eqNullSafe(F.col("_q_source"))
         & (F.xxhash64(docs[text]) == F.col("_q_text"))
     )
-    return docs.join(bad, match, "left_anti")
+    small = bad.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(bad) if small else bad, match, "left_anti")
 
 
 def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
