@@ -41,6 +41,8 @@ LOCAL_TIMES, TIMES = 3, 12
 WORDS = BITS // 64
 #: Sets of more members than this also get a signature of two to four bits a member: the common one says little about them.
 LONG = 1500
+#: Open prefix members that a row of the last step carries along, so that a pair is made once.
+MOST_HELD = 256
 
 
 def encoded(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -242,10 +244,15 @@ class Join:
         main = stored(main.select(F.col("kind").alias("_kind"), F.col("token").alias("_token"), F.col("top.comp").alias("main")), "main")
         open_rows = rows.join(main, (F.col("kind") == F.col("_kind")) & (F.col("token") == F.col("_token"))).drop("_kind", "_token")
         signed = stored(open_rows.join(self.signs.withColumnRenamed("row", "_row"), F.col("node") == F.col("_row")).drop("_row"), "open")
-        side = lambda p: signed.select(F.col("kind").alias(f"{p}k"), F.col("token").alias(f"{p}t"), F.col("node").alias(p), F.col("comp").alias(f"{p}c"), F.col("main").alias(f"{p}m"), F.col("sign").alias(f"{p}s"))
+        # A pair is made at the least of the open tokens that both have, not at each; very long prefixes make it at each.
+        held = signed.where("kind = 0").groupBy(F.col("node").alias("_node")).agg(F.collect_list("token").alias("held")).where(F.size("held") <= MOST_HELD)
+        signed = signed.join(held, F.col("node") == F.col("_node"), "left").withColumn("held", F.when(F.col("kind") == 0, F.col("held"))).drop("_node")
+        signed = stored(signed, "open")
+        side = lambda p: signed.select(F.col("kind").alias(f"{p}k"), F.col("token").alias(f"{p}t"), F.col("node").alias(p), F.col("comp").alias(f"{p}c"), F.col("main").alias(f"{p}m"), F.col("sign").alias(f"{p}s"), F.col("held").alias(f"{p}h"))
         a, b = side("a").where("ac <> am"), side("b")
         once = (F.col("bc") == F.col("bm")) | (F.col("a") < F.col("b"))
-        pairs = a.join(b, (F.col("at") == F.col("bt")) & (F.col("ak") == F.col("bk")) & (F.col("ac") != F.col("bc")) & once & may_link("as", "bs", self.percent))
+        first = F.coalesce(F.array_min(F.array_intersect("ah", "bh")) == F.col("at"), F.lit(True))
+        pairs = a.join(b, (F.col("at") == F.col("bt")) & (F.col("ak") == F.col("bk")) & (F.col("ac") != F.col("bc")) & once & may_link("as", "bs", self.percent) & first)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
         return self.verified(self.sharpened(pairs))
 
