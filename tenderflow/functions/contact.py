@@ -14,12 +14,12 @@ def first_email(c: Column | str) -> Column:
     """First valid address of a field that may list several, null when there is none."""
     s = trimmed(c)
     parts = F.filter(F.split(s, r"[\s,;|]+"), lambda p: (p != "") & is_email(p))
-    return F.when(~equals_any_case(s, "not provided"), F.substring(F.get(parts, 0), 1, 255))
+    return F.when(~equals_any_case(s, "not provided"), F.get(parts, 0))
 
 
 def email_in_text(c: Column | str) -> Column:
     found = F.regexp_extract_all(text(c), F.lit(r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"), F.lit(1))
-    return F.substring(F.get(F.filter(found, is_email), 0), 1, 255)
+    return F.get(F.filter(found, is_email), 0)
 
 
 def resolve_contact_email(field: Column | str, description: Column | str) -> Column:
@@ -46,28 +46,28 @@ def _posting_kind(s: Column) -> Column:
 
 
 def issuing_organization(c: Column | str) -> Column:
-    return F.substring(organization_name(c), 1, 500)
+    return organization_name(c)
 
 
-def _given(snippet: Column, limit: int) -> Column:
+def _given(snippet: Column, limit: int | None) -> Column:
     return let(snippet, lambda s: _if_given(s, limit))
 
 
-def _if_given(s: Column, limit: int) -> Column:
+def _if_given(s: Column, limit: int | None) -> Column:
     first = F.lower(trimmed(F.element_at(F.split(s, "\n"), 1)))
     missing = (s == "") | (first == "") | first.startswith("not provided") | first.isin(S.SNIPPET_PLACEHOLDERS)
-    cut = F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("..."))).otherwise(s)
+    cut = s if limit is None else F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("..."))).otherwise(s)
     return F.when(missing, "").otherwise(cut)
 
 
-def address_snippet(c: Column | str, limit: int = 2500) -> Column:
-    """Address without tags, one clean line per line; empty for a placeholder."""
+def address_snippet(c: Column | str, limit: int | None = None) -> Column:
+    """Address without tags, one clean line per line; empty for a placeholder. `limit` cuts longer ones."""
     lines = F.split(F.regexp_replace(strip_tags(trimmed(c)), r"\r\n|\r", "\n"), "\n")
     clean = F.transform(lines, lambda v: trimmed(F.regexp_replace(v, r"[ \t]+", " ")))
     return _given(F.array_join(F.filter(clean, lambda v: v != ""), "\n"), limit)
 
 
-def phone_snippet(c: Column | str, limit: int = 512) -> Column:
+def phone_snippet(c: Column | str, limit: int | None = None) -> Column:
     return _given(collapsed(strip_tags(trimmed(c))), limit)
 
 

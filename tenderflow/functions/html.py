@@ -86,21 +86,25 @@ def page_text(html: str | None) -> str:
     return SPACE.sub(" ", "".join(p for p, h in zip(page.parts, page.hidden) if not h)).strip(EDGE)
 
 
-def page_links(html: str | None) -> list[tuple[int, str, str, str, str]]:
+def page_links(html: str | None, with_near: bool = True) -> list[tuple[int, str, str, str, str]]:
     """(position, tag, href, link text, nearby text) of every anchor, frame and embed that has a target.
 
-    Nearby text is that of the closest of three enclosing elements with over 20 bytes, 500 characters at most.
+    Nearby text is that of the closest of three enclosing elements with over 20 bytes, whole.
     """
     if not html:
         return []
     page = _parse(html)
     out = []
+    texts: dict[tuple[int, int], str] = {}
     for pos, link in enumerate(page.links):
         start, end = link["own"]
         near = ""
-        for entry in list(reversed(link["chain"]))[:3]:
-            near = SPACE.sub(" ", "".join(page.parts[entry[1]:entry[3]])).strip(EDGE)
+        for entry in list(reversed(link["chain"]))[:3] if with_near else []:
+            span = (entry[1], entry[3])
+            near = texts.get(span)
+            if near is None:  # links of one element share its text
+                near = texts[span] = SPACE.sub(" ", "".join(page.parts[entry[1]:entry[3]])).strip(EDGE)
             if len(near.encode()) > 20:
                 break
-        out.append((pos, link["tag"], link["href"], "".join(page.parts[start:end]).strip(EDGE), near[:500]))
+        out.append((pos, link["tag"], link["href"], "".join(page.parts[start:end]).strip(EDGE), near))
     return out

@@ -39,6 +39,9 @@ PORTAL_HOST_SUFFIXES = [
     "bonfirehub.com", "planetbids.com", "ionwave.net", "publicpurchase.com",
     "vendorlink.com", "bidnetdirect.com", "demandstar.com", "public-portal.us.workdayspend.com",
 ]
+# Host suffixes of portals whose listings are drawn by scripts, and of those that also take long to draw.
+SCRIPT_LISTING_HOSTS = ["bidnetdirect.com", "vendorregistry.com", "demandstar.com", "publicpurchase.com", "pr-webs-customer.des.wa.gov"]
+HEAVY_PORTAL_HOSTS = ["bonfirehub.com", "bidnetdirect.com", "pr-webs-customer.des.wa.gov"]
 # Portal vendor names removed from organization names.
 PORTAL_VENDOR_PATTERNS = [
     r"\bbonfire\s*hub\b", r"\bbidnet\s*direct\b", r"\bdemandstar\b", r"\bplanet\s*bids\b",
@@ -57,10 +60,11 @@ ORG_LABELS = [
     r"Buyer", r"Procuring\s+Entity", r"Department", r"School\s+District",
 ]
 # US state and district codes.
-US_STATES = (
-    "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM "
-    "NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY"
-).split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "DC", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA",
+    "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR",
+    "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
+]
 
 # First lines that mean an address or phone was not given.
 SNIPPET_PLACEHOLDERS = ["n/a", "na", "unknown", "none", "tbd", "—", "-"]
@@ -94,6 +98,7 @@ SPA_MARKERS = [
     '<div id="root"', '<div id="app"', '<div id="__next"', '<div id="__nuxt"', "window.__INITIAL_STATE__",
     "window.__NEXT_DATA__", "ng-app=", "ng-version=", "data-reactroot",
 ]
+# Words that a login page of a listing still shows.
 LOGIN_BID_WORDS = (
     "(bid|bids|rfp|rfq|rfi|tender|solicitation|proposal|invitation|procurement|bid opportunities|"
     "current bids|open bids|closing date|bids due)"
@@ -103,6 +108,7 @@ NO_OPEN_PHRASES = [
     "there are no bids", "no current bids", "no current solicitations", "no open procurement",
     "no opportunities available", "there are no open bid postings",
 ]
+# Phrases and codes of open solicitations.
 OPEN_PHRASES = [
     "/solicitations/open-bids/", "open solicitations tab", "solicitation number", "published date",
     "closing date", "bid opportunity", "bid opportunities",
@@ -120,12 +126,15 @@ DOC_NEGATIVE = [
     "suspended", "debarred", "terms and conditions", "vendor guide", "vision", "w-9", "w9", "protest protocol",
     "pc_protest", "spirit airlines shutdown", "shutdown flymco",
 ]
+# Words that rule a linked document in.
 DOC_POSITIVE = [
     "addendum", "amendment", "bid", "bids", "formalbid", "formal bid", "ifb", "invitation", "itb", "proposal",
     "quote", "request for", "rfi", "rfp", "rfq", "solicitation", "specification", "tender",
 ]
 DOC_ID_PATTERN = r"(?i)\b[a-z]{1,6}\d{2,}[-_a-z0-9]*\b"
+# Words of links to single solicitations.
 DETAIL_LINK_WORDS = "bid|rfp|rfq|tender|solicitation|proposal|opportunit"
+# The host whose pages carry a project description.
 TRADE_JOURNAL_HOST = "compliancenews.com"
 DOCUMENT_SEPARATOR = "\n\n----- NEXT DOCUMENT -----\n\n"
 

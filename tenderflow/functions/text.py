@@ -1,4 +1,4 @@
-"""Small text expressions shared by every column derivation. All stay inside whole-stage codegen."""
+"""Small text expressions shared by every column derivation. All stay in the JVM; those with `let` leave whole-stage codegen."""
 
 from __future__ import annotations
 

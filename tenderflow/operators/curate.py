@@ -58,7 +58,7 @@ def map_pending_to_live(
             "BID_URL_ID": F.when(F.col("BID_URL_ID").isNotNull() & (F.col("_master") > 0), F.col("_master")).otherwise(
                 F.col("BID_URL_ID")
             ),
-            "TITLE": F.substring(trimmed("TITLE"), 1, 255),
+            "TITLE": trimmed("TITLE"),
             "LAST_MODIFIED": _ts(now),
             "ID": F.lit(None).cast("bigint"),
         }
@@ -111,18 +111,19 @@ def _earlier_in_batch(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.first_id").alias("target_id"))
 
 
-def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool) -> DataFrame:
+def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool, rounds: int = 1000) -> DataFrame:
     """Ids of the rows that patch their target when all are applied in id order.
 
     `rows(id, target, own_bytes, own_at)`, `targets(target, bytes, at)`. A patch changes what later rows are compared
     with, so each round applies the next patch of every target at once: the first row after the last patch that is
-    longer by over 50 bytes or newer. Descriptions grow by over 50 bytes per round, which bounds the rounds.
+    longer by over 50 bytes or newer. Descriptions grow by over 50 bytes per round; more than
+    `rounds` patches of one target are an error.
     """
     if force:
         return rows.select("id")
     state = targets.select("target", "bytes", "at", F.lit(-1).cast("bigint").alias("after"))
     open_rows, found = rows, None
-    while True:
+    for _ in range(rounds):
         ahead = lookup_join(open_rows, state, "target", ["bytes", "at", "after"]).where(
             (F.col("id") > F.col("after"))
             & ((F.col("own_bytes") > F.col("bytes") + 50) | F.coalesce(F.col("own_at") > F.col("at"), F.lit(False)))
@@ -140,6 +141,8 @@ def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force:
         found = ids if found is None else found.unionByName(ids)
         # Only targets that moved can move again.
         state = step.select("target", "bytes", "at", "after")
+    else:
+        raise RuntimeError(f"a target takes more than {rounds} patches")
     return rows.select("id").limit(0) if found is None else found
 
 
@@ -402,16 +405,15 @@ def validate_records(rows: DataFrame, directory: DataFrame | None = None, *, url
               "INLINEURL", "COUNTRY_ID", "ENDDATE", "FEDDATE", "CREATED", "LAST_MODIFIED"):
         if c in have:
             out = out.withColumn(c, F.when(text(c) != "", F.col(c)))
-    checks = [F.when(trimmed("TITLE") == "", "Title is required."),
-              F.when(F.char_length(text("TITLE")) > 255, "Title is too long. Please keep it under 255 characters.")]
+    checks = [F.when(trimmed("TITLE") == "", "title_missing"),
+              F.when(F.char_length(text("TITLE")) > 255, "title_too_long")]
     if "EMAIL" in have:
-        checks.append(F.when(F.col("EMAIL").isNotNull() & (~is_email(F.col("EMAIL")) | (F.char_length("EMAIL") > 255)), "EMAIL must be a valid email address."))
+        checks.append(F.when(F.col("EMAIL").isNotNull() & (~is_email(F.col("EMAIL")) | (F.char_length("EMAIL") > 255)), "email_invalid"))
     for c, n in (("URL", url_limit), ("NAICSCODE", 255), ("SOLICITATIONNUMBER", 255), ("THIRD_PARTY_IDENTIFIER", 255),
                  ("NSN", 255), ("INLINEURL", 500), ("COUNTRY_ID", 32)):
         if c in have:
-            checks.append(F.when(F.char_length(F.col(c)) > n, f"{c} is longer than {n} characters."))
-    for c, label in (("ENDDATE", "End date must be a valid date."), ("FEDDATE", "Fed date must be a valid date."),
-                     ("CREATED", "Created must be a valid date/time."), ("LAST_MODIFIED", "Last modified must be a valid date/time.")):
+            checks.append(F.when(F.char_length(F.col(c)) > n, f"{c.lower()}_too_long"))
+    for c, label in (("ENDDATE", "enddate_not_a_date"), ("FEDDATE", "feddate_not_a_date"), ("CREATED", "created_not_a_time"), ("LAST_MODIFIED", "last_modified_not_a_time")):
         if c in have:
             checks.append(F.when(F.col(c).isNotNull() & parse_moment(c).isNull(), label))
     for c in ("CATEGORYID", "ENTITYID", "SUBSCRIPTIONTYPEID", "USERID", "SETASIDECODEID", "BID_URL_ID", "SOURCE_ID",
@@ -419,7 +421,7 @@ def validate_records(rows: DataFrame, directory: DataFrame | None = None, *, url
         if c in have:
             given = trimmed(c)
             number = F.when(given.rlike(r"^[+-]?\d+$"), given.try_cast("bigint"))
-            checks.append(F.when((given != "") & number.isNull(), f"{c} must be an integer."))
+            checks.append(F.when((given != "") & number.isNull(), f"{c.lower()}_not_a_number"))
             numbers[c] = number
     if directory is not None and "USERID" in have:
         allowed = directory.select(F.col("id").cast("bigint").alias("_allowed")).distinct()
@@ -429,7 +431,7 @@ def validate_records(rows: DataFrame, directory: DataFrame | None = None, *, url
         same = F.coalesce(F.col(current_user).cast("bigint") == numbers["USERID"], F.lit(False)) if current_user else F.lit(False)
         checks.append(
             F.when(numbers["USERID"].isNotNull() & F.col("_known").isNull() & ~same,
-                   "Choose a user from the Manila (Asia/Manila) list.")
+                   "assignee_not_in_directory")
         )
     # The checks read the texts as given, so the errors come before the ids become integers.
     return out.withColumn("errors", F.array_compact(F.array(*checks))).drop("_known").withColumns(numbers)

@@ -11,8 +11,8 @@ from tenderflow.functions.text import is_email, text, trimmed, whole_id
 from tenderflow.operators.skew import lookup_join
 from tenderflow.session import cut_lineage
 
-# Undecided rows that are left to one ordered pass once so few remain; below this a round costs more.
-TAIL_ROWS = 20_000
+# A chain of n rows, each sharing a key with the next, needs n / 2 rounds; beyond this many the job fails and says so.
+MOST_ROUNDS = 500
 
 
 def stored_index(pending: DataFrame | None, live: DataFrame | None, url_match: str = "raw") -> DataFrame:
@@ -129,13 +129,13 @@ def ordered_greedy_dedup(
     probe: str = "probe_keys",
     emit: str = "emit_keys",
     *,
-    tail_rows: int = TAIL_ROWS,
+    rounds: int = MOST_ROUNDS,
 ) -> DataFrame:
     """In `order` (unique), keep a row iff no earlier kept row emitted one of its probe keys.
 
     Every round decides at least the earliest open row of each key group, for all groups at once: a row that no
-    earlier open row can block is kept, a row blocked by a kept one is dropped. Chains of n rows need n / 2 rounds,
-    so once few rows are open the exact pass runs on them in order. Returns (order, kept).
+    earlier open row can block is kept, a row blocked by a kept one is dropped. Chains of n rows need n / 2 rounds; more than
+    `rounds` is an error. Returns (order, kept).
     """
     open_rows = cut_lineage(rows.select(F.col(order).alias("ord"), F.col(probe).alias("p"), F.col(emit).alias("e")))
     decided: DataFrame | None = None
@@ -152,14 +152,11 @@ def ordered_greedy_dedup(
     def split(df: DataFrame, hits: DataFrame) -> DataFrame:
         return cut_lineage(df.join(hits, "ord", "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
 
-    while True:
-        remaining = open_rows.limit(tail_rows + 1).count()
-        if remaining == 0:
-            break
-        if remaining <= tail_rows:
-            tail = _ordered_tail(open_rows)
-            decided = tail if decided is None else decided.unionByName(tail)
-            break
+    done = 0
+    while not open_rows.isEmpty():
+        if done == rounds:
+            raise RuntimeError(f"{open_rows.count()} rows are undecided after {rounds} rounds: a longer chain of shared keys")
+        done += 1
         step = split(open_rows, blocked(open_rows, first_by_key(open_rows, "first")))
         kept = step.where(~F.col("hit")).drop("hit")
         waiting = step.where("hit").drop("hit")
@@ -175,26 +172,6 @@ def ordered_greedy_dedup(
     return decided.select(F.col("ord").alias(order), "kept")
 
 
-def _ordered_tail(rows: DataFrame) -> DataFrame:
-    """The exact pass over at most TAIL_ROWS open rows, in one bounded group."""
-    ord_type = rows.schema["ord"].dataType.simpleString()
-
-    def scan(pdf):
-        seen: set[str] = set()
-        keep = []
-        for p, e in zip(pdf["p"], pdf["e"]):
-            ok = not any(k in seen for k in p)
-            keep.append(ok)
-            if ok:
-                seen.update(e)
-        return pdf.assign(kept=keep)[["ord", "kept"]]
-
-    def sorted_scan(pdf):
-        return scan(pdf.sort_values("ord"))
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(sorted_scan, f"ord {ord_type}, kept boolean")
-
-
 def similar_bids(
     queries: DataFrame,
     query_id: str,
@@ -316,18 +293,20 @@ def dedupe_snapshots(
     body: str = "text",
     blocked: str = "blocked_reason",
     min_bytes: int = 80,
-    per_listing: int | None = 8,
+    per_listing: int | None = None,
     prefix_chars: int | None = None,
 ) -> DataFrame:
-    """Page states worth keeping: enough text, not blocked, first of each text per listing, the first few per listing.
+    """Page states worth keeping: enough text, not blocked, first of each text per listing; `per_listing` keeps the first few per listing.
 
     The fingerprint covers the whole text; `prefix_chars=20000` reproduces a fingerprint over the beginning only.
     """
     content = F.col(body) if prefix_chars is None else F.substring(F.col(body), 1, prefix_chars)
     good = pages.where((F.octet_length(text(body)) >= min_bytes) & F.col(blocked).isNull())
     keyed = good.withColumn("_md5", F.md5(content.cast("binary")))
-    first = keyed.groupBy(listing, "_md5").agg(F.min_by(F.struct(*good.columns), F.col(pos)).alias("_f"))
-    unique = first.select("_f.*")
+    # Positions first: the texts move once, for the join, and never through an aggregate.
+    first = keyed.groupBy(F.col(listing).alias("_l"), F.col("_md5").alias("_m")).agg(F.min(pos).alias("_p"))
+    same = keyed[listing].eqNullSafe(F.col("_l")) & (F.col("_md5") == F.col("_m")) & (keyed[pos] == F.col("_p"))
+    unique = keyed.join(first, same, "left_semi").drop("_md5")
     if per_listing is None:
         return unique
     salted = Window.partitionBy(listing, "_salt").orderBy(pos)

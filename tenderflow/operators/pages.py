@@ -15,6 +15,7 @@ from tenderflow.functions.text import contains_any, let, strip_tags, text, trimm
 from tenderflow.functions.titles import title_from_url
 from tenderflow.operators.linkage import dedupe_links
 from tenderflow.operators.skew import lookup_join
+from tenderflow.session import cut_lineage
 
 # Markup that the expression path reads like the parser does: no other named references than these.
 SIMPLE_REFERENCES = {
@@ -110,6 +111,13 @@ def first_phrase(c: Column, phrases: list[str]) -> Column:
     return out
 
 
+def on_host(host: Column, suffixes: list[str]) -> Column:
+    """The host is one of the given ones or below one."""
+    return F.array_contains(F.array(*[F.lit(s.lower()) for s in suffixes if s]), host) | F.greatest(
+        F.lit(False), F.lit(False), *[host.endswith("." + s.lower()) for s in suffixes if s]
+    )
+
+
 def classify_pages(
     pages: DataFrame,
     *,
@@ -123,8 +131,13 @@ def classify_pages(
     opened: list[str] = S.OPEN_PHRASES,
     platform: list[str] = S.PLATFORM_MARKERS,
     login_words: str = S.LOGIN_BID_WORDS,
+    more_script_hosts: list[str] | None = None,
+    more_heavy_hosts: list[str] | None = None,
 ) -> DataFrame:
-    """Add page flags and the first blocking reason. The word lists are parameters; the defaults are the fixed ones."""
+    """Add page flags and the first blocking reason. The word lists are parameters; the defaults are the fixed ones.
+
+    `heavy_portal` and `script_host` tell hosts whose listings need a browser, by suffix; more suffixes can be given.
+    """
     # Plain columns first: each is read by many flags and must not be computed for each of them.
     read = pages.withColumns(
         {
@@ -145,6 +158,9 @@ def classify_pages(
     detail_links = markup.rlike(S.DETAIL_PATH_PATTERN)
     platform_page = contains_any(low_html, platform)
     path = F.lower(F.regexp_extract(text(url), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
+    host = F.lower(F.regexp_extract(text(url), r"^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    is_heavy = on_host(host, S.HEAVY_PORTAL_HOSTS + (more_heavy_hosts or []))
+    is_script = is_heavy | on_host(host, S.SCRIPT_LISTING_HOSTS + (more_script_hosts or []))
     out = read.withColumns(
         {
             "browser_check": is_check,
@@ -154,7 +170,9 @@ def classify_pages(
             "open_bids": is_open,
             "no_open_bids": ~open_signals(hay, opened) & contains_any(hay, no_open),
             "platform_page": platform_page,
-            "needs_render": is_open & ~detail_links & (platform_page | path.rlike("/(procurement|solicitation)")),
+            "script_host": is_script,
+            "heavy_portal": is_heavy,
+            "needs_render": is_open & ~detail_links & (platform_page | is_script | path.rlike("/(procurement|solicitation)")),
         }
     )
     reason = (
@@ -173,8 +191,11 @@ def classify_pages(
 LINK_SCHEMA = "pos int, tag string, href string, link_text string, near_text string"
 
 
-def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per anchor, frame or embed with a target. The parser works on Arrow batches and keeps pages whole."""
+def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", near: bool = True) -> DataFrame:
+    """One row per anchor, frame or embed with a target. The parser works on Arrow batches and keeps pages whole.
+
+    Without `near`, the text around a link is left empty.
+    """
     key_type = pages.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +203,7 @@ def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html
             rows = [
                 (k, u, *link)
                 for k, u, h in zip(pdf[key], pdf[url], pdf[html])
-                for link in page_links(h)
+                for link in page_links(h, near)
             ]
             yield pd.DataFrame(rows, columns=[key, url, "pos", "tag", "href", "link_text", "near_text"])
 
@@ -252,7 +273,7 @@ def extract_document_links(
     url: str = "url",
     html: str = "html",
     suffix_pattern: str = r"(?i)\.pdf($|\?)",
-    raw_pattern: str = r"""(?i)(https?://[^\s"'\\]+\.pdf)""",
+    raw_pattern: str = r"""(?i)(https?://[^\s"']+\.pdf)""",
     negative: list[str] = S.DOC_NEGATIVE,
     positive: list[str] = S.DOC_POSITIVE,
     id_pattern: str = S.DOC_ID_PATTERN,
@@ -273,6 +294,8 @@ def extract_document_links(
             target.alias("PDF_LINK"),
         )
     )
+    # Read twice below; the links are narrow, the parsing behind them is not.
+    kept = cut_lineage(kept)
     raw = F.regexp_extract_all(text(html), F.lit(raw_pattern), F.lit(1))
     fallback = (
         pages.join(kept.select(key).distinct(), key, "left_anti")
@@ -303,7 +326,7 @@ def extract_detail_links(
     skip_filtered_portal: bool = True,
 ) -> DataFrame:
     """Links to detail pages of single solicitations, the first of each URL per page."""
-    found = links if links is not None else extract_links(pages, key, url, html)
+    found = links if links is not None else extract_links(pages, key, url, html, near=False)
     href, target = F.col("href"), F.col("_target")
     non_http = r"(?i)^\s*(mailto|tel|sms|fax|data|blob):"
     host, path, query = F.lower(_url_part(target, "host")), _url_part(target, "path"), _url_part(target, "query")
@@ -427,8 +450,8 @@ def excerpt_budget(
     *,
     key: str = "page_id",
     listing: str = "listing_url",
-    caps: dict[str, int] = S.EXCERPT_CAPS,
-    budget: int = S.EXCERPT_BUDGET,
+    caps: dict[str, int],
+    budget: int,
     passes: int = 3,
 ) -> DataFrame:
     """Cut the text columns of each page to their caps, then shrink them in proportion until a listing fits its budget.
@@ -441,6 +464,8 @@ def excerpt_budget(
         F.col(listing).cast("string").alias("_listing"),
         *[F.least(F.char_length(text(c)), F.lit(n)).cast("bigint").alias(f"_n_{c}") for c, n in caps.items()],
     )
+    # A few numbers per page; every pass reads them twice.
+    lengths = cut_lineage(lengths)
     for _ in range(passes):
         total = sum((F.col(f"_n_{c}") for c in columns), F.lit(0).cast("bigint"))
         sums = lengths.groupBy("_listing").agg(F.sum(total).alias("_total"))

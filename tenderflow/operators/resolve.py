@@ -121,7 +121,7 @@ def best_name_matches(hints: DataFrame, names: DataFrame, at_least: float, **blo
     """
     prepared = cut_lineage(
         hints.select("hint")
-        .where(F.char_length("hint").between(4, 220))
+        .where(F.char_length("hint") >= 4)
         .distinct()
         .withColumns({"lower": F.lower("hint"), "canon": canonical_name("hint"), "tokens": significant_tokens("hint")})
     )

@@ -40,27 +40,23 @@ def block_match(
 
     `match(left_pdf, right_pdf)` returns at most a few rows per left row (a best match, never the pairs). A group
     that is larger than a block is cut into left slices and right blocks; each task sees one of each, and
-    the caller folds the partial results per left row. Groups of more than a block number at most
-    rows / block, which bounds the broadcast size table.
+    the caller folds the partial results per left row. A group that only one side has never reaches a task.
     """
     left, right = cut_lineage(left), cut_lineage(right)
     nl = left.groupBy(group).agg(F.count("*").alias("_nl"))
     nr = right.groupBy(group).agg(F.count("*").alias("_nr"))
-    big = (
-        nl.join(nr, group)
-        .where((F.col("_nl") > left_block) | (F.col("_nr") > right_block))
-        .select(
-            F.col(group).alias("_big"),
-            F.ceil(F.col("_nl") / F.lit(left_block)).cast("int").alias("_slices"),
-            F.ceil(F.col("_nr") / F.lit(right_block)).cast("int").alias("_blocks"),
-        )
+    # Groups that only one side has meet nothing and leave here; every other one gets its numbers of slices and blocks.
+    sizes = nl.join(nr, group).select(
+        F.col(group).alias("_sized"),
+        F.ceil(F.col("_nl") / F.lit(left_block)).cast("int").alias("_slices"),
+        F.ceil(F.col("_nr") / F.lit(right_block)).cast("int").alias("_blocks"),
     )
 
     def cut(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        sized = df.join(F.broadcast(big), F.col(group) == F.col("_big"), "left")
-        mine = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(own_n), F.lit(1))).cast("int")
-        copies = F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)
-        return sized.withColumn(own, mine).withColumn(other, F.explode(copies)).drop("_big", "_slices", "_blocks")
+        sized = df.join(sizes, F.col(group) == F.col("_sized"))
+        mine = F.pmod(F.xxhash64(*df.columns), F.col(own_n)).cast("int")
+        copies = F.sequence(F.lit(0), F.col(other_n) - 1)
+        return sized.withColumn(own, mine).withColumn(other, F.explode(copies)).drop("_sized", "_slices", "_blocks")
 
     lefts = cut(left, "_slice", "_slices", "_block", "_blocks")
     rights = cut(right, "_block", "_blocks", "_slice", "_slices")

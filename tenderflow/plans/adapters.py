@@ -229,9 +229,10 @@ SELECT 'https://agency' || CAST(doc_id % 60 AS STRING) || '.gov/bids?doc=' || CA
 FROM {documents}""",
 }
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-).split()
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+]
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderflow import schemas
 from tenderflow.functions import contact, description, identity, names, naics, records, titles
+from tenderflow.functions import signals as S
 from tenderflow.functions.text import parse_day
 from tenderflow.operators import curate, linkage, listing, pages, report, resolve
 from tenderflow.plans.adapters import NOW, given, logical
@@ -242,8 +243,8 @@ def normalize_posting_entity(spark, sf_dir):
 @query
 def normalize_contact_fields(spark, sf_dir):
     t = Tables(spark, sf_dir)["extract"]
-    address = contact.address_snippet("DESCRIPTION", 2500)
-    phone = contact.phone_snippet("CONTACT_EMAIL", 512)
+    address = contact.address_snippet("DESCRIPTION")
+    phone = contact.phone_snippet("CONTACT_EMAIL")
     return t.select(
         "doc_id",
         contact.issuing_organization("ISSUING_ORGANIZATION").alias("organization"),
@@ -741,7 +742,7 @@ def conform_schema(spark, sf_dir):
 def validate_records(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = t["extract"].select(
-        "doc_id", F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.substring("DESCRIPTION", 1, 300)).alias("TITLE"),
+        "doc_id", F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("DESCRIPTION")).alias("TITLE"),
         F.when(F.col("doc_id") % 4 == 0, "a b@c").when(F.col("doc_id") % 4 == 1, "").otherwise(F.lit("a.b@c-d.gov")).alias("EMAIL"),
         "ENDDATE", "NAICSCODE",
         F.when(F.col("doc_id") % 7 == 0, "12x").when(F.col("doc_id") % 7 == 1, "").otherwise(F.col("source_id").cast("string")).alias("ENTITYID"),
@@ -766,6 +767,8 @@ PAGE_WORDS = {
     "no_open": ["ad 0", "subscribe", "cookie"],
     "platform": ['class="ad"'],
     "spa": ["<main"],
+    "more_script_hosts": ["example.net"],
+    "more_heavy_hosts": ["example.org"],
 }
 
 
@@ -774,7 +777,7 @@ def classify_pages(spark, sf_dir):
     read = pages.pages_to_text(Tables(spark, sf_dir).raw("pages"))
     return pages.classify_pages(read, **PAGE_WORDS).select(
         "page_id", "browser_check", "blocked_reason", "spa", "login_page", "open_bids", "no_open_bids", "platform_page",
-        "needs_render", "page_class",
+        "script_host", "heavy_portal", "needs_render", "page_class",
     )
 
 
@@ -815,7 +818,9 @@ def journal_pages(t: Tables) -> DataFrame:
 
 @query
 def join_document_texts(spark, sf_dir):
-    docs = Tables(spark, sf_dir).raw("documents").select(F.concat_ws("/", "source", "lang").alias("listing_url"), F.col("doc_id").alias("pos"), "text")
+    # Two hundred ids a listing: there are as many listings as the table has documents for.
+    listing = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 200).cast("string"))
+    docs = Tables(spark, sf_dir).raw("documents").select(listing.alias("listing_url"), F.col("doc_id").alias("pos"), "text")
     return pages.join_document_texts(docs).select("listing_url", "documents", F.md5(F.col("document_text").cast("binary")).alias("text_md5"))
 
 
@@ -837,7 +842,7 @@ def listing_texts(t: Tables) -> DataFrame:
 @query
 def prioritize_links(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return pages.prioritize_links(listing_links(t), listing_texts(t), cap=8).select("page_id", "pos", "is_open", "priority")
+    return pages.prioritize_links(listing_links(t), listing_texts(t)).select("page_id", "pos", "is_open", "priority")
 
 
 @query
@@ -846,6 +851,6 @@ def excerpt_budget(spark, sf_dir):
         F.col("doc_id").alias("page_id"), F.concat_ws("/", "source", "lang").alias("listing_url"),
         "text", F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("html"), F.reverse("text").alias("pdf_text"),
     )
-    return pages.excerpt_budget(docs).select(
+    return pages.excerpt_budget(docs, caps=S.EXCERPT_CAPS, budget=S.EXCERPT_BUDGET).select(
         "page_id", *[F.char_length(c).alias(f"{c}_chars") for c in ("text", "html", "pdf_text")], F.md5(F.col("pdf_text").cast("binary")).alias("pdf_md5")
     )

@@ -90,12 +90,12 @@ def is_email(x: str) -> str:
 
 def first_email(x: str) -> str:
     parts = f"list_filter(regexp_split_to_array({tr(x)}, '[\\s,;|]+'), lambda p: p <> '' AND {is_email('p')})"
-    return f"CASE WHEN lower({tr(x)}) <> 'not provided' THEN substr({parts}[1], 1, 255) END"
+    return f"CASE WHEN lower({tr(x)}) <> 'not provided' THEN {parts}[1] END"
 
 
 def email_in_text(x: str) -> str:
     found = f"regexp_extract_all({tx(x)}, '\\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})\\b', 1)"
-    return f"substr(list_filter({found}, lambda p: {is_email('p')})[1], 1, 255)"
+    return f"list_filter({found}, lambda p: {is_email('p')})[1]"
 
 
 def comparable_email(x: str) -> str:
@@ -329,9 +329,9 @@ add("normalize_contact_fields", "extract", f"""SELECT doc_id, organization, phon
  md5(CASE WHEN address = '' AND phone = '' THEN lang ELSE rtrim(lang) || chr(10) || chr(10) || '---' || chr(10) || '**Issuing entity — address & phone**'
   || CASE WHEN address <> '' THEN chr(10) || 'Address: ' || address ELSE '' END || CASE WHEN phone <> '' THEN chr(10) || 'Phone: ' || phone ELSE '' END END) AS block_md5
 FROM (SELECT doc_id, lang, organization,
-  CASE WHEN {MISSING.format(x='ph', l='ph')} THEN '' WHEN length(ph) > 512 THEN substr(ph, 1, 512) || '...' ELSE ph END AS phone,
-  CASE WHEN {MISSING.format(x='ad', l="trim(string_split(ad, chr(10))[1])")} THEN '' WHEN length(ad) > 2500 THEN substr(ad, 1, 2500) || '...' ELSE ad END AS address
- FROM (SELECT doc_id, lang, substr({org_sql('ISSUING_ORGANIZATION')}, 1, 500) AS organization, {collapse('CONTACT_EMAIL')} AS ph, coalesce({ADDRESS_LINES}, '') AS ad FROM "extract"))""")
+  CASE WHEN {MISSING.format(x='ph', l='ph')} THEN '' ELSE ph END AS phone,
+  CASE WHEN {MISSING.format(x='ad', l="trim(string_split(ad, chr(10))[1])")} THEN '' ELSE ad END AS address
+ FROM (SELECT doc_id, lang, {org_sql('ISSUING_ORGANIZATION')} AS organization, {collapse('CONTACT_EMAIL')} AS ph, coalesce({ADDRESS_LINES}, '') AS ad FROM "extract"))""")
 add("flatten_description", "", """SELECT 'event' AS kind, event_id AS id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, '$.' || k)), chr(10)) AS description FROM events
 UNION ALL SELECT 'document', doc_id, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') FROM documents""")
 
@@ -490,8 +490,8 @@ def resolved(h: str) -> str:
 
 
 add("dedupe_links", "", f"""SELECT page_id, u AS "URL", min(pos) AS pos FROM (SELECT page_id, pos, {resolved('trim(href)')} AS u FROM hrefs) GROUP BY ALL""", HREFS)
-add("dedupe_snapshots", "", """SELECT listing_url, pos, h AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY listing_url ORDER BY pos) AS n FROM
- (SELECT source AS listing_url, md5(text) AS h, min(doc_id) AS pos FROM documents WHERE strlen(text) >= 80 AND NOT contains(lower(text), 'password') GROUP BY ALL)) WHERE n <= 8""")
+add("dedupe_snapshots", "", """SELECT source AS listing_url, md5(text) AS text_md5, min(doc_id) AS pos FROM documents
+ WHERE strlen(text) >= 80 AND NOT contains(lower(text), 'password') GROUP BY ALL""")
 
 # ---------------------------------------------------------------- resolution
 
@@ -567,7 +567,7 @@ UNION ALL SELECT 'user', coalesce(mid, id), {source_label('name', 'url')}, {tr('
 
 # ---------------------------------------------------------------- table maintenance
 
-add("map_pending_to_live", "bids_temp bid_url BIDURL", f"""SELECT p.id AS pending_id, substr({tr('TITLE')}, 1, 255) AS "TITLE", p.URL, coalesce(CASE WHEN p.BID_URL_ID IS NOT NULL THEN
+add("map_pending_to_live", "bids_temp bid_url BIDURL", f"""SELECT p.id AS pending_id, {tr('TITLE')} AS "TITLE", p.URL, coalesce(CASE WHEN p.BID_URL_ID IS NOT NULL THEN
   CASE WHEN p.BID_URL_ID < 1 THEN coalesce(h.mid, p.BID_URL_ID) ELSE coalesce(m.ID, o.mid, h.mid, p.BID_URL_ID) END END, 0) AS "BID_URL_ID",
  CASE WHEN p.BID_URL_ID % 2 = 0 THEN CAST(77 AS BIGINT) ELSE 0 END AS "USERID", coalesce(ENTITYID, 0) AS "ENTITYID", coalesce(CATEGORYID, 0) AS "CATEGORYID", coalesce(STATEID, 0) AS "STATEID",
  coalesce(INLINEURL, '0') AS "INLINEURL", coalesce(COUNTRY_ID, 'us') AS "COUNTRY_ID", NAICSCODE, {NOW_TS} AS "LAST_MODIFIED"
@@ -601,11 +601,11 @@ add("bulk_source_and_queue_updates", "bid_url bids_temp", f"""SELECT 'source' AS
 UNION ALL SELECT 'pending', BID_URL_ID, NULL, NULL, count(*) FROM "bids_temp" WHERE BID_URL_ID <> 1007 GROUP BY BID_URL_ID""")
 add("conform_schema", "bids_temp", 'SELECT id AS "ID", TITLE, SOLICITATIONNUMBER, ENDDATE, CAST(27 AS BIGINT) AS n_columns FROM "bids_temp"')
 add("validate_records", "extract users", f"""SELECT doc_id, nullif(em, '') AS "EMAIL", CASE WHEN regexp_matches(en, '^\\d+$') THEN CAST(en AS BIGINT) END AS "ENTITYID", u AS "USERID", array_to_string(list_filter([
-  CASE WHEN {tr('t')} = '' THEN 'Title is required.' END, CASE WHEN length(t) > 255 THEN 'Title is too long. Please keep it under 255 characters.' END,
-  CASE WHEN em <> '' AND NOT {is_email('em')} THEN 'EMAIL must be a valid email address.' END,
-  CASE WHEN ENDDATE = 'Not provided' THEN 'End date must be a valid date.' END, CASE WHEN en <> '' AND NOT regexp_matches(en, '^\\d+$') THEN 'ENTITYID must be an integer.' END,
-  CASE WHEN u NOT IN (SELECT id FROM directory) THEN 'Choose a user from the Manila (Asia/Manila) list.' END], lambda v: v IS NOT NULL), ' | ') AS errors
-FROM (SELECT doc_id, ENDDATE, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE substr(DESCRIPTION, 1, 300) END AS t, CASE WHEN doc_id % 4 = 0 THEN 'a b@c' WHEN doc_id % 4 = 1 THEN '' ELSE 'a.b@c-d.gov' END AS em,
+  CASE WHEN {tr('t')} = '' THEN 'title_missing' END, CASE WHEN length(t) > 255 THEN 'title_too_long' END,
+  CASE WHEN em <> '' AND NOT {is_email('em')} THEN 'email_invalid' END,
+  CASE WHEN ENDDATE = 'Not provided' THEN 'enddate_not_a_date' END, CASE WHEN en <> '' AND NOT regexp_matches(en, '^\\d+$') THEN 'entityid_not_a_number' END,
+  CASE WHEN u NOT IN (SELECT id FROM directory) THEN 'assignee_not_in_directory' END], lambda v: v IS NOT NULL), ' | ') AS errors
+FROM (SELECT doc_id, ENDDATE, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE DESCRIPTION END AS t, CASE WHEN doc_id % 4 = 0 THEN 'a b@c' WHEN doc_id % 4 = 1 THEN '' ELSE 'a.b@c-d.gov' END AS em,
  CASE WHEN doc_id % 7 = 0 THEN '12x' WHEN doc_id % 7 = 1 THEN '' ELSE CAST(source_id AS VARCHAR) END AS en, doc_id % 200 AS u FROM "extract")""", DIRECTORY)
 
 # ---------------------------------------------------------------- pages
@@ -634,12 +634,13 @@ def opened(x: str) -> str:
 FLAGS = f"""fl AS (SELECT *, (contains(hay, 'casino')::INT + contains(hay, 'pills')::INT + contains(hay, 'click here')::INT + contains(hay, 'subscribe')::INT) >= 2 AS browser_check,
   contains(lh, '<main') OR (len(regexp_extract_all(lh, '<script')) >= 3 AND strlen(vis) < 200) AS spa,
   ((regexp_matches(html, '(?i)type=["'']password["'']') AND regexp_matches(hay, 'log in|login|sign in')) OR regexp_matches(html, '(?i)<form[^>]*(login|signin)[^>]*>')) AND NOT regexp_matches(hay, '{S.LOGIN_BID_WORDS}') AS login_page,
-  {opened('lower(text)')} AS open_bids, NOT {opened('hay')} AND {has_any('hay', ['ad 0', 'subscribe', 'cookie'])} AS no_open_bids, contains(lh, 'class="ad"') AS platform_page
+  {opened('lower(text)')} AS open_bids, NOT {opened('hay')} AND {has_any('hay', ['ad 0', 'subscribe', 'cookie'])} AS no_open_bids, contains(lh, 'class="ad"') AS platform_page,
+  regexp_matches(lower(url), '^[a-z]+://([^/?#]*[.])?example[.](net|org)([/?#:]|$)') AS script_host, regexp_matches(lower(url), '^[a-z]+://([^/?#]*[.])?example[.]org([/?#:]|$)') AS heavy_portal
  FROM (SELECT *, {HAY} AS hay, lower(html) AS lh, regexp_replace(regexp_replace(html, '<script.*?</script>', '', 'gis'), '{TAGS}', '', 'gs') AS vis FROM pt)),
  rs AS (SELECT *, CASE WHEN browser_check THEN 'browser check/captcha' WHEN contains(hay, 'casino') THEN 'casino' WHEN contains(hay, 'cheap') THEN 'cheap' WHEN contains(hay, 'viagra') THEN 'viagra'
    WHEN contains(hay, 'winner') THEN 'winner' END AS blocked_reason,
-  open_bids AND NOT regexp_matches(html, '(?i)href=["''][^"'']*/Bids/[^"'']+["'']') AND (platform_page OR regexp_matches(lower(url), '^[a-z]+://[^/?#]*[^?#]*/(procurement|solicitation)')) AS needs_render FROM fl)"""
-add("classify_pages", "", """SELECT page_id, browser_check, blocked_reason, spa, login_page, open_bids, no_open_bids, platform_page, needs_render,
+  open_bids AND NOT regexp_matches(html, '(?i)href=["''][^"'']*/Bids/[^"'']+["'']') AND (platform_page OR script_host OR regexp_matches(lower(url), '^[a-z]+://[^/?#]*[^?#]*/(procurement|solicitation)')) AS needs_render FROM fl)"""
+add("classify_pages", "", """SELECT page_id, browser_check, blocked_reason, spa, login_page, open_bids, no_open_bids, platform_page, script_host, heavy_portal, needs_render,
  CASE WHEN blocked_reason IS NOT NULL THEN 'blocked: ' || blocked_reason WHEN login_page THEN 'login page' WHEN no_open_bids THEN 'no open bids' WHEN spa THEN 'script shell' WHEN needs_render THEN 'needs render' ELSE 'ok' END AS page_class
 FROM rs""", PAGE_TEXT + ", " + FLAGS)
 ANCHORS = """anchors AS (SELECT page_id, url, CAST(pos AS BIGINT) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, replace(replace(regexp_extract(a, '>([^<]*)<', 1), '&quot;', '"'), '&amp;', '&') AS label
@@ -659,11 +660,11 @@ add("primary_description", "", """SELECT doc_id, md5(CASE WHEN block IS NULL THE
 FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 120 THEN regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\n{3,}', chr(10) || chr(10), 'g') END AS block,
   'Head' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Project  Details:' ELSE 'PROJECT DESCRIPTION' END || chr(10) || text
    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Back To Trade Journal' || chr(10) || 'foot' WHEN doc_id % 5 = 1 THEN chr(10) || '  PDF ATTACHMENTS' || chr(10) || 'foot' ELSE '' END AS t FROM documents)""")
-add("join_document_texts", "", """SELECT source || '/' || lang AS listing_url, count(*) AS documents,
+add("join_document_texts", "", """SELECT source || '/' || lang || '/' || CAST(doc_id // 200 AS VARCHAR) AS listing_url, count(*) AS documents,
  md5(string_agg(text, chr(10) || chr(10) || '----- NEXT DOCUMENT -----' || chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM documents WHERE text <> '' GROUP BY ALL""")
 add("prioritize_links", "bid bid_url", """SELECT page_id, pos, is_open, CAST(p AS INTEGER) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY is_open DESC, pos) AS p FROM
  (SELECT BID_URL_ID AS page_id, b.ID AS pos, coalesce(trim(TITLE) = 'Road repair RFP ' || CAST(s.id % 50 AS VARCHAR), false)
-   OR (s.id IS NOT NULL AND trim(TITLE) <> '' AND starts_with('Road repair RFP ' || CAST(s.id % 50 AS VARCHAR), trim(TITLE))) AS is_open FROM "bid" b LEFT JOIN "bid_url" s ON s.id + 1000 = b.BID_URL_ID)) WHERE p <= 8""")
+   OR (s.id IS NOT NULL AND trim(TITLE) <> '' AND starts_with('Road repair RFP ' || CAST(s.id % 50 AS VARCHAR), trim(TITLE))) AS is_open FROM "bid" b LEFT JOIN "bid_url" s ON s.id + 1000 = b.BID_URL_ID))""")
 
 
 def shrink(table: str, out: str) -> str:
@@ -682,7 +683,7 @@ FROM n3 JOIN documents ON doc_id = page_id""", f"""n0 AS (SELECT doc_id AS page_
 def labelled_sql(blob: str) -> str:
     found = []
     for label in S.ORG_LABELS:
-        hit = f"regexp_extract({blob}, '(?i)\\b{label}\\s*:\\s*([^\\r\\n]{{{{3,240}}}})', 1)".replace("{{", "{").replace("}}", "}")
+        hit = f"regexp_extract({blob}, '(?i)\\b{label}\\s*:\\s*([^\\r\\n]{{{{3,}}}})', 1)".replace("{{", "{").replace("}}", "}")
         found.append(f"list_transform(regexp_split_to_array(trim({hit}, {WS}), '[|;]'), lambda v: trim(v, {WS}))")
     return f"list_filter({' || '.join(found)}, lambda v: length(v) >= 4)"
 

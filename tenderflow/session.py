@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +13,7 @@ def build_session(app: str = "tenderflow", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master)
@@ -24,17 +23,10 @@ def build_session(app: str = "tenderflow", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; a temporary one only on a local master."""
+    """Use the shared folder that spark.checkpoint.dir names; where it is unset, one below the warehouse, which all executors share too."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tenderflow-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -96,6 +96,10 @@ def test_clean_description(one):
 def test_flatten_description(one):
     got = one(description.flatten_description("x"), x='{"z":{"b":[1,"x"]},"a":null,"t":true,"f":false,"s":"{\\"k\\":1}"}')
     assert got == 'z:\n  b:\n    0: 1\n    1: x\na: \nt: 1\nf: \ns: {"k":1}'
+    deep = '{"a":[{"b":{"c":[1.50,{"d":{"e":true,"f":false,"g":null,"h":"[x"}}]}}],"z":2}'
+    assert one(description.flatten_description("x"), x=deep) == (
+        "a:\n  0:\n    b:\n      c:\n        0: 1.50\n        1:\n          d:\n            e: 1\n            f: \n            g: \n            h: [x\nz: 2"
+    )
     assert one(description.flatten_description("x"), x="a\n\n\n\nb") == "a\n\nb"
     assert one(description.flatten_description("x"), x='[broken') == "[broken"
 
@@ -320,6 +324,9 @@ def test_near_text():
         ("<p>powered by Granicus</p>" + "x" * 300, "Closing date", "https://a.gov", "needs render"),
         ("<p>x</p>" + "x" * 300, "RFP 12-3", "https://a.gov/procurement/x", "needs render"),
         ("<a href='/Bids/1'>x</a>" + "x" * 300, "RFP 12-3", "https://a.gov/procurement/x", "ok"),
+        ("<p>x</p>" + "x" * 300, "RFP 12-3", "https://city.BonfireHub.com/x", "needs render"),
+        ("<p>x</p>" + "x" * 300, "RFP 12-3", "https://demandstar.com/x", "needs render"),
+        ("<p>x</p>" + "x" * 300, "RFP 12-3", "https://notdemandstar.com/x", "ok"),
     ],
 )
 def test_classify_pages(spark, html, text, url, expected):
