@@ -31,7 +31,7 @@ ORACLES: dict[str, str] = {
     "op8_grouped_prefix_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(string_split_regex(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         s AS (
             SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
