@@ -449,6 +449,20 @@ def test_page_text(spark, empty):
     assert template_text.extract(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def page_texts(spark, bodies, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = template_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_page_text_uses_the_template_inside_the_article(spark):
+    """Boilerplate of an article in a container of no listed word goes; lines that copies of an article share stay."""
+    copy = "<p>first line of a copy</p><p>second line</p><p>third line</p>"
+    bodies = [f"<article><h1>Head {i} of an article</h1><div class='xq'><span>Follow us on Foo</span></div>{copy if i % 3 else f'<p>own {i}</p>'}</article>" for i in range(12)]
+    want = [f"Head {i} of an article\n" + ("first line of a copy\nsecond line\nthird line" if i % 3 else f"own {i}") for i in range(12)]
+    assert page_texts(spark, bodies) == want
+
+
 def test_pipeline_stages(spark, docs, texts, empty):
     import corpus_pipeline
 
