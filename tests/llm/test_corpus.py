@@ -463,6 +463,20 @@ def test_page_text_uses_the_template_inside_the_article(spark):
     assert page_texts(spark, bodies) == want
 
 
+def test_page_text_of_layouts(spark):
+    """Three layouts of a third of the pages each have templates of their own; a line on half of the pages stays."""
+    bodies = [
+        f"<div class='top'>Menu of {i % 3}</div><div class='note'>Hours of {i % 3}</div><div class='text'><p>Text {i} of a page</p>"
+        f"{'<p>A line on half the pages</p>' if i % 2 else ''}<p>End {i}</p></div><div class='low'>Address of {i % 3}</div>"
+        for i in range(12)
+    ]
+    assert page_texts(spark, bodies) == [f"Text {i} of a page\n" + ("A line on half the pages\n" if i % 2 else "") + f"End {i}" for i in range(12)]
+    # Tokens in another order on every page are no class.
+    parts = ["<div class='top'>Menu</div>", "<div class='top'>Hours</div>", "<div class='top'>Address</div>"]
+    turned = ["".join(parts[(i + j) % 3] for j in range(3)) + f"<p>Text {i} which is the longest of all</p>" for i in range(6)]
+    assert all(x.startswith(("Menu\n", "Hours\n", "Address\n")) for x in page_texts(spark, [*turned, "<div class='other'>x</div>"])[:6])
+
+
 def test_pipeline_stages(spark, docs, texts, empty):
     import corpus_pipeline
 
