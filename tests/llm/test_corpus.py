@@ -477,6 +477,22 @@ def test_page_text_of_layouts(spark):
     assert all(x.startswith(("Menu\n", "Hours\n", "Address\n")) for x in page_texts(spark, [*turned, "<div class='other'>x</div>"])[:6])
 
 
+def test_page_text_keeps_whole_articles(spark):
+    """Forms around a page, formulas, elements that are never closed, and class words without a template."""
+    bodies = [
+        "<form id='aspnetForm'><div><h1>Title</h1><p>The body of the page</p><label>Name</label></div></form>",
+        "<form><article><p>In a form</p></article></form>",
+        "<article><p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p></article>",
+        *[f"<article><p>One</p><{t}><p>Two</p></article>" for t in ("select", "object", "svg", "canvas", "iframe", "noscript")],
+        "<article><select><option>a</option></select><p>After</p><form><p>Send</p></form></article>",
+        "<article><p>Intro</p><section class='discussion'><p>We discuss</p></section><div class='legal related'><p>The law</p></div></article>",
+    ]
+    want = ["Title\nThe body of the page", "In a form", "We have x=1 here", *["One\nTwo"] * 6, "After", "Intro\nWe discuss\nThe law"]
+    assert page_texts(spark, bodies) == want
+    shared = [f"<article><p>Text {i} of some length</p><div class='legal'><p>All rights</p></div></article>" for i in range(4)]
+    assert page_texts(spark, shared) == [f"Text {i} of some length" for i in range(4)]
+
+
 def test_pipeline_stages(spark, docs, texts, empty):
     import corpus_pipeline
 
