@@ -2,14 +2,16 @@
 
 A document is its ids and an end id. It is cut into full windows of the longest tier as long as it reaches; what remains is routed to
 the shortest tier that holds it. Per tier, longest first, a piece opens a window of its own tier, and the gap behind
-it is filled with the longest pieces of shorter tiers that fit; what is left of the gap takes the head of a shorter piece, whose rest
-is routed anew. Windows that end up full are sequences. What is left at the end is cut into powers of two, which need no padding.
+it is filled with the longest pieces of shorter tiers that fit; what is left of the gap takes the head of a longer piece, whose rest
+is routed anew. Windows that end up full are sequences. What is left at the end, less than one window, is cut into powers of two,
+which need no padding.
 So no sequence is padded, and few documents are cut.
 
 A block of documents (`BLOCK_TOKENS` ids, or one longer document) is packed on its own, so the work needs no shuffle, memory is
 bounded by a block or the longest document, and a retry of a lost task gives the same sequences. `step_group` deals the sequences
-of a block to so many groups, the costly ones (sum of squared piece lengths, the cost of attention) in snake order, so groups have
-equal costs.
+of a tier to so many groups, the costly ones of a block (sum of squared piece lengths, the cost of attention) first, in snake order.
+A block goes on where the one before it ended, and every partition starts at another group, so groups have equal costs over the
+table, also where partitions are small.
 
 Nulls: a null text is empty, and an empty document is its end id alone. A null id stays null. Repeated rows are packed one by one.
 Only id and text are read. An empty table gives an empty result.
@@ -64,7 +66,7 @@ class Shelf:
 
 
 def pack(sizes: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length). Each is as long as the longest tier, or a power of two."""
+    """Sequences of (document, start, length). Each is as long as a tier, or a power of two."""
     longest = tiers[-1]
     shelves = {t: Shelf() for t in tiers}
     done: list[list[tuple[int, int, int]]] = []
@@ -86,10 +88,10 @@ def pack(sizes: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[i
             piece = shelves[own].take(own)
             if piece is None:
                 break
-            window, gap = [piece], longest - piece[2]
+            window, gap = [piece], own - piece[2]
             while gap:
                 fit = None
-                for t in reversed(tiers):  # longer tiers are empty by now, but for rests that were routed anew
+                for t in reversed(tiers):  # longer tiers are empty by now
                     fit = shelves[t].take(gap)
                     if fit:
                         break
@@ -137,18 +139,22 @@ def pack_documents(
     """One row per piece of a sequence; with_ids adds the ids themselves. sequence_id is unique over the table."""
     tiers = tuple(sorted(tiers))
 
-    def block(ids: np.ndarray, sizes: np.ndarray, keys: list, first_id: int) -> tuple[pa.RecordBatch, int]:
+    def block(ids: np.ndarray, sizes: np.ndarray, keys: list, first_id: int, dealt: list[int], first_group: int) -> tuple[pa.RecordBatch, int]:
         base = np.cumsum(sizes) - sizes
         sequences = pack(sizes, tiers)
         cost = np.array([sum(p[2] * p[2] for p in s) for s in sequences])
+        totals = [sum(p[2] for p in s) for s in sequences]
+        tier = np.minimum(np.searchsorted(tiers, totals), len(tiers) - 1)
         group = np.empty(len(sequences), np.int64)
-        turn = np.arange(len(sequences)) % (2 * step_groups)
-        group[np.argsort(-cost, kind="stable")] = np.minimum(turn, 2 * step_groups - 1 - turn)
+        for t in range(len(tiers)):
+            own = np.flatnonzero(tier == t)
+            turn = (dealt[t] + np.arange(len(own))) % (2 * step_groups)
+            group[own[np.argsort(-cost[own], kind="stable")]] = (np.minimum(turn, 2 * step_groups - 1 - turn) + first_group) % step_groups
+            dealt[t] += len(own)
         rows = []
         pieces = []
         for n, s in enumerate(sequences):
-            total, offset = sum(p[2] for p in s), 0
-            context = next((t for t in tiers if t >= total), tiers[-1])
+            total, offset, context = totals[n], 0, tiers[tier[n]]
             for doc, start, length in s:
                 own = ids[base[doc] + start : base[doc] + start + length]
                 pieces.append(own)
@@ -164,7 +170,9 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(tokenizer, kind, end)
-        next_id = TaskContext.get().partitionId() << 36
+        partition = TaskContext.get().partitionId()
+        next_id = partition << 36
+        dealt = [0] * len(tiers)
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         n = 0
         for batch in batches:
@@ -174,11 +182,11 @@ def pack_documents(
                 held.append((ids, sizes, keys[part.first : part.first + len(part.texts)]))
                 n += len(ids)
                 if n >= BLOCK_TOKENS:
-                    out, next_id = block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [k for h in held for k in h[2]], next_id)
+                    out, next_id = block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [k for h in held for k in h[2]], next_id, dealt, partition)
                     held, n = [], 0
                     yield out
         if held:
-            out, next_id = block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [k for h in held for k in h[2]], next_id)
+            out, next_id = block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [k for h in held for k in h[2]], next_id, dealt, partition)
             yield out
 
     return docs.select(doc_id, text).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

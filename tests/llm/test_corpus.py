@@ -229,6 +229,25 @@ def test_packing_plan(seed):
     assert sum(len(s) for s in sequences) < 2.5 * len(sizes) + sizes.sum() / 2048
 
 
+def test_packing_tiers():
+    """Full windows of every tier, each without a piece of a longer tier."""
+    sizes = np.random.default_rng(7).integers(1, 1200, 2000)
+    sequences = tier_packing.pack(sizes)
+    totals = [sum(p[2] for p in s) for s in sequences]
+    for longest in (40, 400, 900, 1500):
+        own = tier_packing.pack(np.random.default_rng(longest).integers(longest // 2 + 1, longest, 400))
+        tier = next(t for t in tier_packing.TIERS if t >= longest)
+        assert sum(sum(p[2] for p in s) == tier for s in own) > 0.9 * len(own)
+    assert totals.count(2048) and totals.count(1024) and sum(totals) == sizes.sum()
+
+
+def test_step_groups_of_small_partitions(spark):
+    df = spark.createDataFrame([(i, "one two three " * 90) for i in range(64)], "doc_id long, text string").repartition(32, "doc_id")
+    rows = tier_packing.pack_documents(df, WORD).where("sequence_tokens >= 256").select("sequence_id", "step_group").distinct().collect()
+    counts = collections.Counter(r["step_group"] for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) < 3 * min(counts.values())
+
+
 def test_token_files(spark, docs, texts, empty, tmp_path):
     ids = ids_of(BYTE, texts, 0)
     path = str(tmp_path / "tokens")
