@@ -182,7 +182,11 @@ class Join:
         ends = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
         named = stored(self.nodes.select("node", "f1", "f2", "least").join(ends, "node"), "named")
         ids = stored(named.select(F.col("least").alias(self.doc_id)).distinct(), "ids")
-        found = whole_sets(keep_ids(self.docs, self.doc_id, ids), self.doc_id, self.text)
+        rows = keep_ids(self.docs, self.doc_id, ids).select(self.doc_id, self.text)
+        if not ids.where(F.col(self.doc_id).isNull()).isEmpty():
+            # Nodes whose rows all have a null id, which no join by id finds.
+            rows = rows.unionByName(self.docs.where(F.col(self.doc_id).isNull()).select(self.doc_id, self.text))
+        found = whole_sets(rows, self.doc_id, self.text)
         at = named.select("node", F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
         at = F.broadcast(at) if at.limit(1_000_001).count() <= 1_000_000 else at
         members = stored(found.join(at, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))).select("node", "members"), "members")
@@ -256,8 +260,8 @@ class Join:
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
         return self.verified(self.sharpened(pairs))
 
-    def classes(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id), one row per row of the input."""
+    def labelled(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id, f1, f2, comp), one row per row of the input; comp is null for an empty set."""
         self.group()
         self.lists()
         first = self.star()
@@ -266,10 +270,16 @@ class Join:
         named = self.nodes.select("f1", "f2", "node", "least").join(label, F.col("node") == F.col("_node"), "left")
         named = stored(named.select("f1", "f2", "least", F.coalesce("component", "node").alias("comp")), "named")
         least = stored(named.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("component_id")), "least")
-        final = stored(named.join(least, F.col("comp") == F.col("_comp")).select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component_id"), "classes")
+        final = stored(named.join(least, F.col("comp") == F.col("_comp")).select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component_id", "comp"), "classes")
         rows = self.sets.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-        some = rows.where("n_shingles > 0").join(final, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))).select("doc_id", "n_shingles", "component_id")
-        return some.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        columns = ["doc_id", "n_shingles", "component_id", "f1", "f2", "comp"]
+        some = rows.where("n_shingles > 0").join(final, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))).select(*columns)
+        none = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "comp": F.lit(None).cast("long")})
+        return some.union(none.select(*columns))
+
+    def classes(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id), one row per row of the input."""
+        return self.labelled().select("doc_id", "n_shingles", "component_id")
 
 
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -277,16 +287,32 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest id; of repeated rows of that id one stays."""
-    classes = similar_classes(docs, doc_id, text, percent)
-    gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
+    """`docs` with one row of each component, of the smallest id that is not null; a row is told by its id and set, not by the id alone.
+
+    A row with an empty set is a component of its own; of those with equal id and text one stays, with a null id all.
+    """
+    rows = stored(Join(docs, doc_id, text, percent).labelled().select("doc_id", "component_id", "f1", "f2", "comp"), "labelled")
+    vague = stored(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "vague")
+    alone = rows.where("doc_id IS NOT NULL").join(vague, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = stored(alone.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)), "copies")
     small = gone.limit(2_000_001).count() <= 2_000_000
     kept = docs.join(F.broadcast(gone) if small else gone, doc_id, "left_anti")
-    ids = stored(kept.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select("_id"), "repeated")
-    if ids.isEmpty():
+    if vague.isEmpty():
         return kept
-    again = kept.join(ids, F.col(doc_id) == F.col("_id"), "left_semi").dropDuplicates([doc_id])
-    return kept.join(ids, kept[doc_id] == F.col("_id"), "left_anti").unionByName(again)
+    # Rows whose id is null or not the only one: by id and set.
+    is_vague = docs[doc_id].eqNullSafe(F.col("_id"))
+    own = stored(docs.join(vague, is_vague, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "vague")
+    sets = described(own, "_row", text, percent, frequent_shingles(own, text)).select(F.col("doc_id").alias("_of"), "n", "f1", "f2")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "f1", "f2")).alias("x")
+    first = stored(rows.where("comp IS NOT NULL").groupBy("comp").agg(first).select(F.col("x.id").alias("_i"), F.col("x.f1").alias("_f1"), F.col("x.f2").alias("_f2")), "first")
+    held = own.select("_row", F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text")).join(sets, F.col("_row") == F.col("_of"))
+    held = stored(held.select("_row", "_id", "_text", "n", "f1", "f2"), "held")
+    some = held.where("n > 0").join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left_semi")
+    some = some.groupBy("_id", "f1", "f2").agg(F.min("_row").alias("_stay")).select("_stay")
+    empty = held.where("n = 0 AND _id IS NOT NULL").groupBy("_id", "_text").agg(F.min("_row").alias("_stay")).select("_stay")
+    stay = stored(some.union(empty).union(held.where("n = 0 AND _id IS NULL").select("_row")), "stay")
+    again = own.join(stay, F.col("_row") == F.col("_stay"), "left_semi").select(*docs.columns)
+    return kept.join(vague, kept[doc_id].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns).unionByName(again)
 
 
 def op8_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

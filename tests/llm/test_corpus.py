@@ -306,6 +306,23 @@ def test_prefix_join(docs, texts, empty):
     assert prefix_join.similar_classes(empty).count() == prefix_join.one_of_each(empty).count() == 0
 
 
+def test_prefix_join_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    chain = [words(rng, 60, 10**6)]
+    for at in (5, 50):
+        v = list(chain[-1])
+        v[at] = f"changed{at}"
+        chain.append(v)
+    a, b, c = (" ".join(x) for x in chain)
+    other, copy = " ".join(words(rng, 60, 10**6)), " ".join(words(rng, 60, 10**6))
+    rows = [(1, a), (None, b), (2, c), (3, copy), (4, copy), (4, other), (None, copy), (5, other), (6, ""), (6, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = [r for r in prefix_join.similar_classes(df).collect() if r["doc_id"] in (1, 2)]
+    assert {r["component_id"] for r in linked} == {1}  # 1 ~ null ~ 2
+    got = sorted(((r["doc_id"], r["text"]) for r in prefix_join.one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, a), (3, copy), (4, other), (6, ""), (None, None)], key=str)
+
+
 def test_prefix_join_chains_and_large_groups(spark):
     """Chains of edits whose ends are far apart, one large group of near copies, and a passage that unrelated texts share."""
     rng = random.Random(8)
