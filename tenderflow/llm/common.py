@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,3 +117,84 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def segment_sums(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, str], name: str = "sums") -> DataFrame:
+    """Add running sums within each key, own row included: out column -> integer column. Sums wrap at 64 bits.
+
+    Rows are range partitioned by keys and order, so one key may fill many ranges; each range is summed up as it streams by. Only the
+    first and last row of each range reach the driver, from which follows what a key brings along from earlier ranges.
+    """
+    spark = df.sparkSession
+    outs = list(sums)
+    extra = [*[T.StructField(o, T.LongType()) for o in outs], T.StructField("_range", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.IntegerType())]
+    schema = T.StructType([*df.schema.fields, *extra])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last_key, ahead, head, waiting, first = TaskContext.get().partitionId(), None, np.zeros(len(outs), np.int64), True, None, True
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            starts = np.zeros(n, bool)
+            for k in keys:
+                col = batch.column(k)
+                a, b = col.slice(1), col.slice(0, n - 1)
+                differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+                starts[1:] |= differs
+            key = tuple(batch.column(k)[0].as_py() for k in keys)
+            fresh = first or key != last_key
+            starts[0] = fresh
+            segment = np.cumsum(starts)  # 0: goes on from the batch before
+            begin = np.flatnonzero(starts)
+            columns = []
+            with np.errstate(over="ignore"):
+                for j, o in enumerate(outs):
+                    value = batch.column(sums[o]).to_numpy(zero_copy_only=False).astype(np.int64)
+                    total = np.cumsum(value, dtype=np.int64)
+                    base = np.concatenate([[-ahead[j]], total[begin] - value[begin]])
+                    columns.append(total - base[segment])
+            if not first and fresh:
+                head = False
+            heads = (segment <= (1 if first else 0)) & head
+            head = bool(heads[-1])
+            edge = np.zeros(n, np.int32)
+            if first:
+                edge[0] = 1
+            out = [*batch.columns, *[pa.array(c) for c in columns], pa.array(np.full(n, own, np.int32)), pa.array(heads)], edge
+            ahead = np.array([c[-1] for c in columns], np.int64)
+            last_key, first = tuple(batch.column(k)[n - 1].as_py() for k in keys), False
+            if waiting is not None:
+                yield pa.RecordBatch.from_arrays([*waiting[0], pa.array(waiting[1])], schema.names)
+            waiting = out
+        if waiting is not None:
+            waiting[1][-1] += 2
+            yield pa.RecordBatch.from_arrays([*waiting[0], pa.array(waiting[1])], schema.names)
+
+    cut = [*[F.col(k) for k in keys], *order]
+    ranged = stored(df.repartitionByRange(*cut).sortWithinPartitions(*cut).mapInArrow(run, schema), name)
+    edges = ranged.where("_edge > 0").select("_range", "_edge", "_head", F.struct(*keys).alias("k"), *outs).orderBy("_range", "_edge").collect()
+    carry: dict[int, np.ndarray] = {}
+    before, held = None, np.zeros(len(outs), np.int64)
+    with np.errstate(over="ignore"):
+        for row in edges:  # two rows for each range, or one for a range of one row
+            if row["_edge"] & 1:
+                carry[row["_range"]] = held if row["k"] == before else np.zeros(len(outs), np.int64)
+            if row["_edge"] & 2:
+                held = np.array([row[o] for o in outs], np.int64) + (carry[row["_range"]] if row["_head"] else 0)
+                before = row["k"]
+    brought = spark.sparkContext.broadcast(carry)
+    kept = [f for f in schema.fields if f.name not in ("_range", "_head", "_edge")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ranges, heads = batch.column("_range").to_numpy(), batch.column("_head").to_numpy(zero_copy_only=False)
+            numbers, at = np.unique(ranges, return_inverse=True)
+            more = np.stack([brought.value[int(r)] for r in numbers])[at] * heads[:, None]
+            with np.errstate(over="ignore"):
+                new = [pa.array(batch.column(o).to_numpy() + more[:, j]) for j, o in enumerate(outs)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept if f.name not in outs], *new], [f.name for f in kept])
+
+    return ranged.mapInArrow(add, T.StructType(kept))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tenderflow.llm.adaptive_quality import op10_adaptive_quality
 from tenderflow.llm.label_sharding import op5_label_propagation
+from tenderflow.llm.merkle_manifest import op13_merkle_manifest
+from tenderflow.llm.oracles import ORACLES as BUILT_ORACLES
 from tenderflow.llm.ownership_secrets import op7_ownership_secrets
 from tenderflow.llm.poisson_mixing import op1_poisson_mix
 from tenderflow.llm.posting_lists import op3_posting_lists
@@ -24,10 +26,12 @@ QUERIES = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_token_columns": op9_token_columns,
     "op10_adaptive_quality": op10_adaptive_quality,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The others follow from hashes, sketches, tokenizers, markup or a trained model, which SQL cannot express; tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    **BUILT_ORACLES,
     "op8_grouped_prefix_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(string_split_regex(
