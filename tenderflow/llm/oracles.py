@@ -67,4 +67,28 @@ def merkle(levels: int = 5, source_levels: int = 3) -> str:
         FROM bf{source_levels} x JOIN a{levels} t ON t.tree = x.own CROSS JOIN b{source_levels} r"""
 
 
-ORACLES = {"op13_merkle_manifest": merkle()}
+def trie() -> str:
+    framed = "strlen(role) || ':' || role || strlen(text) || ':' || text"
+    return f"""WITH {CRC_TABLE},
+        t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+            md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+            coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT c, c - c % 100 AS b, {crc32('c')} % 6 AS h FROM (SELECT DISTINCT c FROM t), crc),
+        r AS (SELECT v.c, 0 AS own, t.i, t.role, t.text FROM convs v JOIN t ON t.c = v.b AND t.i <= v.h
+            UNION ALL SELECT v.c, 1, t.i, t.role, t.text FROM convs v JOIN t ON t.c = v.c AND t.i > v.h),
+        p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, {framed} AS s, length(text) AS len FROM r),
+        pre AS (SELECT c, d, len, string_agg(s, '') OVER (PARTITION BY c ORDER BY d) AS k FROM p UNION ALL SELECT c, 0, 0, '' FROM convs),
+        ends AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
+        node AS (SELECT k, x.d, min(x.c) AS conv_id, count(*) AS n_convs, any_value(len) AS len,
+            sha256(coalesce(string_agg(CAST(e.c AS VARCHAR), ',' ORDER BY e.c), '')) AS ends_sha256 FROM pre x LEFT JOIN ends e ON e.c = x.c AND e.d = x.d GROUP BY k, x.d),
+        tied AS (SELECT v.k, v.d, u.k AS up_k, u.d AS up_d FROM node v JOIN pre u ON u.c = v.conv_id AND u.d = v.d - 1),
+        kids AS (SELECT up_k AS k, up_d AS d, count(*) AS n FROM tied GROUP BY ALL),
+        sums AS (SELECT u.k, u.d, sum((v.n_convs - 1) * v.len) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+            FROM node v LEFT JOIN kids ON kids.k = v.k AND kids.d = v.d JOIN pre u ON u.c = v.conv_id AND u.d <= v.d GROUP BY u.k, u.d)
+        SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+            CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM node v JOIN sums s ON s.k = v.k AND s.d = v.d LEFT JOIN kids ON kids.k = v.k AND kids.d = v.d
+            LEFT JOIN tied ON tied.k = v.k AND tied.d = v.d LEFT JOIN node up ON up.k = tied.up_k AND up.d = tied.up_d"""
+
+
+ORACLES = {"op12_prefix_trie": trie(), "op13_merkle_manifest": merkle()}

@@ -10,6 +10,7 @@ from tenderflow.llm.ownership_secrets import op7_ownership_secrets
 from tenderflow.llm.poisson_mixing import op1_poisson_mix
 from tenderflow.llm.posting_lists import op3_posting_lists
 from tenderflow.llm.prefix_join import op8_grouped_prefix_join
+from tenderflow.llm.prefix_trie import op12_prefix_trie
 from tenderflow.llm.string_kernel_language import op4_string_kernel_language
 from tenderflow.llm.template_text import op2_template_text
 from tenderflow.llm.tier_packing import op6_tier_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_token_columns": op9_token_columns,
     "op10_adaptive_quality": op10_adaptive_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
