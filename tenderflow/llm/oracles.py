@@ -91,4 +91,14 @@ def trie() -> str:
             LEFT JOIN tied ON tied.k = v.k AND tied.d = v.d LEFT JOIN node up ON up.k = tied.up_k AND up.d = tied.up_d"""
 
 
-ORACLES = {"op12_prefix_trie": trie(), "op13_merkle_manifest": merkle()}
+def flat_graph() -> str:
+    return """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+        m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT m.vec_id, coalesce(n.n, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)"""
+
+
+ORACLES = {"op11_flat_graph": flat_graph(), "op12_prefix_trie": trie(), "op13_merkle_manifest": merkle()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tenderflow.llm.adaptive_quality import op10_adaptive_quality
+from tenderflow.llm.flat_graph import op11_flat_graph
 from tenderflow.llm.label_sharding import op5_label_propagation
 from tenderflow.llm.merkle_manifest import op13_merkle_manifest
 from tenderflow.llm.oracles import ORACLES as BUILT_ORACLES
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_token_columns": op9_token_columns,
     "op10_adaptive_quality": op10_adaptive_quality,
+    "op11_flat_graph": op11_flat_graph,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
