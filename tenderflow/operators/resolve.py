@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +17,25 @@ from tenderflow.functions.names import (
     significant_tokens,
     url_host,
 )
-from tenderflow.functions.similarity import similar_percent
 from tenderflow.functions.text import text, trimmed, whole_id
+from tenderflow.operators.candidates import (
+    banded,
+    banded_probes,
+    best_shared_words,
+    best_similar_join,
+    contained_pairs,
+    first_similar,
+)
 from tenderflow.operators.positions import with_positions
 from tenderflow.operators.skew import block_match, lookup_join
 from tenderflow.session import cut_lineage
 
 SOURCE_NAME_SCORE = 72.0
 HINT_SCORE = 78.0
+# The score of a name that holds the hint or is held by it, and that of shared words.
+HELD_SCORE = 88.0
+WORDS_FROM, WORDS_WEIGHT, WORDS_MOST = 65.0, 35.0, 92.0
+HELD_CATEGORY, CATEGORY_SCORE, TITLE_SCORE = 80.0, 50.0, 55.0
 
 
 # ---------------------------------------------------------------- entities
@@ -62,62 +72,30 @@ def entity_addresses(entities: DataFrame, emails: list[str], websites: list[str]
     return by_email.groupBy("email").agg(low), by_host.groupBy("host").agg(low)
 
 
-def _byte_counts(texts: list[bytes]) -> np.ndarray:
-    """Counts per byte class. Classes merge bytes, so shared counts never fall under the true overlap."""
-    out = np.zeros((len(texts), 64), dtype=np.int32)
-    for i, t in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(t, dtype=np.uint8) & 63, minlength=64)
-    return out
-
+def top_scores(found: DataFrame) -> DataFrame:
+    """Per hint the best score, with the lowest and the highest id that reach it."""
+    best = found.groupBy("hint").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "low_id")).alias("lo"),
+        F.min(F.struct((-F.col("score")).alias("s"), (-F.col("high_id")).alias("h"))).alias("hi"),
+    )
+    return best.select("hint", (-F.col("lo.s")).alias("score"), F.col("lo.low_id").alias("low_id"), (-F.col("hi.h")).alias("high_id"))
 
-def name_scores(hints: pd.DataFrame, names: pd.DataFrame, at_least: float) -> pd.DataFrame:
-    """Best score of each hint over a block of names, with the lowest and highest id that reach it.
 
-    A name is only compared byte by byte when its byte counts allow a score that could still win, so the result
-    is that of comparing every name.
-    """
-    out = []
-    if len(hints) and len(names):
-        ids = names["id"].to_numpy()
-        lowers = names["lower"].tolist()
-        raw = [t.encode() for t in lowers]
-        sizes = np.array([len(t) for t in raw])
-        counts = _byte_counts(raw)
-        token_sets = [set(t) for t in names["tokens"]]
-        by_token: dict[str, list[int]] = {}
-        for i, ts in enumerate(token_sets):
-            for t in ts:
-                by_token.setdefault(t, []).append(i)
-        for hint, low, tokens in zip(hints["hint"], hints["lower"], hints["tokens"]):
-            best: dict[int, float] = {}
-            own = set(tokens)
-            for i in {i for t in own for i in by_token.get(t, ())}:
-                share = len(own & token_sets[i]) / max(len(own), len(token_sets[i]))
-                best[i] = min(92.0, 65.0 + share * 35.0)
-            if len(low) >= 8:
-                for i, n in enumerate(lowers):
-                    if low in n or n in low:
-                        best[i] = max(best.get(i, 0.0), 88.0)
-            top = max([at_least, *best.values()])
-            me = low.encode()
-            bound = 200.0 * np.minimum(counts, _byte_counts([me])[0]).sum(axis=1) / (sizes + len(me))
-            for i in np.argsort(-bound, kind="stable"):
-                if bound[i] < top - 1e-6:
-                    break
-                score = similar_percent(low, lowers[i])
-                if score > best.get(i, 0.0):
-                    best[i] = score
-                    top = max(top, score)
-            won = [i for i, s in best.items() if s >= at_least and abs(s - top) < 1e-5]
-            if won:
-                out.append((hint, round(top, 6), int(ids[won].min()), int(ids[won].max())))
-    return pd.DataFrame(out, columns=["hint", "score", "low_id", "high_id"])
+def holding_pairs(left: DataFrame, right: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, left, right): pairs of distinct texts of which one holds the other; equal ones come twice. Empty texts take no part."""
+    own = [group] if group else []
+    left, right = left.where("left <> ''"), right.where("right <> ''")
+    inside = contained_pairs(left.withColumnRenamed("left", "needle"), right.withColumnRenamed("right", "text"), group)
+    around = contained_pairs(right.withColumnRenamed("right", "needle"), left.withColumnRenamed("left", "text"), group)
+    one = inside.select(*own, F.col("needle").alias("left"), F.col("text").alias("right"))
+    return one.unionByName(around.select(*own, F.col("text").alias("left"), F.col("needle").alias("right")))
 
 
 def best_name_matches(hints: DataFrame, names: DataFrame, at_least: float, **blocks: int) -> DataFrame:
     """For each distinct hint: the id of an equal name if any, else the best score and the ids that tie for it.
 
-    Equal names are found by an equi join; only the other hints are scored.
+    Equal names are found by an equi join. For the other hints, names that hold them or are held and names with the most words in common
+    are found by joins, and what these score is the least that a similar name must reach to be scored at all.
     """
     prepared = cut_lineage(
         hints.select("hint")
@@ -134,20 +112,26 @@ def best_name_matches(hints: DataFrame, names: DataFrame, at_least: float, **blo
         .groupBy("hint")
         .agg(F.min("equal_id").alias("equal_id"))
     )
-    rest = prepared.join(equal, "hint", "left_anti").select("hint", "lower", "tokens", F.lit(0).alias("g"))
-    targets = names.select("id", "lower", "tokens", F.lit(0).alias("g"))
-
-    def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        return name_scores(lp, rp, at_least)
-
-    part = block_match(
-        rest, targets, "g", match, "hint string, score double, low_id bigint, high_id bigint",
-        **{"left_block": 2_000, **blocks},
+    rest = cut_lineage(prepared.join(equal, "hint", "left_anti").select("hint", "lower", "tokens"))
+    scores = ["hint", "score", "low_id", "high_id"]
+    texts = cut_lineage(names.groupBy("lower").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id")))
+    long = rest.where(F.char_length("lower") >= 8)
+    held = holding_pairs(long.select(F.col("lower").alias("left")), texts.select(F.col("lower").alias("right")))
+    held = held.join(texts.withColumnRenamed("lower", "right"), "right").groupBy(F.col("left").alias("lower")).agg(F.min("low_id").alias("low_id"), F.max("high_id").alias("high_id"))
+    held = rest.join(held, "lower").select("hint", F.lit(HELD_SCORE).alias("score"), "low_id", "high_id")
+    words = best_shared_words(
+        rest.select(F.col("hint").alias("key"), F.col("tokens").alias("words")),
+        names.select(F.col("tokens").alias("words"), F.col("id").alias("low_id"), F.col("id").alias("high_id")),
+        max(0.0, (at_least - WORDS_FROM) / WORDS_WEIGHT),
     )
-    fuzzy = part.groupBy("hint").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "low_id")).alias("lo"),
-        F.min(F.struct((-F.col("score")).alias("s"), (-F.col("high_id")).alias("h"))).alias("hi"),
-    ).select("hint", (-F.col("lo.s")).alias("score"), F.col("lo.low_id").alias("low_id"), (-F.col("hi.h")).alias("high_id"))
+    shared = F.least(F.lit(WORDS_MOST), F.lit(WORDS_FROM) + F.col("shared") * F.lit(WORDS_WEIGHT))
+    words = words.select(F.col("key").alias("hint"), F.round(shared, 6).alias("score"), "low_id", "high_id").where(shared >= at_least)
+    known = cut_lineage(top_scores(held.where(F.col("score") >= at_least).unionByName(words)))
+    # What is known already is what a similar name must reach.
+    open_hints = rest.join(known.select("hint", F.col("score").alias("floor")), "hint", "left")
+    open_hints = open_hints.select("hint", "lower", F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(float(at_least))).alias("floor"))
+    alike = best_similar_join(open_hints, texts, **blocks).where(F.col("hint").isNotNull())
+    fuzzy = top_scores(known.select(*scores).unionByName(alike.select(*scores)))
     none = F.lit(None)
     return equal.select(
         "hint", "equal_id", none.cast("double").alias("score"), none.cast("bigint").alias("low_id"),
@@ -245,18 +229,6 @@ def resolve_entity(
 
 # ---------------------------------------------------------------- states and categories
 
-def _first_containing(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-    """Lowest id whose name contains the hint or is contained in it."""
-    pairs = sorted(zip(rp["id"], rp["name"]))
-    out = []
-    for hint in lp["hint"]:
-        for i, n in pairs:
-            if hint in n or n in hint:
-                out.append((hint, int(i)))
-                break
-    return pd.DataFrame(out, columns=["hint", "id"])
-
-
 def resolve_state(records: DataFrame, record: str, hint: str, states: DataFrame) -> DataFrame:
     """State id of each record: abbreviation, else equal name, else the first name that overlaps the hint."""
     named = states.select(
@@ -270,11 +242,9 @@ def resolve_state(records: DataFrame, record: str, hint: str, states: DataFrame)
     by_abbr = named.where(F.col("abbr") != "").groupBy(F.col("abbr").alias("code")).agg(F.min("id").alias("abbr_id"))
     by_name = named.where(F.col("name") != "").groupBy(F.col("name").alias("hint")).agg(F.min("id").alias("name_id"))
     staged = hints.join(by_abbr, "code", "left").join(by_name, "hint", "left")
-    rest = staged.where(F.coalesce("abbr_id", "name_id").isNull()).select("hint").distinct().withColumn("g", F.lit(0))
-    overlap = block_match(
-        rest, named.where(F.col("name") != "").select("id", "name", F.lit(0).alias("g")), "g", _first_containing,
-        "hint string, id bigint",
-    ).groupBy("hint").agg(F.min("id").alias("overlap_id"))
+    rest = staged.where(F.coalesce("abbr_id", "name_id").isNull()).select(F.col("hint").alias("left"))
+    lowest = named.where(F.col("name") != "").groupBy(F.col("name").alias("right")).agg(F.min("id").alias("id"))
+    overlap = holding_pairs(rest, lowest.select("right")).join(lowest, "right").groupBy(F.col("left").alias("hint")).agg(F.min("id").alias("overlap_id"))
     resolved = staged.join(overlap, "hint", "left").select(
         "raw", F.coalesce("abbr_id", "name_id", "overlap_id").alias("state_id")
     ).where(F.col("state_id").isNotNull())
@@ -282,20 +252,6 @@ def resolve_state(records: DataFrame, record: str, hint: str, states: DataFrame)
     return lookup_join(keyed, resolved, "raw", ["state_id"]).where(F.col("state_id").isNotNull()).select(record, "state_id")
 
 
-def _best_category(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    pairs = sorted(zip(rp["id"], rp["name"]))
-    for hint in lp["hint"]:
-        best, best_id = 0.0, None
-        for i, n in pairs:
-            score = 80.0 if (hint in n or n in hint) else similar_percent(hint, n)
-            if score > best and score >= 50.0:
-                best, best_id = score, int(i)
-        if best_id is not None:
-            out.append((hint, best, best_id))
-    return pd.DataFrame(out, columns=["hint", "score", "id"])
-
-
 def resolve_category(records: DataFrame, record: str, hint: str, categories: DataFrame) -> DataFrame:
     """Category id of each record: equal name, else the best score of at least 50, lowest id first."""
     named = categories.select(F.col("id").cast("bigint").alias("id"), F.lower(trimmed("name")).alias("name")).where(
@@ -305,10 +261,17 @@ def resolve_category(records: DataFrame, record: str, hint: str, categories: Dat
     hints = keyed.where(F.col("hint") != "").select("hint").distinct()
     by_name = named.groupBy(F.col("name").alias("hint")).agg(F.min("id").alias("category_id"))
     equal = hints.join(by_name, "hint")
-    rest = hints.join(by_name, "hint", "left_anti").withColumn("g", F.lit(0))
-    part = block_match(rest, named.withColumn("g", F.lit(0)), "g", _best_category, "hint string, score double, id bigint")
-    scored = part.groupBy("hint").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
-    resolved = equal.unionByName(scored.select("hint", F.col("b.id").alias("category_id")))
+    rest = cut_lineage(hints.join(by_name, "hint", "left_anti"))
+    texts = by_name.select(F.col("hint").alias("lower"), F.col("category_id").alias("low_id"), F.col("category_id").alias("high_id"))
+    held = holding_pairs(rest.select(F.col("hint").alias("left")), texts.select(F.col("lower").alias("right")))
+    held = held.join(texts.withColumnRenamed("lower", "right"), "right").select(F.col("left").alias("hint"), F.lit(HELD_CATEGORY).alias("score"), "low_id", "high_id")
+    known = cut_lineage(top_scores(held))
+    # Names that hold the hint or are held score by that alone.
+    open_hints = rest.join(known.select("hint", F.col("score").alias("floor")), "hint", "left")
+    open_hints = open_hints.select("hint", F.col("hint").alias("lower"), F.coalesce("floor", F.lit(CATEGORY_SCORE)).alias("floor"))
+    alike = best_similar_join(open_hints, texts, skip_contained=True).where(F.col("hint").isNotNull())
+    scored = top_scores(known.unionByName(alike.select(*known.columns)))
+    resolved = equal.unionByName(scored.select("hint", F.col("low_id").alias("category_id")))
     return (
         lookup_join(keyed, resolved, "hint", ["category_id"])
         .where(F.col("category_id").isNotNull())
@@ -390,17 +353,6 @@ def page_title_key(c: Column | str) -> Column:
     return trimmed(F.regexp_replace(one_line, r"[^a-z0-9\s]", ""))
 
 
-def _first_similar_page(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-    pages = sorted(zip(rp["pos"], rp["page_title"], rp["page_url"]))
-    out = []
-    for listing, title in zip(lp["listing_url"], lp["title"]):
-        for pos, page_title, url in pages:
-            if title in page_title or page_title in title or similar_percent(title, page_title) >= 55.0:
-                out.append((listing, title, int(pos), url))
-                break
-    return pd.DataFrame(out, columns=["listing_url", "title", "pos", "page_url"])
-
-
 def match_page_by_title(bids: DataFrame, pages: DataFrame, **blocks: int) -> DataFrame:
     """First non-portal page of the listing whose title contains, is contained in, or resembles the bid title.
 
@@ -411,11 +363,30 @@ def match_page_by_title(bids: DataFrame, pages: DataFrame, **blocks: int) -> Dat
         "listing_url", F.col("pos").cast("bigint").alias("pos"), page_title_key("title").alias("page_title"),
         trimmed("url").alias("page_url"),
     ).where((F.col("page_title") != "") & (F.col("page_url") != "") & ~references_portal("page_url"))
+    # Of the pages of a listing with equal titles only the first can be the match.
+    usable = cut_lineage(usable.groupBy("listing_url", "page_title").agg(F.min(F.struct("pos", "page_url")).alias("at")))
+    titles = cut_lineage(titles)
+    held = holding_pairs(
+        titles.select("listing_url", F.col("title").alias("left")), usable.select("listing_url", F.col("page_title").alias("right")), "listing_url"
+    )
+    held = held.join(usable.withColumnRenamed("page_title", "right"), ["listing_url", "right"]).groupBy("listing_url", F.col("left").alias("title")).agg(F.min("at").alias("at"))
+    held = cut_lineage(held)
+    # A similar page is of use only before that.
+    probes = titles.join(held.withColumnRenamed("at", "held"), ["listing_url", "title"], "left").select(
+        "listing_url", "title", F.coalesce(F.col("held.pos").cast("double"), F.lit(float("inf"))).alias("limit")
+    )
+
+    def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        t, p, _ = first_similar(lp["title"].tolist(), lp["limit"].to_numpy(), rp["page_title"].tolist(), rp["pos"].to_numpy(), TITLE_SCORE)
+        return pd.DataFrame({"listing_url": lp["listing_url"].to_numpy()[t], "title": lp["title"].to_numpy()[t], "pos": rp["pos"].to_numpy()[p], "page_url": rp["page_url"].to_numpy()[p]})
+
+    pages_at = banded(usable.select("listing_url", "page_title", "at.pos", "at.page_url"), "page_title", "listing_url")
     part = block_match(
-        titles, usable, "listing_url", _first_similar_page,
-        "listing_url string, title string, pos bigint, page_url string", **blocks,
+        banded_probes(probes, "title", F.lit(TITLE_SCORE), "listing_url"), pages_at, "_band", match,
+        "listing_url string, title string, pos bigint, page_url string", **{"left_block": 4_000, "right_block": 20_000, **blocks},
     )
-    first = part.groupBy("listing_url", "title").agg(F.min(F.struct("pos", "page_url")).alias("f"))
+    both = part.unionByName(held.select("listing_url", "title", "at.pos", "at.page_url"))
+    first = both.groupBy("listing_url", "title").agg(F.min(F.struct("pos", "page_url")).alias("f"))
     return first.select("listing_url", "title", F.col("f.pos").alias("pos"), F.col("f.page_url").alias("page_url"))
 
 

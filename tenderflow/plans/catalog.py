@@ -273,16 +273,19 @@ def title_from_url(spark, sf_dir):
 
 
 def title_pages(t: Tables) -> DataFrame:
-    """Crawled pages of every listing: one per document, titled by its first line."""
-    return t.raw("documents").select(
+    """Crawled pages of every listing: one per line of each document's whole text, titled by it, and one that a listed title may name."""
+    lines = t.raw("documents").select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    named = t.raw("documents").where(F.col("doc_id") % 2 == 0).select(
+        "doc_id", F.lit(-1).alias("line"), F.concat(F.lit("delivery of goods "), (F.col("doc_id") % 400).cast("string"), F.lit(" - details")).alias("title")
+    )
+    return named.unionByName(lines).select(
         F.concat(F.lit("https://agency"), (F.col("doc_id") % 60).cast("string"), F.lit(".gov/bids")).alias("listing_url"),
-        F.col("doc_id").alias("pos"),
+        (F.col("doc_id") * 1_000_000 + F.col("line") + 1).alias("pos"),
         F.concat(
             F.when(F.col("doc_id") % 3 == 0, "https://www.bidnetdirect.com/p/").otherwise("https://agency.gov/p/"),
-            F.col("doc_id").cast("string"),
+            F.col("doc_id").cast("string"), F.lit("/"), (F.col("line") + 1).cast("string"),
         ).alias("url"),
-        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("delivery of goods "), (F.col("doc_id") % 400).cast("string"), F.lit(" - details")))
-        .otherwise(F.get(F.split("text", "\n"), 0)).alias("title"),
+        "title",
     )
 
 

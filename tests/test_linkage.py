@@ -254,23 +254,6 @@ def brute_names(hint, names, at_least):
     return round(top, 6), min(ids), max(ids)
 
 
-def test_name_scores_exhaustive():
-    rnd = random.Random(7)
-    parts = ["river", "town", "water", "works", "board", "Åland", "north", "ab", "ville", "unified", "12", "34"]
-
-    def make():
-        low = " ".join(rnd.sample(parts, rnd.randint(1, 4))).lower()
-        return {"lower": low, "tokens": [t for t in dict.fromkeys(low.split()) if len(t) >= 3]}
-
-    names = [{"id": i % 150, **make()} for i in range(200)]
-    hints = [{"hint": f"h{i}", **make()} for i in range(80)]
-    for at_least in (72.0, 78.0):
-        got = resolve.name_scores(pd.DataFrame(hints), pd.DataFrame(names), at_least)
-        found = {r.hint: (r.score, r.low_id, r.high_id) for r in got.itertuples()}
-        for h in hints:
-            assert found.get(h["hint"]) == brute_names(h, names, at_least)
-
-
 def entity_frames(spark):
     entities = spark.createDataFrame(
         [(1, "City of Rifle", "Clerk@rifle.gov", "https://www.rifle.gov"), (2, "Routt County", "", "co.routt.co.us"),
