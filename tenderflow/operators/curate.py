@@ -14,6 +14,7 @@ from tenderflow.functions.identity import derive_identity_keys, present, probe_k
 from tenderflow.functions.text import is_email, parse_moment, text, trimmed
 from tenderflow.operators.linkage import match_duplicates, ordered_greedy_dedup
 from tenderflow.operators.listing import in_group
+from tenderflow.operators.ordered import ALWAYS, NEVER, micros, replacing_rows
 from tenderflow.operators.positions import next_ids
 from tenderflow.operators.report import latest_error_per_source
 from tenderflow.operators.resolve import resolve_master_source_id
@@ -35,7 +36,7 @@ def map_pending_to_live(
     now: dt.datetime,
     overrides: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Pending rows as live rows: integer casts, overrides of reference ids, master source id, title of 255, stamp.
+    """Pending rows as live rows: integer casts, overrides of reference ids, master source id, trimmed title, stamp.
 
     An override column wins over the row's value; a null override removes the value. `ID` stays null until assigned;
     the pending id travels along as `pending_id`.
@@ -111,39 +112,23 @@ def _earlier_in_batch(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.first_id").alias("target_id"))
 
 
-def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool, rounds: int = 1000) -> DataFrame:
+def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool) -> DataFrame:
     """Ids of the rows that patch their target when all are applied in id order.
 
-    `rows(id, target, own_bytes, own_at)`, `targets(target, bytes, at)`. A patch changes what later rows are compared
-    with, so each round applies the next patch of every target at once: the first row after the last patch that is
-    longer by over 50 bytes or newer. Descriptions grow by over 50 bytes per round; more than
-    `rounds` patches of one target are an error.
+    `rows(id, target, own_bytes, own_at)`, `targets(target, bytes, at)`. A patch changes what later rows are compared with: a row
+    patches when it is longer by over 50 bytes than what is there then, or newer.
     """
     if force:
         return rows.select("id")
-    state = targets.select("target", "bytes", "at", F.lit(-1).cast("bigint").alias("after"))
-    open_rows, found = rows, None
-    for _ in range(rounds):
-        ahead = lookup_join(open_rows, state, "target", ["bytes", "at", "after"]).where(
-            (F.col("id") > F.col("after"))
-            & ((F.col("own_bytes") > F.col("bytes") + 50) | F.coalesce(F.col("own_at") > F.col("at"), F.lit(False)))
-        )
-        open_rows = cut_lineage(ahead.select(*rows.columns))
-        step = cut_lineage(
-            open_rows.groupBy("target").agg(F.min_by(F.struct("id", "own_bytes"), "id").alias("s")).select(
-                "target", F.col("s.id").alias("after"), F.col("s.own_bytes").alias("bytes"),
-                _ts(now).alias("at"),
-            )
-        )
-        if step.isEmpty():
-            break
-        ids = step.select(F.col("after").alias("id"))
-        found = ids if found is None else found.unionByName(ids)
-        # Only targets that moved can move again.
-        state = step.select("target", "bytes", "at", "after")
-    else:
-        raise RuntimeError(f"a target takes more than {rounds} patches")
-    return rows.select("id").limit(0) if found is None else found
+    met = lookup_join(rows, targets, "target", ["bytes", "at"]).where(F.col("bytes").isNotNull())
+    # A record without a time is never older, a row without one never newer.
+    return replacing_rows(
+        met.select(
+            "id", "target", F.col("own_bytes").cast("bigint").alias("own_size"), F.coalesce(micros(F.col("own_at")), F.lit(NEVER)).alias("own_at"),
+            F.col("bytes").cast("bigint").alias("size"), F.coalesce(micros(F.col("at")), F.lit(ALWAYS)).alias("at"),
+        ),
+        50, int(now.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000 + now.microsecond,
+    )
 
 
 def promote_pending(
