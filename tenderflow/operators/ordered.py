@@ -65,12 +65,10 @@ class Growth:
         """Rows that replace the record when all come in order, and the record's size and time in the end."""
         i = self.first(size, at)
         out = []
-        if i < len(self.size):
-            after, _ = self.chain()
-            while i < len(self.size):
-                out.append(i)
-                size, at = int(self.size[i]), self.now
-                i = int(after[i])
+        for j, (s, t) in enumerate(zip(self.size[i:].tolist(), self.at[i:].tolist(), strict=True), i):
+            if s > size + self.more or t > at:
+                out.append(j)
+                size, at = s, self.now
         return np.array(out, np.int64), size, at
 
     def outcome(self) -> list[tuple[int, int, int]]:
@@ -93,25 +91,49 @@ def replacing_rows(rows: DataFrame, more: int, now: int) -> DataFrame:
     """
     ordered = cut_lineage(rows.repartitionByRange("target", "id").sortWithinPartitions("target", "id"))
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-        """The rows of one target after the other; those of one target in one range are held at once."""
+    def whole_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of a range in lots that hold all rows of their targets there."""
         held: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            new = np.flatnonzero((pdf["target"] != pdf["target"].shift()).to_numpy())
-            for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
-                part = pdf.iloc[a:b]
-                if held and held[0]["target"].iloc[0] != part["target"].iloc[0]:
-                    yield held[0]["target"].iloc[0], pd.concat(held)
-                    held = []
-                held.append(part)
+            target = pdf["target"].to_numpy()
+            if held and held[-1]["target"].iloc[-1] == target[0] == target[-1]:
+                held.append(pdf)
+                continue
+            new = int(np.flatnonzero(target == target[-1])[0])  # the last target may go on in the next batch
+            if new:
+                yield pd.concat([*held, pdf.iloc[:new]]) if held else pdf.iloc[:new]
+                held = [pdf.iloc[new:]]
+            else:
+                if held:
+                    yield pd.concat(held)
+                held = [pdf]
         if held:
-            yield held[0]["target"].iloc[0], pd.concat(held)
+            yield pd.concat(held)
 
     def growth(part: pd.DataFrame) -> Growth:
         return Growth(part["own_size"].to_numpy(), part["own_at"].to_numpy(), more, now)
 
+    def replacing(lot: pd.DataFrame, begin: tuple[str, int, int] | None) -> np.ndarray:
+        """Places in the lot of the rows that replace their target's record; `begin` is the state of the first target, if it is not the given one."""
+        target, own_size, own_at = (lot[c].to_numpy() for c in ("target", "own_size", "own_at"))
+        new = np.append(True, target[1:] != target[:-1])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        size, at = lot["size"].to_numpy()[start], lot["at"].to_numpy()[start]
+        if begin and begin[0] == target[0]:
+            size, at = size.copy(), at.copy()
+            size[0], at[0] = begin[1:]
+        hit = (own_size > size[group] + more) | (own_at > at[group])
+        end = np.append(start[1:], len(lot))
+        kept = hit & (end - start == 1)[group]
+        # Targets of several rows of which one replaces the record at first.
+        for g in np.unique(group[hit & ~kept]):
+            rows = slice(start[g], end[g])
+            one = Growth(own_size[rows], own_at[rows], more, now)
+            kept[start[g] + one.replaced(int(size[g]), int(at[g]))[0]] = True
+        return np.flatnonzero(kept)
+
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What the first and the last target of a range do to the record; targets between them have no other range.
 
@@ -119,21 +141,19 @@ def replacing_rows(rows: DataFrame, more: int, now: int) -> DataFrame:
         """
         own = TaskContext.get().partitionId()
         columns = ["target", "range", "kind", "place", "size", "at", "result"]
-        previous: tuple[str, pd.DataFrame] | None = None
-        first = True
-        for target, part in segments(batches):
+        first, part = True, None
+        for lot in whole_targets(batches):
             if first:
-                size, at = int(part["size"].iloc[0]), int(part["at"].iloc[0])
+                part = lot[lot["target"] == lot["target"].iloc[0]]
+                target, size, at = part["target"].iloc[0], int(part["size"].iloc[0]), int(part["at"].iloc[0])
                 rows = [(target, own, 0, 0, size, at, 0)]
                 rows += [(target, own, 1, i + 1, s, t, r) for i, (s, t, r) in enumerate(growth(part).outcome())]
                 yield pd.DataFrame(rows, columns=columns)
                 first = False
-            else:
-                previous = (target, part)
-        if previous:
-            target, part = previous
+            part = lot[lot["target"] == lot["target"].iloc[-1]]
+        if part is not None and part["target"].iloc[0] != target:
             _, size, at = growth(part).replaced(int(part["size"].iloc[0]), int(part["at"].iloc[0]))
-            yield pd.DataFrame([(target, own, 2, 0, size, at, 0)], columns=columns)
+            yield pd.DataFrame([(part["target"].iloc[0], own, 2, 0, size, at, 0)], columns=columns)
 
     def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(range, target, size, at): the state of a target at the beginning of each range that starts with it."""
@@ -162,13 +182,10 @@ def replacing_rows(rows: DataFrame, more: int, now: int) -> DataFrame:
 
     def applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin = shared.value.get(TaskContext.get().partitionId())
-        for target, part in segments(batches):
-            size, at = int(part["size"].iloc[0]), int(part["at"].iloc[0])
-            if begin and begin[0] == target:
-                size, at = begin[1], begin[2]
-            kept, _, _ = growth(part).replaced(size, at)
+        for lot in whole_targets(batches):
+            kept = replacing(lot, begin)
             if len(kept):
-                yield part[["id"]].iloc[kept]
+                yield lot[["id"]].iloc[kept]
 
     return ordered.mapInPandas(applied, "id long")
 
