@@ -170,11 +170,12 @@ def resolve_entity(
     names: list[str] = ["name"],
     emails: list[str] = ["email"],
     websites: list[str] = ["website"],
+    labelled: str | None = None,
 ) -> DataFrame:
     """Entity id of each record by source name, then e-mail, then host, then name hints; unresolved rows are left out.
 
-    Reads `bid_url_name, ISSUING_ORGANIZATION, EMAIL, URL, source_listing_url, TITLE, DESCRIPTION`. Each stage only sees
-    what the earlier ones left open.
+    Reads `bid_url_name, ISSUING_ORGANIZATION, EMAIL, URL, source_listing_url` and `TITLE, DESCRIPTION`, or in place of these two the
+    column `labelled` with the organizations found in them. Each stage only sees what the earlier ones left open.
     """
     index = entity_names(entities, names)
     by_email, by_host = entity_addresses(entities, emails, websites)
@@ -190,7 +191,7 @@ def resolve_entity(
             )
         ).alias("hosts"),
         organization_hints(
-            "bid_url_name", "ISSUING_ORGANIZATION", "source_listing_url", "URL", "TITLE", "DESCRIPTION"
+            "bid_url_name", "ISSUING_ORGANIZATION", "source_listing_url", "URL", "TITLE", "DESCRIPTION", labelled
         ).alias("hints"),
     ))
     by_source_name = best_name_matches(base.select(F.col("source_hint").alias("hint")), index, SOURCE_NAME_SCORE).select(

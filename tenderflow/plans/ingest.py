@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,8 @@ from tenderflow.functions.contact import resolve_contact_email
 from tenderflow.functions.description import clean_description
 from tenderflow.functions.identity import derive_identity_keys, fingerprint_keys, present, probe_key_names, stored_keys
 from tenderflow.functions.naics import normalize_naics
-from tenderflow.functions.names import category_hint, state_hint
-from tenderflow.functions.records import apply_ingest_defaults, classify_bid_like
+from tenderflow.functions.names import category_hint, state_hint, text_organizations
+from tenderflow.functions.records import apply_ingest_defaults, classify_text, judged_by_keys
 from tenderflow.functions.text import is_empty, parse_day, text, trimmed
 from tenderflow.functions.titles import corporate_prefix
 from tenderflow.operators.curate import Promotion, finish_visits, promote_pending
@@ -33,9 +35,16 @@ from tenderflow.session import cut_lineage
 from tenderflow.sources.files import parse_model_responses
 
 
-class Ingest(NamedTuple):
-    saved: DataFrame
-    outcomes: DataFrame
+class Ingest:
+    """The outcome of every extracted row, and the new pending rows, whose references are resolved when they are first asked for."""
+
+    def __init__(self, outcomes: DataFrame, make_saved: Callable[[], DataFrame]):
+        self.outcomes = outcomes
+        self._make_saved = make_saved
+
+    @cached_property
+    def saved(self) -> DataFrame:
+        return self._make_saved()
 
 
 def _given(c: str) -> Column:
@@ -49,31 +58,57 @@ def _in_listing(keys: Column, listing: str) -> Column:
     return F.transform(keys, lambda k: F.concat_ws("\u0001", F.lit("run"), F.col(listing), k))
 
 
-def normalize_extracts(
-    extracts: DataFrame,
-    sources: DataFrame,
-    master: DataFrame | None,
-    *,
-    rewrites: DataFrame | None = None,
-    pages: DataFrame | None = None,
-    project_key_from: str = "normalized",
+#: What tells an extracted row from all others, but for rows of equal responses.
+ROW = ["source_id", "listing_url", "pos", "row_hash"]
+
+
+def extracted_rows(responses: DataFrame, rewrites: DataFrame | None = None) -> DataFrame:
+    """Extracted rows with display title and clean description, under a key that a second reading finds again."""
+    hashed = responses.withColumn("row_hash", F.xxhash64("raw_json", "page_text", "pdf_text"))
+    extracts = parse_model_responses(hashed, ("row_hash",))
+    if rewrites is None:
+        titled = extracts.withColumn("display_title", F.col("TITLE"))
+    else:
+        titles = apply_title_rewrites(extracts.select(*ROW, "TITLE"), rewrites).dropDuplicates(ROW)
+        titled = with_row(extracts, titles, ["display_title"])
+    cleaned = clean_description("DESCRIPTION")
+    return titled.withColumn("display_title", corporate_prefix("display_title", "POSTING_ENTITY")).withColumn(
+        "DESCRIPTION", F.when(is_empty(cleaned) & ~is_empty("pdf_text"), F.col("pdf_text")).otherwise(cleaned)
+    )
+
+
+def with_row(rows: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
+    """Add columns of another frame with one row for each key of an extracted row."""
+    other = more.select(*[F.col(c).alias(f"_{c}") for c in ROW], *columns)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW]
+    return rows.join(other, same, "left").drop(*[f"_{c}" for c in ROW])
+
+
+def text_facts(extracts: DataFrame, now: dt.datetime) -> DataFrame:
+    """All that later steps need of the texts: industry code, verdict, e-mail, hints. No text goes on from here."""
+    return extracts.select(
+        *ROW, "TITLE", "display_title", "URL", "ENDDATE", "NAICSCODE", "SOLICITATIONNUMBER", "THIRD_PARTY_IDENTIFIER", "ISSUING_ORGANIZATION",
+        (~not_expired("ENDDATE", now.date())).alias("expired"),
+        normalize_naics("NAICSCODE", "DESCRIPTION", "display_title", "listing_url").alias("naics"),
+        classify_text("display_title", "DESCRIPTION", "listing_url", parse_day("ENDDATE")).alias("by_text"),
+        resolve_contact_email("CONTACT_EMAIL", "DESCRIPTION").alias("EMAIL"),
+        text_organizations("display_title", "DESCRIPTION").alias("labelled"),
+        state_hint("LOCATION_STATE", "display_title", "DESCRIPTION").alias("state_hint"),
+        category_hint("BID_CATEGORY", "display_title", "DESCRIPTION").alias("category_hint"),
+    )
+
+
+def normalize_facts(
+    facts: DataFrame, sources: DataFrame, master: DataFrame | None, *, pages: DataFrame | None = None, project_key_from: str = "normalized"
 ) -> DataFrame:
-    """Extracted rows with display title, saved URL, master source id, clean description, industry code, identity keys.
+    """Facts with saved URL, master source id and identity keys.
 
     `project_key_from='raw'` takes the project number from the field as given, not from the normalized code.
     """
-    titled = apply_title_rewrites(extracts, rewrites) if rewrites is not None else extracts.withColumn(
-        "display_title", F.col("TITLE")
-    )
-    prefixed = titled.withColumn("display_title", corporate_prefix("display_title", "POSTING_ENTITY"))
-    saved = resolve_saved_url(prefixed, pages)
+    saved = resolve_saved_url(facts, pages)
     placed = resolve_master_source_id(saved, "source_id", "listing_url", sources, master, out="BID_URL_ID")
-    cleaned = clean_description("DESCRIPTION")
-    described = placed.withColumn(
-        "DESCRIPTION", F.when(is_empty(cleaned) & ~is_empty("pdf_text"), F.col("pdf_text")).otherwise(cleaned)
-    ).withColumn("naics", normalize_naics("NAICSCODE", "DESCRIPTION", "display_title", "listing_url"))
     return derive_identity_keys(
-        described,
+        placed,
         url="saved_url",
         title="display_title",
         raw_title="TITLE",
@@ -103,27 +138,14 @@ def ingest_extracts(
     """Responses to new pending rows, with the outcome of every extracted row: saved, duplicate, rejected, expired.
 
     Rows are decided as if read in order of source, listing and place: a saved row blocks later ones by its run
-    keys within the listing, and by the table keys across listings. The normalized frame is checkpointed
-    once, since the duplicate check, the ordered pass and the save all read it.
+    keys within the listing, and by the table keys across listings. A first reading of the responses leaves narrow facts, on which all is
+    decided; a second one brings the texts to the saved rows, the only time that texts are shuffled.
     """
-    extracts = parse_model_responses(responses)
-    ordered = numbered_in_order(extracts, ["source_id", "listing_url", "pos"], "row_no")
-    dated = ordered.withColumn("expired", ~not_expired("ENDDATE", now.date()))
-    current = dated.where(~F.col("expired"))
-    normalized = cut_lineage(
-        normalize_extracts(
-            current, sources, master, rewrites=rewrites, pages=pages, project_key_from=project_key_from
-        )
-    )
-    end_day = parse_day("ENDDATE")
-    judged = normalized.withColumns(
-        {
-            "verdict": classify_bid_like(
-                "display_title", "DESCRIPTION", "listing_url", end_day, F.col("has_tier_a"), require_end=require_end
-            ),
-            "blank": text("TITLE").isin("", "0"),
-        }
-    )
+    extracts = extracted_rows(responses, rewrites)
+    dated = numbered_in_order(cut_lineage(text_facts(extracts, now)), ROW, "row_no")
+    normalized = normalize_facts(dated.where(~F.col("expired")), sources, master, pages=pages, project_key_from=project_key_from)
+    verdict = judged_by_keys(F.col("by_text"), parse_day("ENDDATE"), F.col("has_tier_a"), require_end=require_end)
+    judged = normalized.withColumns({"verdict": verdict, "blank": text("TITLE").isin("", "0")}).drop("by_text")
     matched = match_duplicates(judged.where(~F.col("blank")), "row_no", pending, live)
     checked = cut_lineage(judged.join(matched, "row_no", "left"))
 
@@ -154,27 +176,24 @@ def ingest_extracts(
         .when(~F.col("kept"), "in_run")
         .otherwise(F.col("verdict.reason"))
     )
-    decided = cut_lineage(
-        checked.join(firsts, "row_no", "left").withColumn("outcome", outcome).withColumn("why", reason)
-    )
+    decided = checked.join(firsts, "row_no", "left").withColumn("outcome", outcome).withColumn("why", reason)
     kept = decided.where(F.col("outcome") == "saved")
     outcomes = decided.select("row_no", "listing_url", "source_id", "pos", "outcome", "why").unionByName(
         dated.where("expired").select(
             "row_no", "listing_url", "source_id", "pos", F.lit("expired").alias("outcome"), F.lit("expired").alias("why")
         )
     )
-    saved = _as_pending(kept, sources, entities, states, categories, pending, now, assignee, directory)
-    return Ingest(saved, outcomes)
+    return Ingest(outcomes, lambda: _as_pending(kept, extracts, sources, entities, states, categories, pending, now, assignee, directory))
 
 
-def _as_pending(kept, sources, entities, states, categories, pending, now, assignee, directory) -> DataFrame:
-    """Saved extracts as pending rows, reference ids resolved and new ids given."""
+def _as_pending(kept, extracts, sources, entities, states, categories, pending, now, assignee, directory) -> DataFrame:
+    """Saved extracts as pending rows, reference ids resolved and new ids given; their texts join at the end."""
     names = sources.select(F.col("id").cast("bigint").alias("source_id"), F.col("name").alias("bid_url_name"))
     base = kept.join(names, "source_id", "left").select(
         "row_no",
+        *ROW,
         F.col("display_title").alias("TITLE"),
-        "DESCRIPTION",
-        resolve_contact_email("CONTACT_EMAIL", "DESCRIPTION").alias("EMAIL"),
+        "EMAIL",
         F.col("saved_url").alias("URL"),
         F.col("end_day").cast("timestamp_ntz").alias("ENDDATE"),
         F.col("naics").alias("NAICSCODE"),
@@ -184,19 +203,21 @@ def _as_pending(kept, sources, entities, states, categories, pending, now, assig
         F.col("listing_url").alias("source_listing_url"),
         "bid_url_name",
         "ISSUING_ORGANIZATION",
-        state_hint("LOCATION_STATE", "display_title", "DESCRIPTION").alias("state_hint"),
-        category_hint("BID_CATEGORY", "display_title", "DESCRIPTION").alias("category_hint"),
+        "labelled",
+        "state_hint",
+        "category_hint",
     )
     base = cut_lineage(base)
-    entity = resolve_entity(base, "row_no", entities).select("row_no", F.col("entity_id").alias("ENTITYID"))
+    entity = resolve_entity(base, "row_no", entities, labelled="labelled").select("row_no", F.col("entity_id").alias("ENTITYID"))
     state = resolve_state(base, "row_no", "state_hint", states).withColumnRenamed("state_id", "STATEID")
     category = resolve_category(base, "row_no", "category_hint", categories).withColumnRenamed("category_id", "CATEGORYID")
     filled = base.join(entity, "row_no", "left").join(state, "row_no", "left").join(category, "row_no", "left")
-    stamped = apply_ingest_defaults(filled, now=now, assignee=assignee, directory=directory)
-    numbered = next_ids(stamped, ["row_no"], pending, "id", "id").withColumn(
-        "created_at", F.lit(now).cast("timestamp_ntz")
-    ).withColumn("updated_at", F.col("created_at"))
-    return schemas.conform(numbered, schemas.schema("bids_temp"), fill=True)
+    numbered = next_ids(filled, ["row_no"], pending, "id", "id")
+    # Rows of equal responses have equal texts.
+    texts = extracts.select(*ROW, "DESCRIPTION").dropDuplicates(ROW)
+    stamped = apply_ingest_defaults(with_row(numbered, texts, ["DESCRIPTION"]), now=now, assignee=assignee, directory=directory)
+    dated = stamped.withColumn("created_at", F.lit(now).cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at"))
+    return schemas.conform(dated, schemas.schema("bids_temp"), fill=True)
 
 
 class ManualBatch(NamedTuple):
