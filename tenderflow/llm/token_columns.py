@@ -1,6 +1,6 @@
 """Token ids in Parquet list columns: dictionary encoded ids, delta encoded numbers, small row groups and pages with page indexes.
 
-The files hold doc_id, n_tokens and ids, in ascending order of doc_id over all files. The ids of a 50,000 word vocabulary take a
+The files hold doc_id, place, n_tokens and ids, in ascending order of doc_id over all files; place, a hash of the text, orders rows of one id. The ids of a 50,000 word vocabulary take a
 dictionary per row group and 16 bits each or less; doc_id and n_tokens, which a dictionary would not shrink, are delta
 encoded (format version 2). Row groups and pages are small and the page index is written, so a reader that wants some documents or only
 the lengths reads those pages alone.
@@ -28,6 +28,7 @@ LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
+    "parquet.enable.dictionary#place": "false",
     "parquet.enable.dictionary#n_tokens": "false",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
@@ -36,22 +37,26 @@ LAYOUT = {
 }
 
 
+COLUMNS = "doc_id long, place long, n_tokens long, ids array<int>"
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) in ascending order of doc_id, by range partitions."""
+    """(doc_id, place, n_tokens, ids) in ascending order of doc_id and place, by range partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(tokenizer, kind, end)
         for batch in batches:
-            keys = batch.column(0)
-            for part in in_batches(batch.column(1)):
+            keys, places = batch.column(0), batch.column(1)
+            for part in in_batches(batch.column(2)):
                 ids, sizes = own_encoder.encode(part.texts, end)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 own = pa.ListArray.from_arrays(pa.array(at), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([keys.slice(part.first, len(part.texts)), pa.array(sizes), own], ["doc_id", "n_tokens", "ids"])
+                of = [c.slice(part.first, len(part.texts)) for c in (keys, places)]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(sizes), own], ["doc_id", "place", "n_tokens", "ids"])
 
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ordered = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
+    ordered = df.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    return ordered.mapInArrow(run, COLUMNS)
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
@@ -59,20 +64,28 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path)
+    return spark.read.schema(COLUMNS).parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str, first: int, last: int, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
+    """Documents with ids from `first` to `last`, and of them some columns only.
+
+    The range reaches the scan, which leaves out the files, row groups and pages whose bounds do not meet it; lengths are read without any ids.
+    """
+    return read_tokens(spark, path).where(F.col("doc_id").between(first, last)).select(*columns)
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32): read from the ids in the files, not from the n_tokens beside them."""
+    """(doc_id, place, n_tokens, ids_crc32): read from the ids in the files, not from the n_tokens beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             ids, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "place", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "place", "ids").mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +95,5 @@ def op9_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_tokens(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
     # Stored, since dealing out by ranges reads its input twice, and the ids should be read once.
     back = stored(checksums(read_tokens(spark, path)), "checksums")
-    return running_total(back, ["doc_id", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    # In the order of the files.
+    return running_total(back, ["doc_id", "place"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")

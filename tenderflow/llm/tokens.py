@@ -52,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold a special token's name go to the tokenizer as a whole, which gives it the token's id.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         self.model = self.tokenizer.model
         self.before = "\u0120" if kind == "byte" else ""
@@ -161,7 +162,9 @@ class Encoder:
         keys: list[str] = []
         bounds = [0]
         for t in texts:
-            if t:
+            if t and any(name in t for name in self.special):
+                keys.append("\n" + t if self.kind == "byte" else t)
+            elif t:
                 keys += self.keys(t)
             keys.append(END_KEY)
             bounds.append(len(keys))

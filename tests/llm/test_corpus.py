@@ -181,7 +181,6 @@ def test_tokens_equal_the_tokenizer(texts):
     odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1500)] + texts
     for path, kind in ((BYTE, "byte"), (WORD, "word")):
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         want = [e.ids + [5] for e in tokenizer.encode_batch([t or "" for t in odd], add_special_tokens=False)]
         encoder = tokens.Encoder(path, kind)
         for _ in range(2):
@@ -191,7 +190,6 @@ def test_tokens_equal_the_tokenizer(texts):
 
 def ids_of(path, texts, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
