@@ -31,7 +31,16 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder as Parquet and read it back: the lineage ends in files, which a lost executor does not take along."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing will read any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -105,12 +114,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = stored(both.groupBy(F.col("u").alias("_u")).agg(F.least(F.min("v"), F.col("_u")).alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "large")
+        forget(least, edges)
         least = stored(large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m")), "least")
         tied = large.join(least, F.col("u") == F.col("_u"))
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("_u").alias("u"), F.col("m").alias("v"))
         )
         edges = stored(small.where("u <> v").distinct(), "small")
+        forget(large, least)
         now = mark(edges)
         if now == last:
             members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

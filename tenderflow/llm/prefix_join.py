@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderflow.llm.common import components, keep_ids, stored, table
+from tenderflow.llm.common import components, forget, keep_ids, stored, table
 from tenderflow.llm.shingles import BITS, apart, big_signature, least_prefix, shingles, signature
 from tenderflow.llm.tokens import in_batches
 
@@ -163,9 +163,10 @@ class Join:
         groups = stored(nodes.groupBy("g1", "g2").agg(F.min("node").alias("gid"), F.count("*").alias("members")), "groups")
         at = groups.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "gid", "members")
         self.nodes = stored(nodes.join(at, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))).drop("_g1", "_g2"), "nodes")
+        forget(nodes, groups)
         # Rows that are not the one their group is named by.
         firsts = self.nodes.where("node = gid").select("node")
-        others = stored(self.sets.where("n > 0").select("row").join(firsts, F.col("row") == F.col("node"), "left_anti"), "others")
+        others = self.others = stored(self.sets.where("n > 0").select("row").join(firsts, F.col("row") == F.col("node"), "left_anti"), "others")
         small = others.limit(2_000_001).count() <= 2_000_000
         lists = self.sets.where("n > 0").select("row", "n", "prefix").join(F.broadcast(others) if small else others, "row", "left_anti")
         self.postings = lists.select(F.col("row").alias("gid"), F.explode("prefix").alias("token"))
@@ -176,6 +177,7 @@ class Join:
         held = self.postings.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("groups")).where("groups > 1")
         held = stored(held.select(F.col("token").alias("_token"), "hub", "groups"), "held")
         self.rows = stored(self.postings.join(held, F.col("token") == F.col("_token")).drop("_token"), "lists")
+        forget(held, self.others)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among stored pairs of nodes (a, b), on whole sets."""
@@ -194,7 +196,9 @@ class Join:
         both = F.size(F.array_intersect("x", "y"))
         linked = F.lit(100) * both >= F.lit(self.percent) * (F.size("x") + F.size("y") - both)
         # Repeated rows give a node's set more than once.
-        return stored(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), "links")
+        links = stored(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), "links")
+        forget(pairs, ends, named, ids, members)
+        return links
 
     def sharpened(self, pairs: DataFrame) -> DataFrame:
         """Pairs without those of two long sets whose longer signatures rule a link out."""
@@ -210,7 +214,9 @@ class Join:
         long = self.sets.where(F.col("n") > LONG)
         a, b = (long.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("big").alias(f"big_{x}")) for x in "ab")
         both = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "n_a", "big_a", "n_b", "big_b")
-        return stored(both.mapInArrow(run, "a long, b long"), "sharpened")
+        sharp = stored(both.mapInArrow(run, "a long, b long"), "sharpened")
+        forget(pairs)
+        return sharp
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs of nodes whose sizes and signatures allow a link."""
@@ -225,7 +231,9 @@ class Join:
         # A group's members go with it; the hub's own members meet the hub in their group.
         across = groups.join(own, F.col("gid") == F.col("_gid")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         within = self.nodes.where("node <> gid").select(F.col("node").alias("a"), F.col("gid").alias("b"))
-        pairs = stored(self.filtered(stored(across.union(within).distinct(), "star")), "star")
+        every = stored(across.union(within).distinct(), "star")
+        pairs = stored(self.filtered(every), "star")
+        forget(groups, every)
         return self.verified(self.sharpened(pairs))
 
     def rest(self, links: DataFrame) -> DataFrame:
@@ -243,21 +251,25 @@ class Join:
         named = stored(own.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_gid", "node", "n", F.coalesce("component", "node").alias("comp")), "labelled")
         rows = lists.withColumn("kind", F.lit(0)).union(alone.withColumn("kind", F.lit(1))).join(named, F.col("gid") == F.col("_gid")).select("kind", "token", "node", "n", "comp")
         rows = stored(rows, "rows")
+        forget(lists, named, label, self.rows)
         sizes = rows.groupBy("kind", "token", "comp").agg(F.count("*").alias("k"))
         main = sizes.groupBy("kind", "token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         main = stored(main.select(F.col("kind").alias("_kind"), F.col("token").alias("_token"), F.col("top.comp").alias("main")), "main")
         open_rows = rows.join(main, (F.col("kind") == F.col("_kind")) & (F.col("token") == F.col("_token"))).drop("_kind", "_token")
-        signed = stored(open_rows.join(self.signs.withColumnRenamed("row", "_row"), F.col("node") == F.col("_row")).drop("_row"), "open")
+        opened = stored(open_rows, "open")
+        forget(rows, main)
         # A pair is made at the least of the open tokens that both have, not at each; very long prefixes make it at each.
-        held = signed.where("kind = 0").groupBy(F.col("node").alias("_node")).agg(F.collect_list("token").alias("held")).where(F.size("held") <= MOST_HELD)
-        signed = signed.join(held, F.col("node") == F.col("_node"), "left").withColumn("held", F.when(F.col("kind") == 0, F.col("held"))).drop("_node")
-        signed = stored(signed, "open")
+        held = opened.where("kind = 0").groupBy(F.col("node").alias("_node")).agg(F.collect_list("token").alias("held")).where(F.size("held") <= MOST_HELD)
+        signed = opened.join(held, F.col("node") == F.col("_node"), "left").withColumn("held", F.when(F.col("kind") == 0, F.col("held"))).drop("_node")
+        signed = stored(signed.join(self.signs.withColumnRenamed("row", "_row"), F.col("node") == F.col("_row")).drop("_row"), "open")
+        forget(opened)
         side = lambda p: signed.select(F.col("kind").alias(f"{p}k"), F.col("token").alias(f"{p}t"), F.col("node").alias(p), F.col("comp").alias(f"{p}c"), F.col("main").alias(f"{p}m"), F.col("sign").alias(f"{p}s"), F.col("held").alias(f"{p}h"))
         a, b = side("a").where("ac <> am"), side("b")
         once = (F.col("bc") == F.col("bm")) | (F.col("a") < F.col("b"))
         first = F.coalesce(F.array_min(F.array_intersect("ah", "bh")) == F.col("at"), F.lit(True))
         pairs = a.join(b, (F.col("at") == F.col("bt")) & (F.col("ak") == F.col("bk")) & (F.col("ac") != F.col("bc")) & once & may_link("as", "bs", self.percent) & first)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+        forget(signed)
         return self.verified(self.sharpened(pairs))
 
     def labelled(self) -> DataFrame:
@@ -265,7 +277,9 @@ class Join:
         self.group()
         self.lists()
         first = self.star()
-        links = stored(first.union(self.rest(first)), "links")
+        further = self.rest(first)
+        links = stored(first.union(further), "links")
+        forget(first, further)
         label = components(links).withColumnRenamed("node", "_node")
         named = self.nodes.select("f1", "f2", "node", "least").join(label, F.col("node") == F.col("_node"), "left")
         named = stored(named.select("f1", "f2", "least", F.coalesce("component", "node").alias("comp")), "named")
