@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from tenderflow.functions.identity import REASONS, derive_identity_keys, probe_keys, stored_keys, url_key
 from tenderflow.functions.text import is_email, text, trimmed, whole_id
+from tenderflow.operators.components import linked_groups
 from tenderflow.operators.skew import lookup_join
 from tenderflow.session import cut_lineage
 
-# A chain of n rows, each sharing a key with the next, needs n / 2 rounds; beyond this many the job fails and says so.
+# Rounds decide what short chains of shared keys leave open; longer ones are decided group by group.
+SHORT_ROUNDS = 8
+# Rows of a group that one task decides. What a larger group leaves open goes on in rounds, and fails beyond that many.
+GROUP_ROWS = 2_000_000
 MOST_ROUNDS = 500
 
 
@@ -123,6 +127,33 @@ def duplicate_outcome(tier: Column | str) -> Column:
     return F.when(t.isin("A", "B", "C"), "duplicate").otherwise("unique")
 
 
+def _decided_in_groups(open_rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Decisions (ord, kept) of the connected groups of open rows (ord, p, e) that are not too large, and the rows of the others."""
+    keys = cut_lineage(open_rows.select("ord", F.explode(F.array_union("p", "e")).alias("key")))
+    first = keys.groupBy("key").agg(F.min("ord").alias("first"))
+    links = lookup_join(keys, first, "key", ["first"]).select(F.col("ord").alias("a"), F.col("first").alias("b"))
+    roots = cut_lineage(linked_groups(links).withColumnRenamed("node", "ord"))
+    large = cut_lineage(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
+    grouped = open_rows.join(roots, "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        seen: set[str] = set()
+        kept = []
+        for probes, emits in zip(pdf["p"], pdf["e"], strict=True):
+            free = seen.isdisjoint(probes)
+            kept.append(free)
+            if free:
+                seen.update(emits)
+        return pd.DataFrame({"ord": pdf["ord"], "kept": kept})
+
+    # Very few groups are large, if any.
+    rest = grouped.join(large, "root", "left_semi").select("ord", "p", "e")
+    fields = f"ord {open_rows.schema['ord'].dataType.simpleString()}, kept boolean"
+    settled = grouped.join(large, "root", "left_anti").groupBy("root").applyInPandas(decide, fields)
+    return cut_lineage(settled), cut_lineage(rest)
+
+
 def ordered_greedy_dedup(
     rows: DataFrame,
     order: str,
@@ -130,12 +161,15 @@ def ordered_greedy_dedup(
     emit: str = "emit_keys",
     *,
     rounds: int = MOST_ROUNDS,
+    short: int = SHORT_ROUNDS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """In `order` (unique), keep a row iff no earlier kept row emitted one of its probe keys.
 
     Every round decides at least the earliest open row of each key group, for all groups at once: a row that no
-    earlier open row can block is kept, a row blocked by a kept one is dropped. Chains of n rows need n / 2 rounds; more than
-    `rounds` is an error. Returns (order, kept).
+    earlier open row can block is kept, a row blocked by a kept one is dropped. A chain of n rows would need n / 2 rounds, so after `short`
+    of them the groups of open rows that shared keys connect are decided in order, each in one task. Groups of more than `group_rows` rows
+    go on in rounds; more than `rounds` is an error. Returns (order, kept).
     """
     open_rows = cut_lineage(rows.select(F.col(order).alias("ord"), F.col(probe).alias("p"), F.col(emit).alias("e")))
     decided: DataFrame | None = None
@@ -154,7 +188,12 @@ def ordered_greedy_dedup(
 
     done = 0
     while not open_rows.isEmpty():
-        if done == rounds:
+        if done == short:
+            settled, open_rows = _decided_in_groups(open_rows, group_rows)
+            decided = settled if decided is None else decided.unionByName(settled)
+            done += 1
+            continue
+        if done >= rounds:
             raise RuntimeError(f"{open_rows.count()} rows are undecided after {rounds} rounds: a longer chain of shared keys")
         done += 1
         step = split(open_rows, blocked(open_rows, first_by_key(open_rows, "first")))
