@@ -1,8 +1,13 @@
 """Quality rules with adaptive thresholds: quantile sketches per language and source in place of fixed cutoffs.
 
-Every measure is a DataFrame expression. The sketches (KLL) merge: a group's sketch is made from partial ones, a language's
-from its groups and the corpus's from its languages. A group with few documents takes the sketch of its language, a
-language with few takes that of the corpus. A document fails where a measure lies above the fence of its group.
+Measures vary from document to document (none is zero for most): the logarithms of the mean word length, of distinct words
+against the root of all words, of signs per character and of words that repeat the one before. The sketches (KLL) merge: a
+group's sketch is made from partial ones, a language's from its groups and the corpus's from its languages. A group with few
+documents takes the sketch of its language, a language with few takes that of the corpus.
+
+A text counts once in its group, however many copies there are. A fence lies `reach` widths outside a quartile of the group; the
+width is the distance of that quartile from the median. Near copies can make a group look narrow, so the width is at least the median of
+the widths above zero of its language's groups, or, where there are none, of all groups. A measure that has no width anywhere sets no fence. So thresholds follow from the sketches alone.
 
 Nulls: a null text counts as an empty one (no words, so it fails); a null language or source is a group of its own. Equal rows
 get equal verdicts. Other columns are never looked at and may have any name. An empty table gives an empty result.
@@ -19,20 +24,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 NO_SYMBOL = r"[^#*$%&|<>]+"
 WINDOW = 8
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter"]
-
-#: Measure: the least distance of the fence above the upper quartile, for groups that hardly vary.
-SPREAD = {"symbol_ratio": 0.04, "repeat_ratio": 0.3, "dup_line_ratio": 0.4, "stutter_ratio": 0.2}
-#: Fence: upper quartile plus so many times its distance from the median.
-REACH = 3.0
-#: A group of fewer documents takes the sketch of the next larger group.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutter", "n_distinct"]
+
+#: Measure: the sides on which a document can fail.
+SIDES = {"word_length": ("low", "high"), "variety": ("low",), "symbols": ("high",), "stutter": ("high",)}
+#: Measures of a count: a document where it is zero cannot have too many.
+COUNTED = {"symbols": "n_symbols", "stutter": "n_stutter"}
+#: Quartile of a side.
+QUARTILE = {"low": 0.25, "high": 0.75}
+#: Fence: so many widths outside the quartile. Five standard deviations from the median, were a measure normal.
+REACH = 6.5
+#: A group of fewer texts takes the sketch of the next larger group.
 LEAST_ROWS = 100
 #: Rejected keys that are sent to every executor, at most; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, lang, source, text_key and the counts. Windows are compared by a 64-bit hash of their words."""
+    """One row per document: doc_id, lang, source, text_key and the counts. Windows and distinct words are told by 64-bit hashes."""
     df = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.xxhash64(text).alias("text_key"),
         F.coalesce(F.col(text), F.lit("")).alias("_t"),
@@ -45,7 +54,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     df = df.withColumns({
         "n_words": F.size("_w"),
         "word_chars": F.length(F.array_join("_w", "")),
-        "n_lines": F.size("_lines"),
+        "n_distinct": F.size(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_stutter": F.size(F.filter("_w", lambda w, i: w == F.get(F.col("_w"), i - 1))),
         "_h": F.when(
@@ -65,20 +74,24 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return df.select("doc_id", "lang", "source", "text_key", *[F.col(c).cast("bigint").alias(c) for c in COUNTS])
 
 
-def with_ratios(df: DataFrame) -> DataFrame:
-    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+def with_measures(df: DataFrame) -> DataFrame:
+    """Add the measures; null where a document has no words."""
+    words = F.when(F.col("n_words") > 0, F.col("n_words"))
+    half = F.lit(0.5)  # so that documents without a sign or a repeated word still differ by their length
     return df.withColumns({
-        "symbol_ratio": share("n_symbols", "word_chars"), "repeat_ratio": share("n_repeat_words", "n_words"),
-        "dup_line_ratio": share("n_dup_lines", "n_lines"), "stutter_ratio": share("n_stutter", "n_words"),
+        "word_length": F.log(F.col("word_chars") / words),
+        "variety": F.log(F.col("n_distinct") / F.sqrt(words)),
+        "symbols": F.when(words.isNotNull(), F.log((F.col("n_symbols") + half) / (F.col("word_chars") + 1))),
+        "stutter": F.log((F.col("n_stutter") + half) / (words + 1)),
     })
 
 
-def fences(rated: DataFrame, least_rows: int = LEAST_ROWS, reach: float = REACH, spread: dict[str, float] = SPREAD) -> DataFrame:
-    """One row per (lang, source): the fence of each measure, from merged sketches of the documents that have words."""
-    names = list(spread)
+def sketches(rated: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """One row per (lang, source): per measure the sketch that rules there: the group's, its language's or the corpus's."""
+    names = list(SIDES)
+    texts = rated.where("n_words > 0").groupBy("lang", "source", "text_key").agg(*[F.min(c).alias(c) for c in names])
     own = stored(
-        rated.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in names]),
-        "sketches",
+        texts.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in names]), "sketches",
     )
 
     def merged(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -92,22 +105,58 @@ def fences(rated: DataFrame, least_rows: int = LEAST_ROWS, reach: float = REACH,
     by_lang = merged(own, ["lang"], "_l")
     by_all = merged(by_lang.withColumn("_all", F.lit(1)), ["_all"], "_a")
     df = with_lookup(with_lookup(own, by_lang, ["lang"]).withColumn("_all", F.lit(1)), by_all, ["_all"])
-    out = []
-    for c in names:
-        sketch = F.when(F.col("n") >= least_rows, F.col(c)).when(F.col("n_l") >= least_rows, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
-        mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.75))
-        out.append((high + F.greatest(F.lit(reach) * (high - mid), F.lit(spread[c]))).alias(f"max_{c}"))
-    return stored(df.select("lang", "source", *out), "fences")
+    rules = lambda c: F.when(F.col("n") >= least_rows, F.col(c)).when(F.col("n_l") >= least_rows, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
+    return df.select("lang", "source", *[rules(c).alias(c) for c in names])
+
+
+def fences(rated: DataFrame, least_rows: int = LEAST_ROWS, reach: float = REACH) -> DataFrame:
+    """One row per (lang, source): low_ and high_ fences of the measures, null where a measure sets none."""
+    sides = [(c, side) for c, both in SIDES.items() for side in both]
+    at = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
+    groups = sketches(rated, least_rows)
+    df = stored(
+        groups.select(
+            "lang", "source", *[at(c, QUARTILE[side]).alias(f"{side}_{c}") for c, side in sides],
+            *[F.abs(at(c, QUARTILE[side]) - at(c, 0.5)).alias(f"width_{side}_{c}") for c, side in sides],
+        ),
+        "widths",
+    )
+
+    def usual_widths(keys: list[str], tag: str) -> DataFrame:
+        wide = lambda c: F.when(F.col(c) > 0, F.col(c))
+        usual = [F.percentile_approx(wide(f"width_{side}_{c}"), 0.5).alias(f"{tag}_{side}_{c}") for c, side in sides]
+        return stored(df.withColumn("_all", F.lit(1)).groupBy(*keys).agg(*usual), "widths")
+
+    wide = with_lookup(df, usual_widths(["lang"], "lang"), ["lang"]).withColumn("_all", F.lit(1))
+    wide = with_lookup(wide, usual_widths(["_all"], "all"), ["_all"])
+
+    def fence(c: str, side: str) -> Column:
+        own, lang, corpus = (F.col(f"{tag}_{side}_{c}") for tag in ("width", "lang", "all"))
+        width = F.greatest(own, F.coalesce(lang, corpus))
+        out = F.lit(reach if side == "high" else -reach) * F.when(width > 0, width)
+        return (F.col(f"{side}_{c}") + out).alias(f"{side}_{c}")
+
+    return stored(wide.select("lang", "source", *[fence(c, side) for c, side in sides]), "fences")
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **tuning) -> DataFrame:
-    """Measures and verdict per document. base_failed: under 20 words, or over 30 % of the words in windows that repeat."""
-    rated = with_ratios(stored(measures(docs, doc_id, text, lang, source), "measures"))
-    spread = tuning.get("spread", SPREAD)
+    """Measures and verdict per document. base_failed: under 20 words, or over 30 % of the words in windows that repeat.
+
+    `broken` lists the fences that a document lies outside of, as high_symbols. `tuning`: least_rows and reach of `fences`.
+    """
+    rated = with_measures(stored(measures(docs, doc_id, text, lang, source), "measures"))
     df = with_lookup(rated, fences(rated, **tuning), ["lang", "source"])
     base = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    broken = F.filter(F.array(*[F.when(F.col(c) > F.col(f"max_{c}"), F.lit(c)) for c in spread]), lambda x: x.isNotNull())
-    return df.withColumns({"base_failed": base, "broken": broken}).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
+    def fails(c: str, side: str) -> Column:
+        if side == "low":
+            return F.col(c) < F.col(f"low_{c}")
+        over = F.col(c) > F.col(f"high_{c}")
+        return over & (F.col(COUNTED[c]) > 0) if c in COUNTED else over
+
+    outside = [F.when(fails(c, side), F.lit(f"{side}_{c}")) for c, both in SIDES.items() for side in both]
+    df = df.withColumns({"base_failed": base, "broken": F.filter(F.array(*outside), lambda x: x.isNotNull())})
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **tuning) -> DataFrame:

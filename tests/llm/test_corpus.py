@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenderflow.llm import (
@@ -66,7 +67,23 @@ def quality_of(t):
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     covered = {i + j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(8)}
     lines = [x for x in t.split("\n") if split(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(lines), sum(a == b for a, b in zip(w, w[1:], strict=False))
+    stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), stutter, len(set(w))
+
+
+def measures_of(t):
+    n, chars, symbols, _, _, stutter, distinct = quality_of(t)
+    if not n:
+        return None
+    return {
+        "word_length": np.log(chars / n), "variety": np.log(distinct / np.sqrt(n)), "symbols": np.log((symbols + 0.5) / (chars + 1)),
+        "stutter": np.log((stutter + 0.5) / (n + 1)),
+    }
+
+
+def quartiles(rows, measure):
+    v = sorted(x[measure] for x in rows)
+    return [v[max(0, int(np.ceil(q * len(v))) - 1)] for q in (0.25, 0.5, 0.75)]
 
 
 def test_quality_measures(docs, texts):
@@ -74,25 +91,45 @@ def test_quality_measures(docs, texts):
     assert got == {i: quality_of(t) for i, t in enumerate(texts)}
 
 
-def test_quality_verdicts(spark, docs, texts, empty):
-    rows = adaptive_quality.verdicts(docs, least_rows=1000).collect()
-    ratios = {}
-    for i, t in enumerate(texts):
-        n, chars, symbols, dup, repeat, lines, stutter = quality_of(t)
-        ratios[i] = (symbols / chars if chars else 0, repeat / n if n else 0, dup / lines if lines else 0, stutter / n if n else 0)
-    some = [v for i, v in ratios.items() if quality_of(texts[i])[0]]
-    fence = []
-    for j, spread in enumerate(adaptive_quality.SPREAD.values()):
-        v = sorted(x[j] for x in some)
-        mid, high = (v[max(0, int(np.ceil(q * len(v))) - 1)] for q in (0.5, 0.75))
-        fence.append(high + max(adaptive_quality.REACH * (high - mid), spread))
+@pytest.mark.parametrize("least_rows", [1, 1000])
+def test_quality_verdicts(spark, docs, texts, empty, least_rows):
+    """Against a loop: fences of the own group, and of the whole corpus where every group is small."""
+    where = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.collect()}
+    found = {i: measures_of(t) for i, t in enumerate(texts)}
+    groups = collections.defaultdict(list)
+    for g, t in sorted({(where[i], t) for i, t in enumerate(texts) if measures_of(t)}, key=str):
+        groups[g].append(measures_of(t))
+    everyone = [x for rows in groups.values() for x in rows]
+    fence = {}
+    for c, sides in adaptive_quality.SIDES.items():
+        ruling = {g: quartiles(rows if least_rows == 1 else everyone, c) for g, rows in groups.items()}
+        for side in sides:
+            width = {g: abs(q[2 if side == "high" else 0] - q[1]) for g, q in ruling.items()}
+
+            def usual(of):
+                v = sorted(width[g] for g in of if width[g] > 0)
+                return v[(len(v) + 1) // 2 - 1] if v else None
+
+            for g, q in ruling.items():
+                w = max(width[g], usual([o for o in groups if o[0] == g[0]]) or usual(list(groups)) or 0)
+                if w:
+                    fence[g, c, side] = q[2] + adaptive_quality.REACH * w if side == "high" else q[0] - adaptive_quality.REACH * w
+    rows = adaptive_quality.verdicts(docs, least_rows=least_rows).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        n, *_, repeat, _, _ = quality_of(texts[r["doc_id"]])
+        i = r["doc_id"]
+        n, *_, repeat, _, _ = quality_of(texts[i])
         assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n)
-        bad = [c for c, x, f in zip(adaptive_quality.SPREAD, ratios[r["doc_id"]], fence, strict=True) if x > f]
+        bad = []
+        for c, sides in adaptive_quality.SIDES.items():
+            for side in sides:
+                limit = fence.get((where[i], c, side))
+                count = quality_of(texts[i])[2 if c == "symbols" else 5] if c in ("symbols", "stutter") else 1
+                if count and found[i] and limit is not None and (found[i][c] - limit) * (1 if side == "high" else -1) > 1e-9:
+                    bad.append(f"{side}_{c}")
         assert (r["broken"], r["kept"]) == (bad, not r["base_failed"] and not bad)
     good = {r["doc_id"] for r in rows if r["kept"]}
-    kept = adaptive_quality.keep_good(docs, least_rows=1000)
+    kept = adaptive_quality.keep_good(docs, least_rows=least_rows)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == good
     assert adaptive_quality.verdicts(empty).count() == adaptive_quality.keep_good(empty).count() == 0
 
@@ -110,6 +147,49 @@ def test_quality_thresholds_follow_their_group(spark):
     assert {r["doc_id"] for r in adaptive_quality.verdicts(df).where("NOT kept").collect()} == {1000}
 
 
+def rated_of(df):
+    return adaptive_quality.with_measures(adaptive_quality.measures(df))
+
+
+def test_quality_fences_differ_and_scale(spark):
+    """On the given documents most groups have fences of their own; a group whose values are scaled gets scaled fences, others keep theirs."""
+    rated = rated_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = adaptive_quality.fences(rated, least_rows=1).collect()
+    names = [f"{side}_{c}" for c, sides in adaptive_quality.SIDES.items() for side in sides]
+    full = [r for r in got if all(r[n] is not None for n in names)]
+    assert len(full) > 20 and all(len({r[n] for r in full}) > len(full) / 2 for n in names)
+    hot = rated.groupBy("lang", "source").count().where("lang IS NOT NULL AND source IS NOT NULL").orderBy("count").collect()[-1]
+    chosen = (rated.lang == hot["lang"]) & (rated.source == hot["source"])
+    scaled = rated.withColumns({c: rated[c] * F.when(chosen, 3.0).otherwise(1.0) for c in adaptive_quality.SIDES})
+    after = {(r["lang"], r["source"]): r for r in adaptive_quality.fences(scaled, least_rows=1).collect()}
+    for r in got:
+        new = after[r["lang"], r["source"]]
+        if (r["lang"], r["source"]) == (hot["lang"], hot["source"]):
+            assert all(abs(new[n] - r[n]) > 0.5 * abs(r[n]) for n in names)
+        elif r["lang"] != hot["lang"]:
+            assert all(new[n] == r[n] for n in names if r[n] is not None)
+
+
+def test_quality_copies_do_not_narrow_a_group(spark):
+    """Copies of one text count once; a group of near copies takes the width of the other groups; equal texts alone set no fence."""
+    rng = random.Random(2)
+
+    def prose():
+        return [f"{'x' * rng.randrange(1, 9)}{rng.randrange(10, 100)}" for _ in range(80)]
+
+    rows = [(i, " ".join(prose()), "en", "mixed") for i in range(300)]
+    rows += [(1000 + i, rows[0][1], "en", "copies") for i in range(400)]
+    rows += [(2000 + i, " ".join(prose()), "en", "copies") for i in range(100)]
+    near = prose()
+    rows += [(3000 + i, " ".join([*near[:40], f"{'x' * (i % 9)}{i}", *near[41:]]), "en", "near") for i in range(300)]
+    schema = "doc_id long, text string, lang string, source string"
+    assert adaptive_quality.verdicts(spark.createDataFrame(rows, schema)).where("NOT kept").count() == 0
+    same = spark.createDataFrame([(i, rows[0][1], None, None) for i in range(200)], schema)
+    assert adaptive_quality.verdicts(same).where("NOT kept").count() == 0
+    one = adaptive_quality.fences(rated_of(same)).first()
+    assert all(v is None for v in one)
+
+
 def spans_of(t):
     out = []
     t = t or ""
