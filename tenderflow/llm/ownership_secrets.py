@@ -13,7 +13,7 @@ count once towards repositories and owners. Other columns are never looked at. A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderflow.llm.common import stored, table
@@ -29,61 +29,69 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|(.)
 #: Kind: pattern, group that holds the value, least characters of the value.
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16), "opaque": (OPAQUE, 0, 24)}
 ORDER = list(KINDS)
-SPAN = "array<struct<kind:int,start:int,end:int,value_hash:string,likely:boolean>>"
 
 
-def matches(df: DataFrame, text: str, kind: str) -> DataFrame:
-    """Add `_kind`: the kept leftmost matches with their places, from the pieces between them. Null where nothing matches."""
+def matches(text: str, kind: str) -> Column:
+    """The leftmost matches of a kind as an array; null where nothing matches. gap: characters since the match before.
+
+    Values leave the text as hashes only. good: long enough, and for opaque of mixed characters.
+    """
     pattern, group, least = KINDS[kind]
-    hit = F.col(text).rlike(pattern)
-    df = df.withColumns({
-        "_gaps": F.when(hit, F.split(text, pattern, -1)),
-        "_hits": F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
-        "_values": F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))),
-    })
-    parts = F.transform("_hits", lambda h, i: F.struct(
-        F.length(F.get(F.col("_gaps"), i)).alias("gap"), F.length(h).alias("len"), F.get(F.col("_values"), i).alias("value")
-    ))
-
-    def place(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + x["len"]
+    found = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
+    )
+
+    def one(x: Column) -> Column:
         value = x["value"]
-        row = F.struct(
-            F.lit(ORDER.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), F.sha2(value, 256).alias("value_hash"),
-            (~value.rlike(PLACEHOLDER)).alias("likely"),
-        )
         good = F.length(value) >= least
         if kind == "opaque":
             good = good & value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
-        return F.struct(end.alias("at"), F.when(good, F.array_append(done["rows"], row)).otherwise(done["rows"]).alias("rows"))
+        return F.struct(
+            F.lit(ORDER.index(kind)).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), good.alias("good"),
+            F.sha2(value, 256).alias("value_hash"), (~value.rlike(PLACEHOLDER)).alias("likely"),
+        )
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("rows"))
-    return df.withColumn(f"_{kind}", F.aggregate(parts, zero, place)["rows"]).drop("_gaps", "_hits", "_values")
+    # The piece after the last match has no hit.
+    return F.when(F.col(text).rlike(pattern), F.transform(F.filter(found, lambda x: x["hit"].isNotNull()), one))
 
 
-def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """One narrow row per row of `docs`: row, doc_id, text_key, repo, owner, spans (all kinds, opaque only outside the base)."""
+def candidates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans), both stored. rows: row, doc_id, text_key, repo, owner, some (holds a match). spans: row, repo, owner, kind, start,
+    end, value_hash, likely, a span a row, opaque only outside the base.
+
+    Places are running sums and the overlap with the base is a running greatest end and least start, as windows over the spans of a
+    row of `docs`, so the work is that of sorting the spans, however many a text has.
+    """
     repo = F.col("source") if repo is None else repo
     owner = F.col("source") if owner is None else owner
     df = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"),
         repo.cast("string").alias("repo"), owner.cast("string").alias("owner"),
     )
-    for kind in ORDER:
-        df = matches(df, "_t", kind)
-    none = F.array().cast(SPAN)
-    df = df.withColumn("_base", F.sort_array(F.concat(*[F.coalesce(F.col(f"_{k}"), none) for k in ORDER[:3]]), asc=True))
-    free = F.filter(
-        F.coalesce(F.col("_opaque"), none),
-        lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return df.select("row", "doc_id", F.xxhash64("_t").alias("text_key"), "repo", "owner", F.concat("_base", free).alias("spans"))
-
-
-def judged(found: DataFrame, most_owners: int = 1, most_repos: int = 3) -> DataFrame:
-    """Spans of stored candidates, one a row, with n_repos and n_owners of their value and `live`."""
-    flat = found.select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
+    none = F.array().cast("array<struct<kind:int,gap:int,len:int,good:boolean,value_hash:string,likely:boolean>>")
+    hits = F.concat(*[F.coalesce(matches("_t", k), none) for k in ORDER])
+    held = stored(df.select("row", "doc_id", F.xxhash64("_t").alias("text_key"), "repo", "owner", hits.alias("hits")), "candidates")
+    rows = held.select("row", "doc_id", "text_key", "repo", "owner", (F.size("hits") > 0).alias("some"))
+
+    # Hits of a kind follow each other in order of place, and so do their positions in the array.
+    flat = held.select("row", "repo", "owner", F.posexplode("hits").alias("pos", "h")).select("row", "repo", "owner", "pos", "h.*")
+    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("row", "kind").orderBy("pos")).cast("int")
+    flat = flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
+    base = F.col("kind") < 3
+    flat = flat.where("good")
+    # A base span that begins at or before this one and ends after its start, or begins after its start and before its end.
+    before, after = (Window.partitionBy("row").orderBy(o) for o in (F.asc("start"), F.desc("start")))
+    flat = flat.withColumn("_reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(after))
+    over = F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False))
+    spans = flat.where(base | ~over).select("row", "repo", "owner", "kind", "start", "end", "value_hash", "likely")
+    return rows, stored(spans, "spans")
+
+
+def judged(flat: DataFrame, most_owners: int = 1, most_repos: int = 3) -> DataFrame:
+    """Stored spans, one a row, with n_repos and n_owners of their value and `live`."""
     # Distinct pairs first: a value that a third of all rows hold is one row per repository before anything is dealt by it.
     held = flat.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("_one")).groupBy("value_hash", "owner").agg(F.count("*").alias("r"))
     counts = stored(
@@ -104,12 +112,11 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None, **limits) -> DataFrame:
     """Per row of `docs`: doc_id, text_key and `spans` with kind, start, end, value_hash, n_repos, n_owners, live; opaque ones only where live."""
-    found = stored(candidates(docs, doc_id, text, repo, owner), "candidates")
-    rows = judged(found, **limits).where((F.col("kind") < 3) | F.col("live"))
+    own, spans = candidates(docs, doc_id, text, repo, owner)
+    rows = judged(spans, **limits).where((F.col("kind") < 3) | F.col("live"))
     told = rows.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("kind", "start", "end", "value_hash", "n_repos", "n_owners", "live")).alias("told"))
-    own = found.select("row", "doc_id", "text_key", (F.size("spans") > 0).alias("_some"))
-    with_some = own.where("_some").join(told, F.col("row") == F.col("_row"), "left").select("doc_id", "text_key", F.col("told").alias("spans"))
-    empty = own.where("NOT _some").select("doc_id", "text_key", F.lit(None).cast(told.schema["told"].dataType).alias("spans"))
+    with_some = own.where("some").join(told, F.col("row") == F.col("_row"), "left").select("doc_id", "text_key", F.col("told").alias("spans"))
+    empty = own.where("NOT some").select("doc_id", "text_key", F.lit(None).cast(told.schema["told"].dataType).alias("spans"))
     return with_some.unionByName(empty).withColumn("spans", F.coalesce(F.col("spans"), F.array().cast(told.schema["told"].dataType)))
 
 
