@@ -8,7 +8,7 @@ A mean above `PART` is a sum of equal parts with a number each, which keeps the
 
 Nulls: a null source is a source of its own, a null text has size 0. Rows that are equal in id and text get equal counts. A source
 without a weight, or with a weight of 0, gets no copies; the weights are scaled to sum 1 over the sources that occur. The other
-columns pass through; names that clash with the added ones (copy, rate, mix_key) make the clashing added ones start with "mix_".
+columns pass through under any names; an added column (copy, rate, mix_key) whose name is taken, in whatever case, starts with "mix_".
 An empty table gives an empty result.
 """
 
@@ -69,24 +69,37 @@ def rates(sizes: DataFrame, weights: DataFrame, epochs: float = 1.0) -> DataFram
     return stored(df.select("source", F.when(F.col("size") > 0, F.col("_w") * F.lit(scale) / F.col("size")).otherwise(0.0).alias("rate")), "rates")
 
 
+def free_names(names: list[str], taken: list[str], prefix: str = "mix_") -> dict[str, str]:
+    """Each name, or with as many prefixes as it takes to clash with none of `taken`; case does not tell names apart."""
+    used, out = {t.lower() for t in taken}, {}
+    for name in names:
+        free = name
+        while free.lower() in used:
+            free = prefix + free
+        out[name] = free
+        used.add(free.lower())
+    return out
+
+
 def replicate(docs: DataFrame, rate: DataFrame, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """`docs` with copy (from 1), rate and mix_key: one row per copy, in the order of mix_key within randomly dealt partitions."""
-    clash = {"copy", "rate", "mix_key"} & set(docs.columns)
-    name = {c: f"mix_{c}" if c in clash else c for c in ("copy", "rate", "mix_key")}
+    name = free_names(["copy", "rate", "mix_key"], docs.columns)
+    # All given columns travel in one struct, so that no name of theirs meets one used here.
+    df = docs.select(F.struct(*docs.columns).alias("given"), F.col(source).alias("source"), F.xxhash64(F.lit(seed), doc_id, text).alias("row"))
     tables = stored(
-        rate.withColumn("_parts", F.greatest(F.ceil(F.col("rate") / F.lit(PART)), F.lit(1)).cast("int")).select(
-            F.col("source").alias("_source"), F.struct(F.col("rate").alias("rate"), F.col("_parts").alias("parts"), distribution(F.col("rate") / F.col("_parts")).alias("cdf")).alias("_poisson")
+        rate.withColumn("parts", F.greatest(F.ceil(F.col("rate") / F.lit(PART)), F.lit(1)).cast("int")).select(
+            "source", F.struct("rate", "parts", distribution(F.col("rate") / F.col("parts")).alias("cdf")).alias("poisson")
         ),
         "poisson",
     )
-    df = with_lookup(docs.withColumn("_source", F.col(source)), tables, ["_source"]).withColumn("_row", F.xxhash64(F.lit(seed), doc_id, text))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_poisson.parts")), lambda j: F.size(F.filter(F.col("_poisson.cdf"), lambda c: c <= uniform(F.col("_row"), j))))
-    df = df.withColumn("_count", F.aggregate(drawn, F.lit(0), lambda a, x: a + x)).where("_count > 0")
-    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    df = df.withColumn("_key", F.xxhash64(F.lit(seed + 1), "_row", "_copy"))
-    dealt = df.repartition("_key").sortWithinPartitions("_key")
+    df = with_lookup(df, tables, ["source"])
+    drawn = F.transform(F.sequence(F.lit(1), F.col("poisson.parts")), lambda j: F.size(F.filter(F.col("poisson.cdf"), lambda c: c <= uniform(F.col("row"), j))))
+    df = df.withColumn("count", F.aggregate(drawn, F.lit(0), lambda a, x: a + x)).where("count > 0")
+    df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    df = df.withColumn("key", F.xxhash64(F.lit(seed + 1), "row", "copy"))
+    dealt = df.repartition("key").sortWithinPartitions("key")
     return dealt.select(
-        *docs.columns, F.col("_copy").alias(name["copy"]), F.col("_poisson.rate").alias(name["rate"]), F.col("_key").alias(name["mix_key"])
+        "given.*", F.col("copy").alias(name["copy"]), F.col("poisson.rate").alias(name["rate"]), F.col("key").alias(name["mix_key"])
     )
 
 

@@ -230,6 +230,37 @@ def test_secrets(spark, empty):
     assert ownership_secrets.scan(empty).count() == ownership_secrets.redact_live(empty).count() == 0
 
 
+def test_poisson_names_that_clash(spark):
+    """Columns named as those used inside come back unchanged; added ones differ from all others, whatever the case."""
+    names = ["doc_id", "text", "source", "Copy", "RATE", "mix_rate", "row", "count", "key", "poisson", "given", "_row", "_source", "_k_source"]
+    rows = [(i, f"t{i}", "a" if i % 2 else None, *[f"{n}{i}" for n in names[3:]]) for i in range(200)]
+    df = spark.createDataFrame(rows, names)
+    got = poisson_mixing.mix(df, epochs=2.0)
+    assert got.columns == [*names, "mix_copy", "mix_mix_rate", "mix_key"]
+    assert got.count() > 200 and all(tuple(r[: len(names)]) == rows[r["doc_id"]] for r in got.collect())
+
+
+def test_secrets_of_long_texts(spark):
+    """Tens of thousands of hits in one text; opaque tokens that touch, hold and follow base spans."""
+    rng = random.Random(5)
+    dump = "\n".join(f"{rng.getrandbits(96):024x} Zz9{i:021d} token={i:014d}Ab {rng.getrandbits(40):010x}" for i in range(15000))
+    mixed = "Ab9" * 9 + "deadbeefdeadbeef00 " + "0123456789abcdef" + "Q" * 3 + "Zz9" * 9 + " " + "Yy8" * 8
+    texts = [dump, mixed]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = {r["doc_id"]: sorted((x["start"], x["kind"], x["end"]) for x in r["spans"]) for r in ownership_secrets.scan(df, most_repos=10**6).collect()}
+    for i, t in enumerate(texts):
+        want = [(a, k, e) for a, k, e, _ in spans_of(t)]
+        taken = np.zeros(len(t) + 1, bool)
+        for a, _, e in want:
+            taken[a:e] = True
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", t):
+            v = m[0]
+            plain = not re.search(ownership_secrets.PLACEHOLDER, v)
+            if plain and re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and not taken[m.start() : m.end()].any():
+                want.append((m.start(), 3, m.end()))
+        assert got[i] == sorted(want)
+
+
 def test_poisson_counts(spark, docs, empty):
     df = spark.range(20000).selectExpr("id doc_id", "'t' text", "if(id % 4 = 0, 'small', if(id % 4 = 1, null, 'big')) source", "1 copy")
     weights = spark.createDataFrame([("small", 2.0), (None, 1.0), ("big", 1.0)], "source string, weight double")
