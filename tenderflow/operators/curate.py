@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderflow import schemas
 from tenderflow.functions import signals as S
-from tenderflow.functions.identity import derive_identity_keys, present, probe_key_names, probe_keys, stored_keys
+from tenderflow.functions.identity import derive_identity_keys, present, probe_keys, stored_keys
 from tenderflow.functions.text import is_email, parse_moment, text, trimmed
 from tenderflow.operators.linkage import match_duplicates, ordered_greedy_dedup
 from tenderflow.operators.listing import in_group
@@ -96,15 +96,17 @@ class Promotion(NamedTuple):
     outcomes: DataFrame
 
 
-def _earlier_in_batch(rows: DataFrame, inserted: DataFrame) -> DataFrame:
-    """For each row the inserted row of the batch it is a duplicate of: (id, target_id), target_id < id."""
+def _earlier_in_batch(rows: DataFrame) -> DataFrame:
+    """For each row that was not kept the kept row of the batch it is a duplicate of: (id, target_id), target_id < id.
+
+    `rows(id, probes, emits, kept)` with the keys as arrays.
+    """
     index = (
-        inserted.select(F.col("id").alias("first_id"), F.explode(stored_keys()).alias("key"))
-        .where(F.col("key").isNotNull())
+        rows.where("kept").select(F.col("id").alias("first_id"), F.explode("emits").alias("key"))
         .groupBy("key")
         .agg(F.min("first_id").alias("first_id"))
     )
-    probes = rows.select("id", F.explode(probe_keys()).alias("k")).where(F.col("k").isNotNull()).select(
+    probes = rows.where("NOT kept").select("id", F.explode("probes").alias("k")).select(
         "id", F.col("k.rank").alias("rank"), F.col("k.key").alias("key")
     )
     hits = lookup_join(probes, index, "key", ["first_id"]).where(F.col("first_id") < F.col("id"))
@@ -154,19 +156,16 @@ def promote_pending(
     matched = cut_lineage(
         match_duplicates(keyed, "id", None, live).select("id", F.col("record_id").alias("live_id"))
     )
-    new_rows = keyed.join(matched, "id", "left_anti")
     never = F.array().cast("array<string>")
+    # The keys of the new rows are made once, and only they go on.
+    new_rows = cut_lineage(
+        keyed.select("id", present(probe_keys()).alias("probes"), F.when(titled, present(stored_keys())).otherwise(never).alias("emits"))
+        .join(matched, "id", "left_anti")
+    )
     firsts = ordered_greedy_dedup(
-        new_rows.select(
-            "id",
-            probe_key_names().alias("probe_keys"),
-            F.when(titled, present(stored_keys())).otherwise(never).alias("emit_keys"),
-        ),
-        "id",
+        new_rows.select("id", F.transform("probes", lambda k: k["key"]).alias("probe_keys"), F.col("emits").alias("emit_keys")), "id", stored=True
     )
-    inserted_ids = firsts.where("kept").select("id")
-    repeats = new_rows.join(firsts.where(~F.col("kept")), "id", "left_semi")
-    in_batch = _earlier_in_batch(repeats, new_rows.where(titled).join(inserted_ids, "id", "left_semi"))
+    in_batch = _earlier_in_batch(new_rows.join(firsts, "id"))
 
     target = matched.select("id", F.concat(F.lit("L"), F.col("live_id")).alias("target")).unionByName(
         in_batch.select("id", F.concat(F.lit("P"), F.col("target_id")).alias("target"))
