@@ -14,6 +14,7 @@ from tenderflow.functions import signals as S
 from tenderflow.functions.text import parse_day
 from tenderflow.operators import curate, linkage, listing, pages, report, resolve
 from tenderflow.plans.adapters import NOW, given, logical
+from tenderflow.session import case_sensitive
 from tenderflow.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +237,8 @@ def corporate_prefix(spark, sf_dir):
 
 @query
 def normalize_posting_entity(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    # The given column and the normalized one differ only in case, and both are to be told apart and written.
+    t = Tables(case_sensitive(spark), sf_dir)
     return t["extract"].select("doc_id", "POSTING_ENTITY", contact.posting_entity("POSTING_ENTITY").alias("posting_entity"))
 
 

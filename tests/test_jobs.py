@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tenderflow import schemas
 from tenderflow.operators import curate, listing, report
 from tenderflow.plans import ingest
+from tenderflow.plans.catalog import QUERIES
+from tenderflow.session import case_sensitive
 from tenderflow.sources import files
 from tenderflow.streaming import jobs
 from tests.test_linkage import bid_rows, brute_match, keys_of, pair_rank
@@ -380,3 +382,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     )
     scans = [line for line in formatted_plan(activity).splitlines() if line.startswith("ReadSchema")]
     assert scans == ["ReadSchema: struct<CREATED:timestamp_ntz,USERID:bigint>"]
+
+
+def test_names_that_differ_in_case_are_written(spark, tmp_path):
+    out = QUERIES["normalize_posting_entity"](spark, "/root/testdata/sf0.001")
+    out.write.parquet(f"{tmp_path}/out")
+    back = case_sensitive(spark).read.parquet(f"{tmp_path}/out")
+    assert back.columns == ["doc_id", "POSTING_ENTITY", "posting_entity"]
+    assert back.where("POSTING_ENTITY = 'gov' AND posting_entity = 'government'").count() == out.where("POSTING_ENTITY = 'gov'").count() > 0
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
