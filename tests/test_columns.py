@@ -1,11 +1,14 @@
 """Column rules on literal rows."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tenderflow.functions import contact, description, identity, naics, names, records, titles
+from tenderflow.functions import contact, description, identity, naics, names, records, text, titles
+from tenderflow.functions import signals as S
 from tenderflow.functions.html import page_links, page_text
 from tenderflow.functions.similarity import similar_percent
 from tenderflow.functions.text import parse_day
@@ -93,6 +96,24 @@ def test_clean_description(one):
     assert one(description.clean_description("x"), x="a: b\r\n\r\nFoo NOT provided\nnaics 541\n c ") == "a: b\n c"
 
 
+def test_clean_description_of_texts_with_and_without_odd_lines(spark):
+    rnd = random.Random(3)
+    parts = ["", " ", "\t", "\x0b\0", "a line", " b ", "Not Provided", "say nOt provided now", "NAICS 5", " naics: 1", "no naics", "\u0130naics", "\u00a0"]
+    texts = ["".join(x for _ in range(rnd.randint(0, 5)) for x in (rnd.choice(parts), rnd.choice(["\n", "\n", "\r\n", "\r", "\n\n"]))) for _ in range(600)]
+
+    def kept(t):
+        lines = [v for v in re.split(r"\r\n|\r|\n", t) if (low := v.strip(S.TRIM_CHARS).lower()) != "" and "not provided" not in low and not low.startswith("naics")]
+        return "\n".join(lines).strip(S.TRIM_CHARS)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", description.clean_description("x").alias("c")).collect()
+    assert [r.c for r in rows] == [kept(r.x) for r in rows]
+
+
+def test_words_that_hold_others():
+    assert text.distinct_words(["bid", "bids", "rfp", "rfp"]) == ["bid", "rfp"]
+    assert text.distinct_words(["record", "land records", "archives"]) == ["record", "archives"]
+
+
 def test_flatten_description(one):
     got = one(description.flatten_description("x"), x='{"z":{"b":[1,"x"]},"a":null,"t":true,"f":false,"s":"{\\"k\\":1}"}')
     assert got == 'z:\n  b:\n    0: 1\n    1: x\na: \nt: 1\nf: \ns: {"k":1}'

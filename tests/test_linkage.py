@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderflow import schemas
-from tenderflow.functions.identity import derive_identity_keys, fingerprint_keys
+from tenderflow.functions.identity import derive_identity_keys, fingerprint_keys, probe_key_names
 from tenderflow.functions.similarity import similar_percent
 from tenderflow.operators import linkage, resolve
 from tenderflow.operators.positions import numbered_in_order, with_positions
+from tenderflow.operators.screen import key_screen, screened
 from tenderflow.operators.skew import block_match, lookup_join
 
 
@@ -115,6 +116,30 @@ def test_match_duplicates_against_pairs(spark, seed):
             assert found[p["id"]] == (["bids_temp", "bid"][want[0]], reason, want[2], tier)
 
 
+def test_few_probes_screen_the_stored_keys(spark):
+    """The same matches as without a screen, and stored keys that no probe has go nowhere."""
+    probes = derive_identity_keys(frame(spark, bid_rows(40, 5, lambda n: range(1, n + 1))))
+    stored = bid_rows(300, 6, lambda n: range(100, 100 + n))
+    for i, r in enumerate(stored):
+        r.update(URL=f"https://far.gov/{i}") if i % 3 else r.update(SOLICITATIONNUMBER=f"far-{i}")
+    pending, live = frame(spark, stored[:150]), frame(spark, stored[150:], "ID")
+    whole = linkage.match_duplicates(probes, "id", pending, live).collect()
+    assert whole and sorted(linkage.match_duplicates(probes, "id", pending, live, few=True).collect()) == sorted(whole)
+    keys = probes.select(F.explode(probe_key_names()).alias("key")).localCheckpoint()
+    index, screened = linkage.stored_index(pending, live), linkage.stored_index(pending, live, screen=key_screen(keys, "key"))
+    wanted = sorted(index.join(keys.distinct(), "key", "left_semi").collect())
+    assert set(wanted) <= set(screened.collect()) and screened.count() <= len(wanted) + 5 < index.count()
+
+
+@pytest.mark.parametrize("n, power", [(0, 20), (3_000, 20), (200_000, 28), (200_000, 20)])
+def test_screen_keeps_every_wanted_key(spark, n, power):
+    keys = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"))
+    rows = spark.range(20_000).select("id", F.array(F.lit(None).cast("string"), F.concat(F.lit("k"), "id"), F.concat(F.lit("far"), "id")).alias("keys"))
+    left = screened(rows, "keys", key_screen(keys, "key", power)).select(F.explode("keys").alias("key"))
+    assert left.join(keys, "key", "left_semi").count() == min(n, 20_000)
+    assert n > 3_000 and power == 20 or left.where("key like 'far%'").count() < 2_500
+
+
 def test_match_excluding_self(spark):
     pending = bid_rows(40, 5, lambda n: range(1, n + 1))
     live = bid_rows(10, 6, lambda n: range(500, 500 + n))
