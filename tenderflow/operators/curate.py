@@ -142,19 +142,21 @@ def promote_pending(
     now: dt.datetime,
     source_id: int | None = None,
     force_patch: bool = False,
+    few: bool = False,
 ) -> Promotion:
     """Move pending rows to the live table, as if in id order.
 
     A row that matches a live one, or an earlier inserted row of the batch, patches it when forced, when its
     description is over 50 bytes longer, or when it is newer; else it is skipped. The others are inserted. Rows with a
-    blank title fail and stay pending. Keys are those of the snapshot: a patch does not change what later rows match.
+    blank title fail and stay pending. Keys are those of the snapshot: a patch does not change what later rows match. `few` says that the
+    pending rows are few beside the live ones.
     """
     chosen = pending if source_id is None else pending.where(F.col("BID_URL_ID") == source_id)
     rows = chosen.withColumn("id", F.col("id").cast("bigint"))
     titled = trimmed("TITLE") != ""
     keyed = derive_identity_keys(rows)
     matched = cut_lineage(
-        match_duplicates(keyed, "id", None, live).select("id", F.col("record_id").alias("live_id"))
+        match_duplicates(keyed, "id", None, live, few=few).select("id", F.col("record_id").alias("live_id"))
     )
     never = F.array().cast("array<string>")
     # The keys of the new rows are made once, and only they go on.

@@ -391,3 +391,13 @@ def test_names_that_differ_in_case_are_written(spark, tmp_path):
     assert back.columns == ["doc_id", "POSTING_ENTITY", "posting_entity"]
     assert back.where("POSTING_ENTITY = 'gov' AND posting_entity = 'government'").count() == out.where("POSTING_ENTITY = 'gov'").count() > 0
     assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
+def test_promote_a_few_like_all(spark):
+    """A screen of the live rows' keys changes no outcome."""
+    live, pending = bid_rows(60, 8, lambda n: range(1, n + 1)), bid_rows(20, 9, lambda n: range(100, 100 + n))
+    for r in live:
+        r["ID"] = r["id"]
+    given = table(spark, "bids_temp", pending), table(spark, "bid", live), no_sources(spark), None
+    whole, few = (sorted(curate.promote_pending(*given, now=NOW, few=f).outcomes.collect()) for f in (False, True))
+    assert few == whole and {r.outcome for r in whole} >= {"inserted", "skipped"}
