@@ -26,6 +26,42 @@ def test_names_of_special_tokens_as_the_library_takes_them():
             at += n
 
 
+def test_ends_of_words_and_lines_as_the_library_takes_them():
+    words = ["a", "Word.", "É,", "don't,", "12.", "12,", "x...", "q!!", "$$$", ".", ",", "中,", "²,", "z's", "b\x00c", "\x01", "83.2,", "ｱ.", "q$.", "\u0301,", "À", "Á."]
+    ends = [" ", "\n", "\n\n", "\n\n\n", "  ", " \n", "\t", "\x1c"]
+    texts = [a + e + b + f for a in words for b in words for e in ends for f in ("", ".", "\n")] + ["", None, "\n", " ", ".", ", a"]
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        library, own = Tokenizer.from_file(path), tokens.Encoder(path, kind)
+        want = [e.ids + [9] for e in library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        for at in range(0, len(texts), 1000):
+            ids, sizes = own.encode(texts[at : at + 1000], 9)
+            assert sizes.tolist() == [len(w) for w in want[at : at + 1000]]
+            assert ids.tolist() == [i for w in want[at : at + 1000] for i in w]
+
+
+def test_new_words_reach_the_model_many_at_once(monkeypatch):
+    words = ["".join(chr(97 + (i * 7**k >> 2 * k) % 26) for k in range(8)) + ("é" if i % 3 else "") for i in range(9000)]
+    texts = [" ".join(words[i : i + 30]) + ".\nAnd so," for i in range(0, len(words), 30)]
+    library, own, calls = Tokenizer.from_file(BYTE), tokens.Encoder(BYTE, "byte"), []
+
+    class Model:
+        def tokenize(self, text, of=own.model):
+            calls.append(text)
+            return of.tokenize(text)
+
+    class Library:
+        def encode_batch_fast(self, segments, of=own.tokenizer, **options):
+            calls.extend(segments)
+            return of.encode_batch_fast(segments, **options)
+
+    monkeypatch.setattr(own, "model", Model())
+    monkeypatch.setattr(own, "tokenizer", Library())
+    ids, _ = own.encode(texts, 9)
+    assert ids.tolist() == [i for e in library.encode_batch_fast(texts, add_special_tokens=False) for i in [*e.ids, 9]]
+    assert len(calls) <= 12  # for some 9,000 new segments
+    assert [k for k in own.place if k.endswith((".", ","))] == ["\n.", "\n,"]  # they are not learned anew with each word
+
+
 def test_starts_follow_the_files(spark, tmp_path):
     rows = [(i // 4, f"{'word ' * (i * 7 % 11)}{i}") for i in range(60)] + [(None, "none"), (3, None), (3, None), (5, "same"), (5, "same")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
