@@ -60,19 +60,23 @@ def derive_identity_keys(
 ) -> DataFrame:
     """Add the identity columns. Every record of a source with a project-like code has a tier A key."""
     dtype = df.schema[end].dataType.simpleString()
-    keyed = df.withColumns(
-        {
-            "url_key": url_key(url),
-            "raw_url": F.lower(trimmed(url)),
-            "sol_key": token_key(solicitation),
-            "tp_key": token_key(third_party),
-            "source_key": whole_id(source),
-            "end_day": day_of(end, dtype),
-            "title_key": title_key(title),
-            "raw_title_key": title_key(raw_title or title),
-            "project_key": project_key(naics),
-        }
-    )
+    made = {
+        "url_key": url_key(url),
+        "raw_url": F.lower(trimmed(url)),
+        "sol_key": token_key(solicitation),
+        "tp_key": token_key(third_party),
+        "source_key": whole_id(source),
+        "end_day": day_of(end, dtype),
+        "title_key": title_key(title),
+        "project_key": project_key(naics),
+    }
+    if raw_title:
+        made["raw_title_key"] = title_key(raw_title)
+    # A generator keeps the expressions in one place; the keys read them many times and would carry them along.
+    own = F.inline(F.array(F.struct(*[v.alias(c) for c, v in made.items()])))
+    others = [c for c in df.columns if c.lower() not in IDENTITY_COLUMNS]
+    keyed = df.select(*others, own).withColumn("raw_title_key", F.col("raw_title_key" if raw_title else "title_key"))
+    keyed = keyed.select(*others, *[c for c in IDENTITY_COLUMNS if c in keyed.columns])
     return keyed.withColumn("strong_url", F.col("url_key").contains("/")).withColumn(
         "has_tier_a",
         F.col("strong_url")

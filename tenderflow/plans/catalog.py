@@ -410,7 +410,7 @@ def match_duplicates_incoming(spark, sf_dir):
         t["extract"].withColumn("BID_URL_ID", F.col("source_id") + 1000), naics="NAICSCODE"
     )
     stored = t["bid"]
-    return linkage.match_duplicates(probes, "doc_id", t["bids_temp"], stored)
+    return linkage.match_duplicates(probes, "doc_id", t["bids_temp"], stored, few=True)
 
 
 @query
