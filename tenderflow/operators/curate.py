@@ -18,8 +18,9 @@ from tenderflow.operators.ordered import ALWAYS, NEVER, micros, replacing_rows
 from tenderflow.operators.positions import next_ids
 from tenderflow.operators.report import latest_error_per_source
 from tenderflow.operators.resolve import resolve_master_source_id
+from tenderflow.operators.screen import key_screen, likely_keys
 from tenderflow.operators.skew import lookup_join
-from tenderflow.session import cut_lineage
+from tenderflow.session import cut_lineage, forget, stored
 
 
 def _ts(at: dt.datetime) -> Column:
@@ -114,6 +115,30 @@ def _earlier_in_batch(rows: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.first_id").alias("target_id"))
 
 
+def _sharing_rows(rows: DataFrame, matched: DataFrame) -> DataFrame:
+    """Of the rows that have no match those with a key that another one has too, stored; all others stand alone in the batch.
+
+    `rows(id, probes, emits)`. First only hashes are shuffled, to see which ones a probe and an emitted key of two rows have. A bit table of
+    these then leaves out all other keys, and the rows without any, before keys are stored. Hashes that collide only keep a key more.
+    """
+    probes, names = F.transform("probes", lambda k: k["key"]), F.array_distinct(F.concat("_p", "emits"))
+    every = rows.select(probes.alias("_p"), "emits").select(
+        F.explode(F.transform(names, lambda k: F.struct(F.xxhash64(k).alias("h"), F.array_contains("_p", k).alias("p"), F.array_contains("emits", k).alias("e")))).alias("k")
+    ).select("k.*")
+    met = every.groupBy("h").agg(F.count("*").alias("n"), F.max("p").alias("p"), F.max("e").alias("e"))
+    shared = stored(met.where("n > 1 AND p AND e").select("h"))
+    screen = key_screen(shared, "h", hashed=True)
+    told = rows.withColumn("_p", likely_keys("probes", screen, lambda k: k["key"])).withColumn("_e", likely_keys("emits", screen))
+    told = told.where("_p <> 0 OR _e <> 0")
+
+    def kept(keys: str, likely: str) -> Column:
+        return F.filter(keys, lambda k, i: F.getbit(F.col(likely), i) == 1).alias(keys)
+
+    out = stored(told.select("id", kept("probes", "_p"), kept("emits", "_e")).join(matched.select("id"), "id", "left_anti"))
+    forget(shared)
+    return out
+
+
 def _patching_rows(rows: DataFrame, targets: DataFrame, now: dt.datetime, force: bool) -> DataFrame:
     """Ids of the rows that patch their target when all are applied in id order.
 
@@ -156,42 +181,36 @@ def promote_pending(
     titled = trimmed("TITLE") != ""
     keyed = derive_identity_keys(rows)
     matched = cut_lineage(
-        match_duplicates(keyed, "id", None, live, few=few).select("id", F.col("record_id").alias("live_id"))
+        match_duplicates(keyed, "id", None, live, few=few, many=not few).select("id", F.col("record_id").alias("live_id"))
     )
     never = F.array().cast("array<string>")
-    # The keys of the new rows are made once, and only they go on.
-    new_rows = cut_lineage(
-        keyed.select("id", present(probe_keys()).alias("probes"), F.when(titled, present(stored_keys())).otherwise(never).alias("emits"))
-        .join(matched, "id", "left_anti")
-    )
+    new_keys = keyed.select("id", present(probe_keys()).alias("probes"), F.when(titled, present(stored_keys())).otherwise(never).alias("emits"))
+    new_rows = _sharing_rows(new_keys, matched)
     firsts = ordered_greedy_dedup(
-        new_rows.select("id", F.transform("probes", lambda k: k["key"]).alias("probe_keys"), F.col("emits").alias("emit_keys")), "id", stored=True
+        new_rows.select("id", F.transform("probes", lambda k: k["key"]).alias("probe_keys"), F.col("emits").alias("emit_keys")), "id"
     )
     in_batch = _earlier_in_batch(new_rows.join(firsts, "id"))
 
-    target = matched.select("id", F.concat(F.lit("L"), F.col("live_id")).alias("target")).unionByName(
+    target = cut_lineage(matched.select("id", F.concat(F.lit("L"), F.col("live_id")).alias("target")).unionByName(
         in_batch.select("id", F.concat(F.lit("P"), F.col("target_id")).alias("target"))
-    )
+    ))
+    forget(new_rows)
     facts = rows.select(
         "id",
         titled.alias("titled"),
         F.coalesce(F.octet_length(trimmed("DESCRIPTION")), F.lit(0)).alias("own_bytes"),
         F.coalesce("LAST_MODIFIED", "CREATED", "created_at").alias("own_at"),
     )
-    staged = cut_lineage(facts.join(target, "id", "left").join(firsts, "id", "left"))
+    inserted = target.where(F.col("target").startswith("P")).select("target", F.substring("target", 2, 30).cast("bigint").alias("id")).distinct()
     targets = live.select(
         F.concat(F.lit("L"), F.col("ID").cast("string")).alias("target"),
         F.octet_length(trimmed("DESCRIPTION")).alias("bytes"),
         F.coalesce("LAST_MODIFIED", "CREATED").alias("at"),
     ).unionByName(
-        staged.where("kept").select(
-            F.concat(F.lit("P"), F.col("id").cast("string")).alias("target"),
-            F.col("own_bytes").alias("bytes"),
-            _ts(now).alias("at"),
-        )
+        facts.join(inserted, "id").select("target", F.col("own_bytes").alias("bytes"), _ts(now).alias("at"))
     )
     patching = _patching_rows(
-        staged.where("titled and target is not null").select("id", "target", "own_bytes", "own_at"),
+        facts.where("titled").join(target, "id").select("id", "target", "own_bytes", "own_at"),
         targets, now, force_patch,
     ).withColumn("patches", F.lit(True))
     outcome = (
@@ -200,7 +219,8 @@ def promote_pending(
         .when(F.col("patches"), "patched")
         .otherwise("skipped")
     )
-    outcomes = cut_lineage(staged.join(patching, "id", "left").select("id", outcome.alias("outcome"), "target"))
+    aimed = cut_lineage(target.join(patching, "id", "left"))
+    outcomes = stored(facts.select("id", "titled").join(aimed, "id", "left").select("id", outcome.alias("outcome"), "target"))
 
     mapped = map_pending_to_live(rows, sources, master, now=now).drop("ID")
     decided = mapped.join(outcomes.withColumnRenamed("id", "pending_id"), "pending_id")
