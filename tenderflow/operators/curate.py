@@ -223,18 +223,18 @@ def promote_pending(
     outcomes = stored(facts.select("id", "titled").join(aimed, "id", "left").select("id", outcome.alias("outcome"), "target"))
 
     mapped = map_pending_to_live(rows, sources, master, now=now).drop("ID")
-    decided = mapped.join(outcomes.withColumnRenamed("id", "pending_id"), "pending_id")
-    fresh = next_ids(
-        with_insert_defaults(decided.where(F.col("outcome") == "inserted").drop("outcome", "target")),
-        ["pending_id"], live, "ID", "ID",
-    )
-    own_id = fresh.select(
+    told = outcomes.withColumnRenamed("id", "pending_id")
+    # Only ids are put in order, whole rows are not.
+    ids = next_ids(told.where(F.col("outcome") == "inserted").select("pending_id"), ["pending_id"], live, "ID", "ID")
+    fresh = with_insert_defaults(mapped.join(ids, "pending_id"))
+    own_id = ids.select(
         F.concat(F.lit("P"), F.col("pending_id").cast("string")).alias("target"), F.col("ID").alias("new_id")
     )
+    decided = mapped.join(told.where(F.col("outcome") == "patched"), "pending_id")
     # Patches of one row apply in id order, so per column the last value given stays.
     columns = [c for c in schemas.schema("bid").names if c != "ID"]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pending_id"))).alias(c) for c in columns]
-    folded = decided.where(F.col("outcome") == "patched").groupBy("target").agg(*last).join(own_id, "target", "left")
+    folded = decided.groupBy("target").agg(*last).join(own_id, "target", "left")
     live_id = F.when(F.col("target").startswith("L"), F.substring("target", 2, 30).try_cast("bigint")).otherwise(F.col("new_id"))
     patches = folded.select(live_id.alias("ID"), *columns)
     whole = live.unionByName(schemas.conform(fresh.drop("pending_id"), live.schema))

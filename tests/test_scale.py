@@ -49,3 +49,11 @@ def test_release_deletes_the_shuffles_of_finished_steps(spark):
     finally:
         session.gc.collect = real
     assert done == [1]
+
+
+def test_only_ids_of_new_live_rows_are_put_in_order(spark, monkeypatch):
+    """Whole rows are neither sorted nor checkpointed to be numbered."""
+    seen, real = [], curate.next_ids
+    monkeypatch.setattr(curate, "next_ids", lambda df, *a: seen.append(df.columns) or real(df, *a))
+    out = QUERIES["promote_pending"](spark, SMALL)
+    assert seen == [["pending_id"]] and out.select("ID").distinct().count() == out.count()
